@@ -35,8 +35,8 @@ from auditloom.llm.text_blocks import Block
 #: The fixed pattern of the public byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _ODD_SPACE = regex.compile(r" (?:\s|\Z)")
-#: Words, and chunks of text, that a task remembers; a table is emptied when it has grown so large.
-REMEMBERED = 800_000
+#: Words, chunks of text and pairs of tokens that a task remembers; a table that has grown so large is emptied.
+WORDS, CHUNKS, PAIRS = 600_000, 250_000, 300_000
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -126,7 +126,7 @@ class Vocabulary:
         state: list[int] = [-1]  # the last token of every prefix of the path
         path = b""
         id_of, bytes_of, longest, pairs, follows = self.id_of.get, self.bytes_of, self.longest, self.pairs, self.follows
-        if len(pairs) > REMEMBERED:
+        if len(pairs) > PAIRS:
             pairs.clear()
         for word in sorted(words):
             n = min(len(path), len(word))
@@ -169,9 +169,9 @@ class Vocabulary:
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         """The ids of each text as 32-bit integers end to end."""
         pieces = [self.chunked(t) for t in texts]
-        if len(self.chunks) > REMEMBERED:
+        if len(self.chunks) > CHUNKS:
             self.chunks.clear()
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > WORDS:
             self.known.clear()
         new = {c: [w.encode() for w in self.split(c)] for c in set().union(*pieces).difference(self.chunks)}
         special = {s.encode(): array("i", [i]).tobytes() for s, i in self.special.items()}
@@ -187,6 +187,12 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+@lru_cache(maxsize=2)
+def token_bytes(path: str) -> np.ndarray:
+    """The bytes of every id, and none after them."""
+    return np.array([*Vocabulary(path).bytes_of, b""], object)
+
+
 def encode(docs: DataFrame, path: str, text: str = "text", keep: Sequence[str] = ("doc_id",), name: str = "ids") -> DataFrame:
     """``keep`` columns and the ids (array<int>) of every whole text."""
 
@@ -204,7 +210,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", keep: Sequence[str]
     schema = encoded.select(*[F.col(f"`{c}`") for c in keep], F.lit("").alias(name)).schema
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.array([*vocabulary(path).bytes_of, b""], object)
+        table = token_bytes(path)
         for batch in batches:
             column = batch.column(batch.num_columns - 1)
             for lo in range(0, len(column), 64):
