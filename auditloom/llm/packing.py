@@ -28,8 +28,8 @@ from auditloom.llm.stash import stash
 from auditloom.llm.text_blocks import blocks
 
 LENGTH, TAIL, END = 2048, 256, 1
-#: Chunks and words that a task remembers, and pieces that a rank's bucket holds at most on average.
-REMEMBERED, BUCKET = 800_000, 100_000
+#: Words and chunks that a task remembers, and pieces that a rank's bucket holds at most on average.
+WORDS, CHUNKS, BUCKET = 600_000, 300_000, 100_000
 #: The fixed pattern of the public vocabulary; below ``_LATIN``, text is composed as it stands.
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _LATIN = "\u0100"
@@ -70,9 +70,9 @@ class ChunkEncoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         split = [t.split() for t in texts]
-        if len(self.chunks) > REMEMBERED:
+        if len(self.chunks) > CHUNKS:
             self.chunks.clear()
-        if len(self.words) > REMEMBERED:
+        if len(self.words) > WORDS:
             self.words.clear()
         apart: dict[bytes, list[str]] = {}
         for chunk in set().union(*split).difference(self.chunks):
