@@ -36,7 +36,7 @@ from auditloom.llm.text_blocks import Block
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _ODD_SPACE = regex.compile(r" (?:\s|\Z)")
 #: Words, chunks of text and pairs of tokens that a task remembers; a table that has grown so large is emptied.
-WORDS, CHUNKS, PAIRS = 600_000, 250_000, 300_000
+WORDS, CHUNKS, PAIRS = 400_000, 200_000, 200_000
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -190,7 +190,11 @@ def vocabulary(path: str) -> Vocabulary:
 @lru_cache(maxsize=2)
 def token_bytes(path: str) -> np.ndarray:
     """The bytes of every id, and none after them."""
-    return np.array([*Vocabulary(path).bytes_of, b""], object)
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    table, special = _byte_of_char(), {t["content"]: t["id"] for t in spec["added_tokens"]}
+    tokens = {i: bytes(map(table.__getitem__, s)) for s, i in spec["model"]["vocab"].items() if s not in special} | {i: s.encode() for s, i in special.items()}
+    return np.array([tokens.get(i, b"") for i in range(max(tokens) + 2)], object)
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", keep: Sequence[str] = ("doc_id",), name: str = "ids") -> DataFrame:
