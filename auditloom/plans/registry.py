@@ -1,4 +1,4 @@
-"""All queries of the reference's own operators, with the SQL that they are held against."""
+"""All queries of the report analytics, with the SQL that they are held against."""
 
 from __future__ import annotations
 
@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from auditloom.plans import activity_queries, report_queries
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return report_queries.QUERIES | activity_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return report_queries.SQL | activity_queries.SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Statistical scores of all documents, their levels counted by language."""
+    return report_queries.level_by_lang(spark, sf_dir)
