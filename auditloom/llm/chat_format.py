@@ -34,7 +34,7 @@ ROLES = ("system", "user", "assistant")
 #: State 2 * r opens a turn of role r, state 2 * r + 1 goes on with it.
 STATES, CHUNK = 6, 64
 _WORDS = {"system": "system|sys|instructions?|context", "user": "user|human|you|me|prompter|customer|question|q", "assistant": "assistant|bot|ai|gpt|model|agent|answer|a"}
-_MARKER = re.compile(r"^\s*(?:(?P<open>[\[<*#(|]+)\s*)?(?:" + "|".join(f"(?P<{r}>{w})" for r, w in _WORDS.items()) + r")\s*(?P<close>[\]>*)|]+:?|:|$)\s*", re.I)
+_MARKER = re.compile(r"^\s*(?:(?P<open>[\[<*#(|]+)\s*)?(?:" + "|".join(f"(?P<{r}>{w})" for r, w in _WORDS.items()) + r")\s*(?P<close>[\]>*)|]+:?|:[*]*|$)\s*", re.I)
 SYMBOLS = 48
 
 
