@@ -291,3 +291,14 @@ def level_histogram(spark, sf_dir):
 @query(_TOTAL_SQL + " select count(*) as n, count(*) filter (where statistical_score > 0.5) as anomalous, round(avg(statistical_score), 6) as mean_score, round(count(*) filter (where statistical_score > 0.5) / count(*), 6) as rate, case when count(*) filter (where statistical_score > 0.5) / count(*) > 0.3 then 'HIGH' when count(*) filter (where statistical_score > 0.5) > 0 then 'MEDIUM' else 'LOW' end as risk from t")
 def batch_summary(spark, sf_dir):
     return rounded(learning.batch_summary(statistical_scores(spark, sf_dir).withColumnRenamed("statistical_score", "score")))
+
+
+@query(r"select doc_id as report_id, length(c)::int as total_length, len([p for p in regexp_split_to_array(c, '\n{2,}') if trim(p) <> ''])::int as paragraph_count, round(case when length(c) = 0 then 0.0 else len(regexp_extract_all(c, '[0-9]')) / length(c) end, 6) as digit_density, case when regexp_matches(c, '买入|强烈推荐|强推') then '买入' else '未明确' end as rating, coalesce(nullif(regexp_extract(substring(c, 1, 2000), '(\d{4})[-/年](\d{1,2})[-/月](\d{1,2})', 1), ''), '2025') as year from (select doc_id, coalesce(text, '') as c from documents)")
+def report_style(spark, sf_dir):
+    """Style and metadata of plain texts."""
+    from auditloom.functions import converter
+
+    t = F.col("content")
+    s = converter.style(t)
+    year = F.substring(converter.publish_date(t, F.lit("2025-01-01")), 1, 4)
+    return rounded(reports(spark, sf_dir).select("report_id", s["total_length"].alias("total_length"), s["paragraph_count"].alias("paragraph_count"), s["digit_density"].alias("digit_density"), converter.rating(t).alias("rating"), year.alias("year")))
