@@ -68,7 +68,7 @@ def parse(page: str) -> tuple[_Node, list[_Node], list[tuple[_Node, str]]]:
     """The root, all nodes in page order, and the text blocks with the block-level nodes that they stand in."""
     root = _Node("html", None)
     nodes, stack, blocks, buffer = [root], [root], [], []
-    links = 0  # open links
+    links = noisy = 0  # open links and open elements of noise
     raw_end = 0
 
     def flush() -> None:
@@ -79,6 +79,8 @@ def parse(page: str) -> tuple[_Node, list[_Node], list[tuple[_Node, str]]]:
             blocks.append((holder, text))
 
     def add(text: str) -> None:
+        if noisy:
+            return
         if "&" in text:
             text = html.unescape(text)
         node = stack[-1]
@@ -87,14 +89,15 @@ def parse(page: str) -> tuple[_Node, list[_Node], list[tuple[_Node, str]]]:
             node.chars += n
             if links:
                 node.link_chars += n
-        if not any(x.noise for x in stack):
-            buffer.append(text)
+        buffer.append(text)
 
     def close(depth: int) -> None:
-        nonlocal links
-        if any(x.tag not in _INLINE for x in stack[depth:]):
+        nonlocal links, noisy
+        if buffer and any(x.tag not in _INLINE for x in stack[depth:]):
             flush()
-        links -= sum(x.tag == "a" for x in stack[depth:])
+        for x in stack[depth:]:
+            links -= x.tag == "a"
+            noisy -= x.noise
         del stack[depth:]
 
     at = 0
@@ -133,7 +136,7 @@ def parse(page: str) -> tuple[_Node, list[_Node], list[tuple[_Node, str]]]:
                     break
                 if stack[depth].tag in bound:
                     break
-        if tag not in _INLINE:
+        if buffer and tag not in _INLINE:
             flush()
         node = _Node(tag, stack[-1])
         nodes.append(node)
@@ -146,6 +149,7 @@ def parse(page: str) -> tuple[_Node, list[_Node], list[tuple[_Node, str]]]:
             at = raw_end = end.start() if end else len(page)
         stack.append(node)
         links += tag == "a"
+        noisy += node.noise
     if at < len(page):
         add(page[at:])
     flush()
