@@ -29,7 +29,7 @@ from auditloom.llm.text_blocks import blocks
 
 LENGTH, TAIL, END = 2048, 256, 1
 #: Words and chunks that a task remembers, and pieces that a rank's bucket holds at most on average.
-WORDS, CHUNKS, BUCKET = 600_000, 300_000, 100_000
+WORDS, CHUNKS, BUCKET = 300_000, 200_000, 100_000
 #: The fixed pattern of the public vocabulary; below ``_LATIN``, text is composed as it stands.
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _LATIN = "\u0100"

@@ -36,7 +36,7 @@ _powers: dict[str, np.ndarray] = {}
 def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, for positions below ``n``."""
     if len(_powers.get("up", ())) < n:
-        n = 1 << max(21, n.bit_length())
+        n = 1 << max(20, n.bit_length())
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
             _powers[name] = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, base, np.uint64)]))
     return _powers["up"], _powers["down"]

@@ -42,7 +42,7 @@ class FtrlConfig:
     l1: float = 8.0
     l2: float = 0.1
     toxic_weight: float = 4.0
-    bits: int = 22
+    bits: int = 21
     epochs: int = 2
     sample: int = 24_000
     shards: int = 3
@@ -102,7 +102,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cases = []
         for batch in batches:
-            for block in blocks(batch.column(1)):
+            for block in blocks(batch.column(1), 1 << 18):
                 at, owner = features(block, bits)
                 pairs = np.unique((owner.astype(np.uint64) << np.uint64(bits)) | at)
                 cut = np.searchsorted(pairs >> np.uint64(bits), np.arange(block.hi - block.lo + 1))
@@ -118,10 +118,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
         for _ in range(config.epochs):
             for i in rng.permutation(len(cases)):
                 model.learn(np.concatenate([cases[i][3].astype(np.int64), bias]), cases[i][2])
-        every = np.arange(len(model.z))
-        w = model.weights(every)
-        live = np.flatnonzero(w)
-        yield pa.RecordBatch.from_arrays([pa.array(live), pa.array(w[live]), pa.array(np.full(len(live), len(cases))), pa.array(np.full(len(live), sum(c[2] for c in cases)))], names=["at", "w", "cases", "toxic"])
+        live = np.union1d(np.flatnonzero(np.abs(model.z) > config.l1), bias)
+        yield pa.RecordBatch.from_arrays([pa.array(live), pa.array(model.weights(live)), pa.array(np.full(len(live), len(cases))), pa.array(np.full(len(live), sum(c[2] for c in cases)))], names=["at", "w", "cases", "toxic"])
 
     fitted = rows.repartition(config.shards, shard).mapInArrow(learn, "at long, w double, cases long, toxic long")
     # A shard's weights are as many as L1 leaves of a bounded sample, whatever the size of the corpus.
@@ -146,7 +144,7 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text", keep: Seque
 
     def run(block: Block) -> list[pa.Array]:
         if not dense:
-            dense["w"] = np.zeros(1 << bits)
+            dense["w"] = np.zeros(1 << bits, np.float32)
             dense["w"][model.index] = model.weight
         at, owner = features(block, bits)
         live = dense["w"][at] != 0
