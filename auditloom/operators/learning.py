@@ -18,6 +18,13 @@ def feedback_id(*parts: Column) -> Column:
     return F.substring(F.md5(F.concat_ws("_", *parts).cast("binary")), 1, 12)
 
 
+def validated(feedback: DataFrame) -> DataFrame:
+    """``feedback`` with ``problem``: what keeps a row from being used (id, rating, contradiction), or an empty string."""
+    rating = F.col("rating").isNotNull() & ~F.col("rating").between(1, 10)
+    contradiction = (F.col("feedback_type") == "INCORRECT") & F.coalesce("is_correct", F.lit(False))
+    return feedback.withColumn("problem", F.when(F.col("report_id").isNull(), "id").when(rating, "rating").when(contradiction, "contradiction").otherwise(""))
+
+
 def detection_metrics(detections: DataFrame, feedback: DataFrame) -> DataFrame:
     """One row: detections with feedback, true positives (any true feedback), accuracy, false positive rate."""
     judged = feedback.groupBy("detection_id").agg(F.bool_or("is_true_positive").alias("hit"))

@@ -89,3 +89,13 @@ def error_rate(metrics: DataFrame) -> DataFrame:
 
 def retained(rows: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
     return rows.where(F.unix_timestamp("ts") >= F.unix_timestamp(as_of) - days * 86400)
+
+
+def snapshot(metrics: DataFrame, names: list[str]) -> DataFrame:
+    """One row, a column a name: the newest value of each metric; null for one without values."""
+    return latest(metrics).groupBy().pivot("metric", names).agg(F.first("value"))
+
+
+def histogram(metrics: DataFrame, width: float) -> DataFrame:
+    """Per metric and bin of a fixed width: count, least and greatest value."""
+    return metrics.groupBy("metric", F.floor(F.col("value") / width).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("least"), F.max("value").alias("greatest"))

@@ -6,17 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditloom.plans import activity_queries, report_queries
+from auditloom.plans import activity_queries, learning_queries, report_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return report_queries.QUERIES | activity_queries.QUERIES
+    return report_queries.QUERIES | activity_queries.QUERIES | learning_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return report_queries.SQL | activity_queries.SQL
+    return report_queries.SQL | activity_queries.SQL | learning_queries.SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
