@@ -47,10 +47,10 @@ def test_fingerprints(spark):
     assert near == plain_components(got)
 
 
-@pytest.mark.parametrize("limit", [512, 3])
-def test_components_of_planted_prints(spark, monkeypatch, limit):
-    """With a limit of 3 nearly every list is a long one, which goes by midpoints."""
-    rng = random.Random(limit)
+@pytest.mark.parametrize("mean,long_list", [(simhash.MEAN, simhash.LONG), (simhash.MEAN, 8), (1, 3), (1e-9, 2)])
+def test_components_of_planted_prints(spark, monkeypatch, mean, long_list):
+    """Near prints, and 150 that share six bytes. Short limits split lists by further bytes and half-bytes."""
+    rng = random.Random(3)
     prints = [rng.getrandbits(64) for _ in range(150)]
     for _ in range(6):
         centre = rng.getrandbits(64)
@@ -59,21 +59,47 @@ def test_components_of_planted_prints(spark, monkeypatch, limit):
             for bit in rng.sample(range(64), rng.randint(0, 5)):
                 p ^= 1 << bit
             prints.append(p)
-    prints += prints[:5]
+    centre = rng.getrandbits(64)
+    prints += [(centre & 0xFFFFFFFF0000FFFF) | rng.getrandbits(16) << 16 for _ in range(150)] + prints[:5]
     signed = [p - (1 << 64) if p >= 1 << 63 else p for p in prints]
     frame = spark.createDataFrame(list(enumerate(signed)), "doc_id long, fp long")
-    if limit != 512:  # tasks run in other processes: hand the limit to them with the function
-        plain = simhash._pairs
-
-        def limited(batches):
-            simhash.LIST = 3
-            yield from plain(batches)
-
-        monkeypatch.setattr(simhash, "_pairs", limited)
+    plain = simhash.links
+    monkeypatch.setattr(simhash, "links", lambda distinct, name="fp": plain(distinct, name, mean, long_list))
     got = {r["doc_id"]: r["component_id"] for r in simhash.assign(frame).collect()}
     assert got == plain_components(dict(enumerate(prints)))
-    if limit != 512:  # workers live on
-        spark.range(64).repartition(8).mapInArrow(lambda it: (setattr(simhash, "LIST", 512) or b for b in it), "id long").count()
+
+
+def test_count_filter():
+    """A list's pairs are retained by their tally of shared bytes, whatever their bits."""
+    differ = np.array([0x0101010101000000, 0x01010101, 0x0F, 0x1F, 1 << 63 | 1 << 31], np.uint64)
+    assert simhash.near_pairs(differ, np.zeros(5, int) + 4, 1).tolist() == [False, True, False, False, False]
+    first = [i for i, (m, _) in enumerate(simhash._LEVELS[1]) if m == 0xFF][0]
+    second = [i for i, (m, _) in enumerate(simhash._LEVELS[1]) if m == 0xFF00][0]
+    assert simhash.near_pairs(differ, np.full(5, first), 1).tolist() == [False, False, False, False, True]
+    assert simhash.near_pairs(differ, np.full(5, second), 1).tolist() == [False, False, True, False, False]
+
+
+def test_spanning_joins_what_pairs_join():
+    rng = np.random.default_rng(4)
+    u, v = rng.integers(0, 300, 200), rng.integers(0, 300, 200)
+    a, b = simhash.spanning(u, v)
+
+    def groups(pairs):
+        root = list(range(300))
+        for x, y in pairs:
+            x, y = root[x], root[y]
+            root = [min(x, y) if r in (x, y) else r for r in root]
+        return root
+
+    assert groups(zip(u, v)) == groups(zip(a, b)) and len(a) < 300
+
+
+def test_null_and_repeated_keys(spark):
+    docs = spark.createDataFrame([(None, "a b c d e"), (3, "a b c d e"), (3, "a b c d e"), (None, "only here"), (5, "A  b c d e"), (7, None), (9, "")], "doc_id long, text string")
+    got = {(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(docs).collect()}
+    assert got == {(None, 3), (3, 3), (5, 3), (None, None), (7, 7), (9, 7)} and simhash.near_duplicates(docs).count() == 7
+    kept = sorted(simhash.representatives(docs).collect(), key=str)
+    assert sorted((r["doc_id"] or 0) for r in kept) == [0, 3, 7]
 
 
 def test_chain_of_components(spark):
