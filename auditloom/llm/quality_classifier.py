@@ -2,17 +2,21 @@
 
 The target model counts hashed words, marks and pairs of neighbours in documents labelled good, the raw
 model in all documents; a word or mark that repeats its neighbour also counts as one gram of its own kind.
-A document's log importance is the sum over its n-grams of the log ratio; beyond ``reference`` n-grams it
-is the mean times ``reference``, so that length alone doesn't decide.  Adding Gumbel noise drawn from a hash of its id, and keeping the ``k`` greatest sums, draws ``k`` documents
-without replacement in proportion to importance.
-
-The target labels are a bounded sample (``DsirConfig.sample`` rows of smallest id hash); raw counts, the
-size of the sample drawn and the threshold come from all documents.  ``k`` defaults to the number of
-documents that the two models expect to be of the target: the sum of the posteriors.
-
-Defined cases: null and empty texts have no n-gram, so log importance 0; repeated rows share their noise
-and are drawn together (documents tied with the last one drawn are drawn too); an empty table draws none;
-without target labels every document has log importance 0 and an even posterior counts as kept.
+A document's log importance is its log ratio a gram, with ``prior`` grams of ratio one added to each
+document, times the mean number of grams of all documents: the ratio that a document of mean length would
+have.  One formula serves all lengths, so that length alone does not decide.  Adding Gumbel noise drawn from
+a hash of the id, and keeping the ``k`` greatest sums, draws ``k`` documents without replacement in
+proportion to importance.
+
+``k`` is a parameter; by default it is the number of documents times the share of good ones among those
+with a label.  The labels used are a bounded sample (``DsirConfig.sample`` rows of smallest id hash); raw
+counts, mean length and the threshold of the draw come from all documents.
+
+Defined cases: null and empty texts have no gram, so log importance 0; very long texts are read whole, a
+block of their own; repeated rows share their noise and are drawn together, as are all documents that tie
+with the last one drawn; of several labels of one document the greatest counts, null labels none; an empty
+table draws none; without labels the share is 0 and none is drawn; without good labels every log importance
+is 0.  A column of the table named like the result and listed in ``keep`` is an error; others do not matter.
 """
 
 from __future__ import annotations
@@ -33,23 +37,38 @@ _MARKS = bytes(b for b in range(128) if not chr(b).isalnum() and b not in ASCII_
 _PIECES = classes(other=_MARKS)
 #: Gumbel keys are compared as integers of this step.
 KEY_STEP = 1e-6
-#: Clean text's log importance may fall so far below nought by chance.
-SLACK = 14.0
 
 
 @dataclass(frozen=True)
 class DsirConfig:
     """``buckets``: size of the hash space; ``sample`` bounds the labelled rows; ``smooth`` is added to each
-    count of raw text, and in proportion to raw text to the target's; ``reference``: n-grams at most that add
-    up; ``seed`` is that of the Gumbel noise."""
+    count of raw text, and in proportion to raw text to the target's; ``prior``: grams of ratio one that each
+    document starts with; ``seed`` is that of the Gumbel noise."""
 
     buckets: int = 1 << 15
     sample: int = 24_000
     smooth: float = 1.0
-    reference: int = 200
+    prior: float = 16.0
     seed: int = 17
 
 
+@dataclass(frozen=True)
+class DsirModel:
+    """The log ratio a bucket, the mean number of grams of a document, the number of documents, and the share of
+    good ones among those labelled."""
+
+    ratio: np.ndarray
+    mean_grams: float
+    documents: int
+    share: float
+    prior: float = DsirConfig.prior
+
+    @property
+    def k(self) -> int:
+        """The expected number of good documents."""
+        return round(self.documents * self.share)
+
+
 def grams(block: Block, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all words, marks and pairs of neighbours of a block, and the text of each."""
     pieces = block.tokens(_PIECES)
@@ -60,43 +79,52 @@ def grams(block: Block, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return (found % np.uint64(buckets)).astype(np.int64), np.concatenate([owner, owner[:-1][inside], owner[:-1][again]])
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", config: DsirConfig = DsirConfig()) -> np.ndarray:
-    """The log ratio of the target's and the raw text's share, a bucket: an array of fixed size."""
-    good = labels.where((F.col(label) == 1) & F.col(key).isNotNull()).select(key).distinct()
-    good = good.withColumn("__h", F.xxhash64(F.col(key).cast("string"))).orderBy("__h", key).limit(config.sample).select(key, F.lit(True).alias("__good"))
-    rows = docs.select(F.col(key), F.col(text).alias("__text")).join(F.broadcast(good), key, "left").select("__text", F.coalesce("__good", F.lit(False)).alias("__good"))
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", config: DsirConfig = DsirConfig()) -> DsirModel:
+    """Both models from one scan of ``docs``; the labelled sample is bounded, so it is broadcast to it."""
+    known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg((F.max(F.col(label)) == 1).alias("__good"))
+    known = known.withColumn("__h", F.xxhash64(F.col("__key").cast("string"))).orderBy("__h", "__key").limit(config.sample)
+    rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).join(F.broadcast(known), "__key", "left").select("__text", "__good")
     buckets = config.buckets
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, buckets), np.int64)
+        # Beside the buckets: grams of all documents, documents, labelled ones, good ones.
+        raw, target, totals = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64), np.zeros(4, np.int64)
         for batch in batches:
-            good_row = batch.column(1).to_numpy(zero_copy_only=False)
+            good = batch.column(1).fill_null(False).to_numpy(zero_copy_only=False)
+            totals[1:] += batch.num_rows, batch.num_rows - batch.column(1).null_count, good.sum()
             for block in blocks(batch.column(0)):
                 at, owner = grams(block, buckets)
-                sums[0] += np.bincount(at, minlength=buckets)
-                sums[1] += np.bincount(at[good_row[block.lo : block.hi][owner]], minlength=buckets)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(buckets)), pa.array(sums[0]), pa.array(sums[1])], names=["bucket", "raw", "target"])
+                totals[0] += len(at)
+                raw += np.bincount(at, minlength=buckets)
+                target += np.bincount(at[good[block.lo : block.hi][owner]], minlength=buckets)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-4, buckets)), pa.array(np.concatenate([totals, raw])), pa.array(np.concatenate([totals * 0, target]))], names=["bucket", "raw", "target"])
 
     counted = rows.mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-    raw, target = np.zeros(buckets), np.zeros(buckets)
+    raw, target = np.zeros(buckets + 4), np.zeros(buckets + 4)
     for r in counted.collect():  # one row a bucket
-        raw[r["bucket"]], target[r["bucket"]] = r["raw"], r["target"]
+        raw[r["bucket"] + 4], target[r["bucket"] + 4] = r["raw"], r["target"]
+    n_grams, documents, labelled, good = raw[:4]
+    return DsirModel(log_ratio(raw[4:], target[4:], config.smooth), n_grams / documents if documents else 0.0, int(documents), good / labelled if labelled else 0.0, config.prior)
+
+
+def log_ratio(raw: np.ndarray, target: np.ndarray, smooth: float) -> np.ndarray:
+    """The log of the target's over the raw text's share of each bucket; zeros without a target."""
     if not target.sum():
-        return np.zeros(buckets)
-    raw = raw + config.smooth
-    target = target + config.smooth * buckets * raw / raw.sum()
+        return np.zeros(len(raw))
+    raw = raw + smooth
+    target = target + smooth * len(raw) * raw / raw.sum()
     return np.log(target / target.sum()) - np.log(raw / raw.sum())
 
 
-def score(docs: DataFrame, ratio: np.ndarray, text: str = "text", keep: Sequence[str] = ("doc_id",), name: str = "log_weight", reference: int = DsirConfig.reference) -> DataFrame:
+def score(docs: DataFrame, model: DsirModel, text: str = "text", keep: Sequence[str] = ("doc_id",), name: str = "log_weight") -> DataFrame:
     """``keep`` columns and the log importance of every whole text."""
-    buckets = len(ratio)
+    ratio, buckets, mean_grams, prior = model.ratio, len(model.ratio), model.mean_grams, model.prior
 
     def run(block: Block) -> list[pa.Array]:
         at, owner = grams(block, buckets)
         n = block.hi - block.lo
         total, count = np.bincount(owner, ratio[at], minlength=n).astype(np.float64), np.bincount(owner, minlength=n)
-        return [pa.array(total * np.minimum(1.0, reference / np.maximum(count, 1)))]
+        return [pa.array(mean_grams * total / (count + prior))]
 
     return add_columns(docs, text, run, f"`{name}` double", keep)
 
@@ -126,33 +154,19 @@ def kth_largest(keys: DataFrame, column: str, k: int, bins: int = 4096) -> int |
     return lo
 
 
-@dataclass(frozen=True)
-class Drawn:
-    """What ``draw`` decided: the size of the sample and the least key in it."""
-
-    k: int
-    threshold: int | None
-
-
-def draw(scored: DataFrame, key: str = "doc_id", weight: str = "log_weight", k: int | None = None, seed: int = DsirConfig.seed) -> tuple[Drawn, DataFrame]:
-    """The decision, and ``scored`` with ``gumbel`` (integer steps) and ``kept``; ``scored`` is read several times."""
+def draw(scored: DataFrame, k: int, key: str = "doc_id", weight: str = "log_weight", seed: int = DsirConfig.seed) -> tuple[int | None, DataFrame]:
+    """The least Gumbel key drawn (None if none is), and ``scored`` with ``gumbel`` (integer steps) and ``kept``;
+    ``scored`` is read several times."""
     keyed = scored.withColumn("gumbel", gumbel_key(key, weight, seed))
-    if k is None:
-        k = int(round(keyed.agg(F.sum(expected(F.col(weight)))).first()[0] or 0))
     threshold = kth_largest(keyed, "gumbel", k)
-    return Drawn(k, threshold), keyed.withColumn("kept", F.lit(False) if threshold is None else F.col("gumbel") >= F.lit(threshold))
-
-
-def expected(weight: Column) -> Column:
-    """The chance that a document is of the target; a log ratio near nought, as clean text has, counts in full."""
-    return 1 / (1 + F.exp(F.least(F.lit(60.0), -(weight + F.lit(SLACK)))))
+    return threshold, keyed.withColumn("kept", F.lit(False) if threshold is None else F.col("gumbel") >= F.lit(threshold))
 
 
-def production(spark, docs: DataFrame, sf_dir: str) -> tuple[Drawn, np.ndarray, DataFrame]:
-    """The decision over ``docs``, the model, and the verdicts by ``doc_id``."""
-    ratio = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"))
-    drawn, verdicts = draw(stash(score(docs, ratio), "importance"))
-    return drawn, ratio, verdicts
+def production(spark, docs: DataFrame, sf_dir: str) -> tuple[int | None, DsirModel, DataFrame]:
+    """The threshold over ``docs``, the model, and the verdicts by ``doc_id``."""
+    model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"))
+    threshold, verdicts = draw(stash(score(docs, model), "importance"), model.k)
+    return threshold, model, verdicts
 
 
 def op7_quality_classifier(spark, sf_dir: str) -> DataFrame:

@@ -40,9 +40,11 @@ def test_toxicity(spark, stages):
 
 
 def test_quality(spark, stages):
-    ratio = quality_classifier.fit(stages[1], spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "quality"))
-    rows = quality_classifier.score(stages[1], ratio).withColumn("key", quality_classifier.gumbel_key()).collect()
-    k = round(sum(1 / (1 + np.exp(min(60, -(r["log_weight"] + quality_classifier.SLACK)))) for r in rows))
+    labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "quality")
+    model = quality_classifier.fit(stages[1], labels)
+    rows = quality_classifier.score(stages[1], model).withColumn("key", quality_classifier.gumbel_key()).collect()
+    known = [r["quality"] for r in labels.join(stages[1], "doc_id").collect()]
+    k = round(len(rows) * sum(known) / len(known))
     best = sorted(rows, key=lambda r: -r["key"])[:k]
     assert {r["doc_id"] for r in best} == {r["doc_id"] for r in stages[2].select("doc_id").collect()}
 
@@ -88,3 +90,25 @@ def test_an_empty_corpus(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.count() == 0
+
+
+def test_edge_rows(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows and clashing columns through every stage."""
+    source = spark.read.parquet(f"{SF}/documents.parquet")
+    long_text = "some words of a long clean text. " * 6000
+    rows = [(None, None, None, None, None), (-1, "", "en", "s", 0), (-2, long_text, "en", "s", 1), (-2, long_text, "en", "s", 1), (None, long_text, "en", "s", 1), (-3, None, "en", None, None)]
+    docs = source.unionByName(spark.createDataFrame(rows, source.schema))
+    for c in ("score", "log_weight", "fp", "__fp_", "component_id", "length", "offset", "sequence_id"):
+        docs = docs.withColumn(c, F.lit("clash"))
+    kept = []
+    for name, stage in corpus_pipeline.STAGES:
+        path = str(tmp_path / name)
+        stage(spark, docs, SF).write.parquet(path)
+        docs = spark.read.parquet(path)
+        kept.append(docs)
+    first = [r["doc_id"] for r in kept[0].where(F.col("text") == long_text).collect()]
+    assert first in ([], [-2, -2, None], [-2, None, -2], [None, -2, -2])
+    left = [r["doc_id"] for r in kept[2].where(F.col("text") == long_text).collect()]
+    assert left == ([-2] if kept[1].where(F.col("text") == long_text).count() else [])
+    assert kept[2].where("coalesce(text, '') = ''").count() <= 1
+    assert kept[3].groupBy("sequence_id").agg(F.sum("length").alias("n")).where(F.col("n") > packing.LENGTH).count() == 0

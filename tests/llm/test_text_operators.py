@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -74,9 +75,9 @@ def test_empty_tables(spark):
     assert quality_rules.ledger(none).count() == 0
     model = toxicity.fit(none, labels)
     assert len(model.index) == 0 and toxicity.score(none, model).count() == 0
-    ratio = quality_classifier.fit(none, labels)
-    drawn, verdicts = quality_classifier.draw(quality_classifier.score(none, ratio))
-    assert drawn.threshold is None and verdicts.count() == 0
+    model = quality_classifier.fit(none, labels)
+    threshold, verdicts = quality_classifier.draw(quality_classifier.score(none, model), model.k)
+    assert threshold is None and verdicts.count() == 0
     assert bpe.decode(bpe.encode(none, path), path).count() == 0
     assert packing.pack(none, public_tokenizers.path("word_bpe_49k.json")).count() == 0
 
@@ -116,17 +117,67 @@ def test_kth_largest(spark):
     assert quality_classifier.kth_largest(keys, "k", 0) is None
 
 
+def plain_grams(text):
+    """Words and marks, pairs of neighbours and repeats, as strings."""
+    pieces = [p.encode() for p in re.findall(r"[^\x00-\x7f]|[A-Za-z0-9]|[^\sA-Za-z0-9]|\s+", text or "")]
+    runs, kind = [], lambda p: 0 if p[:1].isspace() else 1 if p[0] > 127 or p.isalnum() else 2
+    for p in pieces:
+        if runs and kind(p) and runs[-1][0] == kind(p):
+            runs[-1][1] += p
+        else:
+            runs.append([kind(p), bytearray(p)])
+    words = [bytes(r) for k, r in runs if k]
+    return [("one", w) for w in words] + [("two", a, b) for a, b in zip(words, words[1:])] + [("again",) for a, b in zip(words, words[1:]) if a == b]
+
+
+def test_importance_matches_plain_counts(spark):
+    """With more buckets than grams nearly no two share one: log ratios of plainly counted grams must come out,
+    but for the smoothing, which counts in buckets; and brute-force Gumbel top-k must draw the same rows."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "Ü-x", "word", "!!"]) for _ in range(rng.randint(0, 30))) for _ in range(40)] + [None, "", "a a a", "x" * 40_000]
+    rows = [(i, t, "clash") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([*rows, rows[1]], "doc_id long, text string, raw string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)] + [(0, 1), (21, None), (None, 1)], "doc_id long, quality int")
+    good = {i for i in range(20) if i % 2} | {0}
+    config = quality_classifier.DsirConfig(buckets=1 << 22)
+    model = quality_classifier.fit(docs, labels, config=config)
+    raw, target = Counter(), Counter()
+    for i, t, _ in [*rows, rows[1]]:
+        raw.update(plain_grams(t))
+        target.update(plain_grams(t) if i in good else [])
+    assert (model.documents, model.share) == (45, (len(good) + 1) / 21)  # row 1 stands twice, and is good
+    assert model.mean_grams == pytest.approx(sum(raw.values()) / 45)
+    b, s = config.buckets, config.smooth
+    n_raw, n_target = sum(raw.values()) + s * b, sum(target.values()) + s * b
+    ratio = {g: np.log((target[g] + s * b * (n + s) / n_raw) / n_target) - np.log((n + s) / n_raw) for g, n in raw.items()}
+    want = {i: model.mean_grams * sum(ratio[g] for g in plain_grams(t)) / (len(plain_grams(t)) + config.prior) for i, t, _ in rows}
+    scored = quality_classifier.score(docs, model)
+    got = {r["doc_id"]: r["log_weight"] for r in scored.collect()}
+    assert got == pytest.approx(want, abs=1e-6) and got[40] == got[41] == 0
+    for k in (1, 7, 30, 44):
+        threshold, verdicts = quality_classifier.draw(scored, k)
+        found = verdicts.collect()
+        best = sorted((r["gumbel"] for r in found), reverse=True)[:k]
+        assert threshold == best[-1] and sorted((r["gumbel"] for r in found if r["kept"]), reverse=True)[: len(best)] == best
+        noise = {r["doc_id"]: r["gumbel"] * quality_classifier.KEY_STEP - r["log_weight"] for r in found}
+        for i, x in noise.items():
+            h = xxhash.xxh64_intdigest(str(i).encode(), xxhash.xxh64_intdigest((17).to_bytes(4, "little"), 42)) >> 11
+            assert x == pytest.approx(-np.log(-np.log((h + 0.5) / 2**53)), abs=1e-5)
+
+
 def test_importance_prefers_the_target(spark):
     rng = random.Random(3)
     good, bad = [f"g{i}" for i in range(200)], [f"b{i}***" for i in range(200)]
     rows = [(i, " ".join(rng.choice(good if i % 3 else bad) for _ in range(80))) for i in range(300)]
-    docs = spark.createDataFrame([*rows, (1000, None)], "doc_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(150)], "doc_id long, quality int")
-    drawn, verdicts = quality_classifier.draw(quality_classifier.score(docs, quality_classifier.fit(docs, labels)))
-    kept = {r["doc_id"] for r in verdicts.where("kept").collect()}
-    assert all((i in kept) == (i % 3 > 0) for i in range(300)) and drawn.k >= 200
-    few = quality_classifier.draw(quality_classifier.score(docs, quality_classifier.fit(docs, labels)), k=10)[1]
-    assert few.where("kept").count() == 10
+    model = quality_classifier.fit(docs, labels)
+    scored = quality_classifier.score(docs, model)
+    kept = {r["doc_id"] for r in quality_classifier.draw(scored, model.k)[1].where("kept").collect()}
+    assert model.k == 200 and kept == {i for i in range(300) if i % 3}
+    assert quality_classifier.draw(scored, 10)[1].where("kept").count() == 10
+    repeated = quality_classifier.draw(scored.union(scored), 1)[1]
+    assert repeated.where("kept").count() == 2  # tied with the last one drawn
 
 
 def test_bpe_is_the_librarys(docs):
