@@ -5,17 +5,22 @@ words also count by their stem (their first bytes), so that endings unseen in fi
 Every coordinate has its own learning rate; L1 leaves few coordinates other than zero, so that the model is
 a short list of (coordinate, weight) that any task can hold.
 
-Fitting uses at most ``FtrlConfig.sample`` labelled rows (those with the smallest hash of their id), dealt
-to ``shards`` tasks whose weights are averaged.  Scoring reads every whole text in one pass.
-
-Defined cases: a null or empty text has no feature and gets the score of the bias; repeated rows are scored
-row by row; labels that are null, or of no document, are not used; of several labels of one document the
-greatest counts; without labels of both classes every score is the share of toxic labels (0 if none).
+Fitting uses at most ``FtrlConfig.sample`` labelled rows (those with the smallest hash of their id), dealt by
+that hash to ``shards`` learners.  Each learner sees exactly its shard, wherever that runs, and its weights
+count in the average in proportion to its cases.  Scoring reads every whole text in one pass.
+
+Defined cases: a null or empty text has no feature and gets the score of the bias; very long texts are read
+whole, a block of their own; repeated rows are scored row by row, and each counts as a case if labelled;
+labels that are null, or of no document, are not used; of several labels of one document the greatest
+counts; ids whose hashes tie at the end of the sample go by the smaller id; without labels of both classes
+every score is the share of toxic labels (0 if none); a column listed in ``keep`` that is named like the
+result is an error, other columns do not matter.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -91,47 +96,61 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
+def learn(cases: list[tuple[int, np.ndarray]], config: FtrlConfig) -> tuple[np.ndarray, np.ndarray]:
+    """Live coordinates and weights of one learner that is shown (label, distinct coordinates) ``epochs`` times,
+    in an order drawn anew each time from the same seed."""
+    model, bias = Ftrl(config), np.array([1 << config.bits], np.int64)
+    rng = np.random.default_rng(7)
+    for _ in range(config.epochs):
+        for i in rng.permutation(len(cases)):
+            label, at = cases[i]
+            model.learn(np.concatenate([at.astype(np.int64), bias]), label)
+    live = np.union1d(np.flatnonzero(np.abs(model.z) > config.l1), bias)
+    return live, model.weights(live)
+
+
+def shard_of(hashed: int, shards: int) -> int:
+    return (hashed >> 20) % shards
+
+
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", config: FtrlConfig = FtrlConfig()) -> ToxicityModel:
     """A model from the rows of ``labels``. The labelled sample is bounded, so it is broadcast to one scan of ``docs``."""
-    known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(F.col(label).cast("int")).alias("__y"))
-    sample = known.withColumn("__h", F.xxhash64(F.col(key).cast("string"))).orderBy("__h", key).limit(config.sample)
-    rows = docs.select(F.col(key), F.col(text).alias("__text")).join(F.broadcast(sample), key).select(key, "__text", "__y", "__h")
+    known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.max(F.col(label).cast("int")).alias("__y"))
+    sample = known.withColumn("__h", F.xxhash64(F.col("__key").cast("string"))).orderBy("__h", "__key").limit(config.sample)
+    rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).join(F.broadcast(sample), "__key").select("__text", "__y", "__h")
     shard = F.pmod(F.shiftright("__h", 20), F.lit(config.shards))
     bits = config.bits
 
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cases = []
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shards: dict[int, list] = {}
         for batch in batches:
-            for block in blocks(batch.column(1), 1 << 18):
+            for block in blocks(batch.column(0), 1 << 18):
                 at, owner = features(block, bits)
                 pairs = np.unique((owner.astype(np.uint64) << np.uint64(bits)) | at)
                 cut = np.searchsorted(pairs >> np.uint64(bits), np.arange(block.hi - block.lo + 1))
                 at = (pairs & np.uint64((1 << bits) - 1)).astype(np.uint32)
                 for i in range(block.hi - block.lo):
-                    row = block.lo + i
-                    cases.append((batch.column(3)[row].as_py(), batch.column(0)[row].as_py(), batch.column(2)[row].as_py(), at[cut[i] : cut[i + 1]]))
-        if not cases:
-            return
-        cases.sort(key=lambda c: (c[0], c[1]))
-        model, bias = Ftrl(config), np.array([1 << bits], np.int64)
-        rng = np.random.default_rng(7)
-        for _ in range(config.epochs):
-            for i in rng.permutation(len(cases)):
-                model.learn(np.concatenate([cases[i][3].astype(np.int64), bias]), cases[i][2])
-        live = np.union1d(np.flatnonzero(np.abs(model.z) > config.l1), bias)
-        yield pa.RecordBatch.from_arrays([pa.array(live), pa.array(model.weights(live)), pa.array(np.full(len(live), len(cases))), pa.array(np.full(len(live), sum(c[2] for c in cases)))], names=["at", "w", "cases", "toxic"])
-
-    fitted = rows.repartition(config.shards, shard).mapInArrow(learn, "at long, w double, cases long, toxic long")
+                    label, hashed = batch.column(1)[block.lo + i].as_py(), batch.column(2)[block.lo + i].as_py()
+                    mine = at[cut[i] : cut[i + 1]]
+                    shards.setdefault(shard_of(hashed, config.shards), []).append((hashed, label, zlib.crc32(mine), mine))
+        for number, cases in shards.items():
+            cases.sort(key=lambda c: c[:3])
+            live, weights = learn([(y, at) for _, y, _, at in cases], config)
+            same = lambda x: pa.array(np.full(len(live), x, np.int64))
+            yield pa.RecordBatch.from_arrays([same(number), same(len(cases)), same(sum(c[1] for c in cases)), pa.array(live), pa.array(weights)], names=["shard", "cases", "toxic", "at", "w"])
+
+    # A shard lies in one task whatever the partitioner does; that each gets a task of its own only saves time.
+    dealt = rows.repartitionByRange(config.shards, shard).mapInArrow(fitted, "shard long, cases long, toxic long, at long, w double")
     # A shard's weights are as many as L1 leaves of a bounded sample, whatever the size of the corpus.
-    found = fitted.collect()
-    shards = {(r["cases"], r["toxic"]) for r in found}
-    total, toxic = sum(c for c, _ in shards), sum(t for _, t in shards)
+    found = dealt.collect()
+    shards = {r["shard"]: (r["cases"], r["toxic"]) for r in found}
+    total, toxic = sum(c for c, _ in shards.values()), sum(t for _, t in shards.values())
     if not 0 < toxic < total:
         share = min(max(toxic / total if total else 0.0, 1e-6), 1 - 1e-6)
         return ToxicityModel(bits, math.log(share / (1 - share)), np.zeros(0, np.int64), np.zeros(0))
     sums: dict[int, float] = {}
-    for r in found:
-        sums[r["at"]] = sums.get(r["at"], 0.0) + r["w"] / len(shards)
+    for r in sorted(found, key=lambda r: r["shard"]):
+        sums[r["at"]] = sums.get(r["at"], 0.0) + r["w"] * r["cases"] / total
     bias = sums.pop(1 << bits, 0.0)
     at = sorted(sums)
     return ToxicityModel(bits, bias, np.array(at, np.int64), np.array([sums[i] for i in at]))
