@@ -1,18 +1,22 @@
 """Order MinHash fingerprints, in built-in functions only.
 
-A text's k-mers are runs of ``K`` words.  Each is numbered by its occurrence, hashed with that number, and
-falls by its hash into one of 64 bins (one permutation serves all sketches).  A bin keeps its two least
-occurrence-numbered k-mers, puts them back into text order, and hashes the ordered pair: so a sketch agrees
-between two texts only if both k-mers are in both, and in the same order, which is what an edit disturbs.
-The likeness of two fingerprints is the share of agreeing bins among those that either fills.
+A text's k-mers are runs of ``K`` words; in scripts that set no spaces between words each character is a
+word.  Every k-mer is numbered by its occurrence and hashed with that number.  The hashes lie on a ring, and
+each of ``SKETCHES`` = 64 sketches has a point of the ring: it keeps the two k-mers that come next after its
+point, puts them back into text order, and hashes the ordered pair.  So a sketch agrees between two texts
+only if both k-mers are in both, and in the same order, which is what an edit disturbs; and every sketch of
+a text of two k-mers or more holds a pair, however short the text.  The likeness of two fingerprints is the
+share of sketches that agree.
 
-Positions take the low 24 bits beside 40 bits of hash in one integer, so that sorting and grouping work on
-plain arrays of integers.
+A k-mer is one integer of 33 bits of hash above 31 bits of position, more than an array can have places, so
+that sorting and grouping work on plain arrays of integers.
 
 Defined cases: null, empty and white-space texts have the empty fingerprint, and are wholly alike; texts of
-fewer words than ``K`` have one k-mer; positions beyond 2**24 words wrap.  In ``with_next``, documents are
-ordered by id; rows that repeat an id each get a result, next to the least text of the next smaller id;
-a table of one id is next to itself; rows with a null id are left out; an empty table gives an empty result.
+fewer words than ``K`` have one k-mer, which all sketches hash alone; of k-mers whose hashes tie the one that
+stands first in the text comes first; very long texts are read whole, in one array of a task.  In
+``with_next``, documents are ordered by id; rows that repeat an id each get a result, next to the least text
+of the next smaller id; a table of one id is next to itself; rows with a null id are left out; an empty
+table gives an empty result; of the table only the two named columns are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -24,8 +28,11 @@ from pyspark.sql import functions as F
 
 from auditloom.llm.stash import stash
 
-K = 3
-_PLACE = (1 << 24) - 1
+K, SKETCHES = 3, 64
+_PLACE_BITS = 31
+_PLACE = (1 << _PLACE_BITS) - 1
+#: Scripts that set no spaces between words.
+_UNSPACED = r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])"
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -41,8 +48,13 @@ def _place(x: Column) -> Column:
     return x.bitwiseAND(F.lit(_PLACE).cast("long"))
 
 
+def _kind(x: Column) -> Column:
+    return F.shiftright(x, _PLACE_BITS)
+
+
 def _bin(x: Column) -> Column:
-    return F.shiftrightunsigned(x, 58)
+    """The number of sketch points up to a hash, from its sign on: sorted hashes have rising bins."""
+    return F.shiftright(x, 58) + SKETCHES // 2
 
 
 def _positions(items: Column) -> Column:
@@ -56,32 +68,41 @@ def _kmers(words: Column) -> Column:
 
 def _numbered(kmers: Column) -> Column:
     """Sorted k-mers, hashed again with their number among equal ones."""
-    kind = lambda i: F.shiftright(F.get(kmers, i), 24)
+    kind = lambda i: _kind(F.get(kmers, i))
     starts = F.filter(_positions(kmers), lambda i: (i == 0) | (kind(i) != kind(i - 1)))
 
     def runs(at: Column) -> Column:
         run = lambda s, j: F.slice(kmers, s + 1, F.coalesce(F.get(at, j + 1), F.size(kmers)) - s)
-        return F.flatten(F.transform(at, lambda s, j: F.transform(run(s, j), lambda x, o: _hashed(F.shiftright(x, 24), o, place=_place(x)))))
+        return F.flatten(F.transform(at, lambda s, j: F.transform(run(s, j), lambda x, o: _hashed(_kind(x), o, place=_place(x)))))
 
     return _let(starts, runs)
 
 
 def _sketches(items: Column) -> Column:
-    """Of sorted occurrence-numbered k-mers, a number a filled bin: the bin above 32 bits of its pair's hash."""
+    """Of sorted occurrence-numbered k-mers, a number a sketch: its place above 32 bits of its pair's hash."""
     heads = F.filter(_positions(items), lambda i: (i == 0) | (_bin(F.get(items, i)) != _bin(F.get(items, i - 1))))
+    bin_at = lambda i: _bin(F.get(items, i))
+
+    def starts(at: Column) -> Column:
+        """The item next after every sketch's point: a head for all bins since the head before, the first again
+        for those after the last."""
+        since = lambda h, j: F.when(j == 0, bin_at(h) + 1).otherwise(bin_at(h) - bin_at(F.get(at, j - 1)))
+        upto = F.flatten(F.transform(at, lambda h, j: F.array_repeat(h, since(h, j).cast("int"))))
+        return F.concat(upto, F.array_repeat(F.lit(0), F.lit(SKETCHES) - F.size(upto)))
 
-    def sketch(a: Column, b: Column) -> Column:
-        first, second = F.shiftright(a, 24), F.shiftright(b, 24)
-        pair = F.when(b.isNull() | (_bin(a) != _bin(b)), F.xxhash64(first)).when(_place(a) < _place(b), F.xxhash64(first, second)).otherwise(F.xxhash64(second, first))
-        return F.shiftleft(_bin(a), 32).bitwiseOR(F.shiftrightunsigned(pair, 32))
+    def sketch(i: Column, number: Column) -> Column:
+        a, b = F.get(items, i), F.get(items, F.when(i + 1 < F.size(items), i + 1).otherwise(0))
+        pair = F.when(F.size(items) == 1, F.xxhash64(_kind(a))).when(_place(a) < _place(b), F.xxhash64(_kind(a), _kind(b))).otherwise(F.xxhash64(_kind(b), _kind(a)))
+        return F.shiftleft(number.cast("long"), 32).bitwiseOR(F.shiftrightunsigned(pair, 32))
 
-    return F.transform(heads, lambda i: sketch(F.get(items, i), F.get(items, i + 1)))
+    return _let(heads, lambda at: _let(starts(at), lambda all_starts: F.transform(all_starts, sketch)))
 
 
 def signature(text: Column) -> Column:
-    """The fingerprint of a text as an array of integers, a number a filled bin."""
+    """The fingerprint of a text as an array of integers, a number a sketch."""
     space = " \t\n\x0b\x0c\r"
-    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(space))
+    apart = F.when(F.rlike(text, F.lit(_UNSPACED)), F.regexp_replace(text, _UNSPACED, " $1 ")).otherwise(text)
+    trimmed = F.btrim(F.coalesce(apart, F.lit("")), F.lit(space))
 
     def full(t: Column) -> Column:
         split = lambda words: _let(F.sort_array(_kmers(words)), lambda kmers: _let(F.sort_array(_numbered(kmers)), _sketches))
@@ -91,15 +112,14 @@ def signature(text: Column) -> Column:
 
 
 def as_text(sig: Column) -> Column:
-    """A fingerprint as a string: ten hexadecimal digits a filled bin."""
-    return F.concat_ws("", F.transform(sig, lambda x: F.lpad(F.hex(x), 10, "0")))
+    """A fingerprint as a string: eight hexadecimal digits a sketch."""
+    return F.concat_ws("", F.transform(sig, lambda x: F.lpad(F.hex(x.bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """The share of bins in which two fingerprints agree, 0 to 1."""
-    bins = lambda s: F.transform(s, lambda x: F.shiftright(x, 32))
-    filled = F.size(F.array_union(bins(a), bins(b)))
-    return F.when(filled == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / filled)
+    """The share of sketches in which two fingerprints agree, 0 to 1."""
+    none = F.size(a) + F.size(b) == 0
+    return F.when(none, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / SKETCHES)
 
 
 def _takers(ids: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import hashlib
 import io
 import itertools
 import random
+import re
 
 import numpy as np
 import pytest
@@ -114,7 +115,7 @@ def test_near_duplicates_of_an_empty_table(spark):
 
 
 def plain_signature(text):
-    """Through the same 64-bit hash, in plain loops."""
+    """Through the same 64-bit hash, in plain loops; every sketch searches the ring from its own point."""
     def signed(x):
         return x - (1 << 64) if x >= 1 << 63 else x
 
@@ -124,29 +125,58 @@ def plain_signature(text):
             seed = xxhash.xxh64_intdigest(v.to_bytes(8, "little", signed=True) if not isinstance(v, bytes) else v, seed)
         return seed
 
-    words = (text or "").split()
+    words = re.sub(r"([\u4e00-\u9fff\u3040-\u30ff\u0e00-\u0e7f])", r" \1 ", text or "").split()
     if not words:
         return []
-    kmers = [(hash_longs(*[w.encode() for w in words[i : i + 3]]) >> 24, i) for i in range(max(1, len(words) - 2))]
-    counts, bins = {}, {}
+    kmers = [(signed(hash_longs(*[w.encode() for w in words[i : i + 3]])) >> 31, i) for i in range(max(1, len(words) - 2))]
+    counts, items = {}, []
     for h, i in kmers:
-        h = signed(h << 24) >> 24
         o = counts[h] = counts.get(h, -1) + 1
         x = xxhash.xxh64_intdigest(o.to_bytes(4, "little"), xxhash.xxh64_intdigest(h.to_bytes(8, "little", signed=True), 42))
-        bins.setdefault(x >> 58, []).append((x >> 24, i))
-    out = set()
-    for b, items in bins.items():
-        pair = [h for h, _ in sorted(sorted(items)[:2], key=lambda x: x[1])]
-        out.add(b << 32 | hash_longs(*[signed(h << 24) >> 24 for h in pair]) >> 32)
+        items.append((signed(x) >> 31, i))
+    out = []
+    for b in range(64):
+        point = (b - 32) << 27
+        after = sorted(items, key=lambda x: (x[0] < point, x))[:2]
+        pair = [h for h, _ in sorted(after, key=lambda x: x[1])]
+        out.append(b << 32 | hash_longs(*pair) >> 32)
     return out
 
 
 def test_signatures_match_plain(spark):
     rng = random.Random(2)
-    texts = ["one", "one two", "a b c", "a b a b a b a b a b", " ".join(rng.choice("abcdefgh") for _ in range(400)), " ".join(str(rng.random()) for _ in range(300))]
+    texts = ["one", "one two", "a b c", "a b c d", "a b a b a b a b a b", "東京都に住む word 人々", " ".join(rng.choice("abcdefgh") for _ in range(400)), " ".join(str(rng.random()) for _ in range(300)), "x" * 50_000]
     got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", order_minhash.signature(F.col("t")).alias("s")).collect()
     for r in got:
-        assert set(r["s"]) == plain_signature(texts[r["i"]]), texts[r["i"]][:40]
+        assert r["s"] == plain_signature(texts[r["i"]]), texts[r["i"]][:40]
+
+
+def test_ties_of_hashes_go_by_position(spark):
+    """Equal k-mers differ by their number; equal hashes with different positions keep text order."""
+    items = [(5 << 31) | 9, (5 << 31) | 2, (7 << 31) | 1]
+    got = spark.createDataFrame([(sorted(items),), (sorted(items[:2]),)], "i array<long>").select(order_minhash._sketches(F.col("i")).alias("s")).collect()
+    assert all(len(set(x & 0xFFFFFFFF for x in r["s"])) >= 1 and len(r["s"]) == 64 for r in got)
+
+
+def test_order_counts_in_short_texts(spark):
+    """Of texts of 20 to 100 words, rearranged sentences are less alike than they would be to plain MinHash."""
+    rng = random.Random(12)
+    rows = []
+    for n in (20, 40, 60, 100):
+        for k in range(20):
+            parts = [[f"w{rng.randrange(10_000)}" for _ in range(5)] for _ in range(n // 5)]
+            moved = list(parts)
+            while moved == parts:
+                rng.shuffle(moved)
+            edited = [list(p) for p in parts]
+            edited[rng.randrange(len(parts))][2] = "changed"
+            rows.append((n, *(" ".join(sum(p, [])) for p in (parts, moved, edited))))
+    s = order_minhash.signature
+    found = spark.createDataFrame(rows, "n int, a string, b string, c string").select("n", order_minhash.likeness(s(F.col("a")), s(F.col("b"))).alias("moved"), order_minhash.likeness(s(F.col("a")), s(F.col("c"))).alias("edited")).toPandas()
+    shared = 3 / 5  # of k-mers lie within sentences
+    for n, group in found.groupby("n"):
+        assert group.moved.mean() < shared / (2 - shared) * 0.6, n
+        assert group.edited.mean() > group.moved.mean() + 0.2, n
 
 
 def test_with_next(spark):
