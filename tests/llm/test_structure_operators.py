@@ -2,12 +2,18 @@
 
 import gzip
 import hashlib
+import html
+import html.parser
 import io
 import itertools
+import math
+import os
 import random
 import re
+from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -232,10 +238,187 @@ def test_extract(page, want):
     assert html_density.extract(page or "") == want
 
 
+def test_names_are_read_whole():
+    """Values are no names, parts of words are no words, and no name takes most of a page."""
+    two = "<p>First paragraph of the article here.</p><p>Second paragraph of the article.</p>"
+    want = "First paragraph of the article here.\nSecond paragraph of the article."
+    for attributes in ('id=content style="overflow:hidden"', 'data-role="navigation"', 'class="post related-posts-enabled"', 'class="related-work"', "title='a hidden sidebar'", 'class="comments"'):
+        assert html_density.extract(f"<body><nav><a href=x>menu</a></nav><div {attributes}>{two}</div></body>") == want, attributes
+    assert html_density.extract(f"<body><article>{two}<p class='related-work'>Related work.</p><div class='share-buttons'>Send on</div><p hidden>x</p></article></body>") == want + "\nRelated work."
+    for name in ("ad", "cookie-notice", "siteFooter wrapper", "comments-list", "x related-posts"):
+        assert html_density.extract(f"<body><article>{two}</article><div class='{name}'><p>{'Dense words of somebody else. ' * 2}</p></div></body>") == want, name
+
+
+def test_own_text_above_the_chosen_node():
+    page = "<body><div>" + "bare text " * 200 + "<br>more<div>" + ("<p>" + "x y z " * 50 + "</p>") * 3 + "</div></div></body>"
+    got = html_density.extract(page)
+    assert got.startswith("bare text bare") and got.count("bare text") == 200 and got.count("x y z") == 150
+
+
+def test_density_removes_what_has_no_name():
+    links = "".join(f"<li><a href='/{i}'>Menu entry {i}</a></li>" for i in range(12))
+    article = "".join(f"<p>{'A sentence of the article, of some length, stands here. ' * 6}</p>" for _ in range(5))
+    page = f"<body><div><ul>{links}</ul></div><div>{article}</div><div><span>More: </span><a href=a>One thing</a> <a href=b>Another thing</a></div><div>{links}</div></body>"
+    root, nodes, _ = html_density.parse(page)
+    assert not any(n.noise or n.named_noise for n in nodes)
+    assert html_density.extract(page) == "\n".join(["A sentence of the article, of some length, stands here. " * 6][0].strip() for _ in range(5))
+
+
+def test_ties_and_long_pages():
+    one = "<div><p>" + "same words here " * 20 + "</p></div>"
+    assert html_density.extract(f"<body>{one}{one}</body>").count("\n") == 1  # equal sums: both reach the threshold
+    long_page = "<body><article>" + "<p>words of a paragraph</p>" * 30_000 + "<div>" * 3000 + "deep" + "</div>" * 3000 + "</article></body>"
+    got = html_density.extract(long_page)
+    assert got.count("words of a paragraph") == 30_000 and got.endswith("deep")
+
+
+class PlainTree(html.parser.HTMLParser):
+    """A tree of the test pages: paragraphs close paragraphs and what is open in them, as browsers do."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.root = self.at = {"tag": "html", "up": None, "kids": [], "noise": False}
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "html":
+            return
+        if tag in ("p", "div", "article", "footer", "nav", "ul", "h1"):
+            chain = []
+            n = self.at
+            while n and n["tag"] != "p" and n["tag"] in ("b",):
+                chain.append(n)
+                n = n["up"]
+            if n and n["tag"] == "p":
+                self.at = n["up"]
+        node = {"tag": tag, "up": self.at, "kids": [], "noise": tag in ("nav", "footer", "head", "script", "style") or ("class", "ad") in attrs}
+        self.at["kids"].append(node)
+        if tag not in ("br", "meta", "img"):
+            self.at = node
+
+    def handle_endtag(self, tag):
+        n = self.at
+        while n and n["tag"] != tag:
+            n = n["up"]
+        if n and n["up"]:
+            self.at = n["up"]
+
+    def handle_data(self, data):
+        self.at["kids"].append(data)
+
+
+def plain_extract(page):
+    """The published definition, node by node: every count walks the node's whole subtree anew."""
+    tree = PlainTree(page)
+    inline = {"a", "b", "br", "img"}
+
+    def walk(node, inside=False):
+        yield node, inside
+        for kid in node["kids"]:
+            if isinstance(kid, dict) and kid["tag"] not in ("head", "script", "style"):
+                yield from walk(kid, inside or kid["tag"] == "a")
+
+    def counts(node, inside):
+        c = lc = t = lt = 0
+        for n, in_link in walk(node, inside):
+            if n is not node:
+                t += 1
+                lt += n["tag"] == "a"
+            own = sum(len(k) - k.count(" ") - k.count("\n") for k in n["kids"] if isinstance(k, str))
+            c += own
+            lc += own * in_link
+        return c, max(lc, 0), t, lt
+
+    everything = list(walk(tree.root))
+    body = next(n for n, _ in everything if n["tag"] == "body")
+    body_c, body_lc, _, _ = counts(body, False)
+    noise = set()
+    for n, _ in everything:
+        if n["noise"] or n["up"] is not None and id(n["up"]) in noise:
+            noise.add(id(n))
+    density = {}
+    for n, inside in everything:
+        c, lc, t, lt = counts(n, inside)
+        base = math.log(c / max(c - lc, 1) * lc + body_lc / max(body_c, 1) * c + math.e)
+        density[id(n)] = max(0.0, c / max(t, 1) * math.log(c / max(lc, 1) * max(t, 1) / max(lt, 1)) / math.log(max(base, math.e))) if c else 0.0
+    live = lambda n: [k for k in n["kids"] if isinstance(k, dict) and id(k) in density and id(k) not in noise]
+    total = {id(n): sum(density[id(k)] for k in live(n) if k["tag"] not in inline) for n, _ in everything}
+
+    def best(node):
+        found = node
+        for n, _ in walk(node):
+            if id(n) not in noise and total[id(n)] > total[id(found)]:
+                found = n
+        return found
+
+    n = best(body)
+    threshold = density[id(n)]
+    while n is not body:
+        n = n["up"]
+        threshold = min(threshold, density[id(n)])
+    kept, todo = set(), [body]
+    own = set()
+    while todo:
+        n = todo.pop()
+        if id(n) in noise or density[id(n)] < threshold:
+            continue
+        own.add(id(n))
+        kept.update(id(k) for k, _ in walk(best(n)))
+        todo += live(n)
+    lines = [""]
+
+    def read(node, keep):
+        if node["tag"] not in inline:
+            lines.append("")
+        keep = id(node) in kept or (id(node) in own if node["tag"] not in inline else keep)
+        for kid in node["kids"]:
+            if isinstance(kid, dict) and id(kid) in density and id(kid) not in noise:
+                read(kid, keep)
+                if kid["tag"] == "br":
+                    lines[-1] += " "
+            elif isinstance(kid, str) and keep:
+                lines[-1] += kid
+        if node["tag"] not in inline:
+            lines.append("")
+
+    read(body, False)
+    return "\n".join(x for x in (" ".join(line.split()) for line in lines) if x)
+
+
+PAGES_TABLE = "/root/testdata/sf0.01/pages.parquet"
+
+
+@pytest.mark.skipif(not os.path.exists(PAGES_TABLE), reason="no test tables")
+def test_brute_force_density_on_all_pages():
+    for row in pq.read_table(PAGES_TABLE).to_pylist():
+        assert html_density.extract(row["html"] or "") == plain_extract(row["html"] or ""), row["page_id"]
+
+
+@pytest.mark.skipif(not os.path.exists(PAGES_TABLE), reason="no test tables")
+def test_pages_without_names():
+    """With every telling tag and name taken away, density keeps the article of every page and drops the menu of
+    all but the shortest (of a few lines, no denser than their menu)."""
+    with_menu = []
+    for row in pq.read_table(PAGES_TABLE).to_pylist():
+        page = re.sub(r"<(/?)(nav|footer|article)\b", r"<\1div", re.sub(r'\sclass="[^"]*"', "", row["html"] or ""))
+        article, got = html_density.extract(row["html"] or "").split("\n"), html_density.extract(page).split("\n")
+        menu = re.findall(r"<li><a[^>]*>(.*?)</a>", page)
+        assert not Counter(article) - Counter(got)
+        if {html.unescape(m) for m in menu} & set(got) - set(article):
+            with_menu.append(sum(map(len, article)))
+    assert len(with_menu) < 0.05 * 250 and max(with_menu, default=0) < 500
+
+
 def test_extract_pages(spark):
-    pages = spark.createDataFrame([(i, "u", p, "clash") for i, (p, _) in enumerate(PAGES)], "page_id long, url string, html string, text string")
-    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in html_density.extract_pages(pages).collect()}
-    assert got == {i: (w, len(w)) for i, (_, w) in enumerate(PAGES)}
+    rows = [(i, "u", p, "clash") for i, (p, _) in enumerate(PAGES)]
+    pages = spark.createDataFrame([*rows, rows[0]], "page_id long, url string, html string, text string")
+    found = html_density.extract_pages(pages).collect()
+    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in found}
+    assert got == {i: (w, len(w)) for i, (_, w) in enumerate(PAGES)} and len(found) == len(PAGES) + 1
+    assert html_density.extract_pages(pages.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        html_density.extract_pages(pages, keep=("page_id", "text"))
 
 
 @pytest.mark.parametrize("version", [1, 2])
