@@ -422,33 +422,80 @@ def test_extract_pages(spark):
 
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc_round_trip(version):
-    bodies = [b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n<p>\n\nx</p>", b"", b"plain\nhttp://x 0.0.0.0 1 text/html 9\n"]
+    bodies = [b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n<p>\n\nx</p>", b"", b"plain\nhttp://x 0.0.0.0 1 text/html 9\n", b"\xff\xfe\x00"]
     data = archives.arc_version_block(version, "f.arc", "20010203040506") + b"".join(archives.arc_record(version, f"http://x/{i} y", "20010203", b) for i, b in enumerate(bodies))
     got = list(archives.parse_arc(io.BytesIO(data)))
     assert [r.body for r in got] == bodies and got[0].fields["URL"] == "http://x/0%20y" and len(got[0].fields) == len(archives.ARC_FIELDS[version])
     assert archives.warc_date("20010203") == "2001-02-03T00:00:00Z"
-    assert list(archives.parse_arc(io.BytesIO(data[:-20])))[:1] == got[:1]
+    cut = list(archives.parse_arc(io.BytesIO(data[:-2])))
+    assert cut[:3] == got[:3] and cut[3].error == "a record cut short"
+    few = archives.arc_record(version, "http://y/", "2001", b"body").replace(b" 0.0.0.0 2001 text/html", b"", 1)
+    odd = list(archives.parse_arc(io.BytesIO(data + few + archives.arc_record(version, "http://z/", "2001", b"after"))))
+    assert odd[:4] == got and odd[4].error == "a header of another number of fields" and odd[5].body == b"after"
+    bad = list(archives.parse_arc(io.BytesIO(data + b"http://x 0.0.0.0 2001 text/html many\nrest of it")))
+    assert bad[:4] == got and bad[4].error == "a header without a length" and bad[4].lost_bytes >= 10 and len(bad) == 5
 
 
 def test_convert_files(spark):
-    data = archives.arc_version_block(1, "f.arc", "20010203040506") + archives.arc_record(1, "http://x/", "20010203040506", b"HTTP/1.0 200 OK\r\n\r\nbody")
-    arcs = spark.createDataFrame([("a", bytearray(data)), ("b", bytearray(gzip.compress(data))), ("c", bytearray(b"")), ("d", None)], "path string, content binary")
-    got = archives.convert(arcs).collect()
-    assert [(r["path"], r["payload"], r["warc_date"], r["type"]) for r in sorted(got, key=lambda r: r["path"])] == [(p, "body", "2001-02-03T04:05:06Z", "response") for p in "ab"]
+    head = archives.arc_version_block(1, "f.arc", "20010203040506")
+    data = head + archives.arc_record(1, "http://x/", "20010203040506", b"HTTP/1.0 200 OK\r\n\r\nbody")
+    latin = head + archives.arc_record(1, "http://l/", "20010203040506", b"HTTP/1.0 200 OK\r\n\r\ncaf\xe9 \xff\r\n\r\n")
+    arcs = spark.createDataFrame([("a", bytearray(data)), ("b", bytearray(gzip.compress(data))), ("c", bytearray(b"")), ("d", None), ("e", bytearray(latin)), ("f", bytearray(data[:-3]))], "path string, content binary")
+    got = sorted(archives.convert(arcs).collect(), key=lambda r: r["path"])
+    assert [(r["path"], r["payload"] and bytes(r["payload"]), r["warc_date"], r["type"], r["error"]) for r in got] == [
+        *[(p, b"body", "2001-02-03T04:05:06Z", "response", None) for p in "ab"], ("e", b"caf\xe9 \xff\r\n\r\n", "2001-02-03T04:05:06Z", "response", None), ("f", None, None, None, "a record cut short")
+    ]
+
+
+def test_converted_archives_are_written_and_read(spark, tmp_path):
+    """Payloads of any bytes, and repeated records, through WARC files and back."""
+    bodies = [b"caf\xe9 \xff", b"x\r\n", b"\r\n\r\n\r\n", b"", b"WARC/1.0\r\nContent-Length: 3\r\n\r\nabc", b"caf\xe9 \xff", b"\xef\xbb\xbfbom", bytes(range(256)) * 50]
+    head = archives.arc_version_block(2, "f.arc", "20010203040506")
+    data = head + b"".join(archives.arc_record(2, f"http://x/{i % 5}", "20010203", b"HTTP/1.0 200 OK\r\n\r\n" + b) for i, b in enumerate(bodies))
+    records = archives.convert(spark.createDataFrame([("a", bytearray(data))], "path string, content binary"))
+    firsts = records.groupBy("payload_sha1").agg(F.min(F.struct(F.col("ordinal").alias("first_key"), F.col("target_uri").alias("first_uri"), F.col("warc_date").alias("first_date"))).alias("f")).select("payload_sha1", "f.*")
+    archives.write_warc(archives.deduplicated(records, firsts), str(tmp_path / "w"), key="ordinal")
+    got = {int(r["key"]): r for r in archives.read_warc(spark, str(tmp_path / "w")).collect()}
+    assert len(got) == len(bodies) and len({r["record_id"] for r in got.values()}) == len(bodies)
+    for i, b in enumerate(bodies):
+        assert (got[i]["payload_bytes"], got[i]["payload_digest"], got[i]["error"]) == (len(b), archives.base32_sha1(b), None)
+        assert got[i]["refers_to"] == ("0" if i == 5 else None)
+
+
+def test_damaged_warc():
+    good = b"WARC/1.1\r\nContent-Length: 2\r\n\r\nab\r\n\r\n"
+    parts = lambda data: data.split(b"\r\n\r\n")
+    errors = lambda data: [(f.get("error"), b) for f, b in archives.parse_warc(parts(data))]
+    assert errors(good + good) == [(None, b"ab")] * 2
+    assert errors(good.replace(b"ab", b"abcd") + good) == [("a block of another length than declared", b"ab"), (None, b"ab")]
+    assert errors(good + good.replace(b": 2", b": 900")) == [(None, b"ab"), ("a record cut short", b"ab\r\n\r\n")]
+    assert errors(good.replace(b": 2", b": x") + good) == [("a length that is no number", b""), (None, b"ab")]
 
 
 def test_warc_round_trip(spark, tmp_path):
     htmls = ["<p>a</p>", None, "", "WARC/1.1\r\n\r\n\r\nx", "<p>a</p>", "é\r\n\r\n", "<p>a</p>", "y" * 300_000]
-    pages = spark.createDataFrame([(9 - i, f"http://h/{i}" if i else None, h) for i, h in enumerate(htmls)], "page_id long, url string, html string")
+    rows = [(9 - i, f"http://h/{i}" if i else None, h, "clash", "clash") for i, h in enumerate(htmls)]
+    pages = spark.createDataFrame([*rows, (None, "http://n", "<p>a</p>", "", "")], "page_id long, url string, html string, payload string, first_key string")
     records = archives.deduplicated(archives.from_pages(pages), archives.first_payloads(pages))
     archives.write_warc(records, str(tmp_path / "w"))
-    got = {int(r["key"]): r for r in archives.read_warc(spark, str(tmp_path / "w")).collect()}
+    found = archives.read_warc(spark, str(tmp_path / "w")).collect()
+    got = {int(r["key"]): r for r in found if r["key"]}
+    assert [(r["record_type"], r["refers_to"]) for r in found if not r["key"]] == [("response", None)]
     least = {}
     for k, h in sorted((9 - i, h or "") for i, h in enumerate(htmls)):
         r, first = got[k], least.setdefault(h, k)
         assert (r["payload_bytes"], r["payload_digest"]) == (len(h.encode()), archives.base32_sha1(h.encode()))
         assert (r["record_type"] == "revisit", r["refers_to"]) == (first != k, str(first) if first != k else None)
-    assert archives.from_pages(pages.limit(0)).count() == 0
+
+
+def test_repeated_rows_and_an_empty_table(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "http://h", "<p>")] * 3 + [(2, "http://h", "<p>")], "page_id long, url string, html string")
+    for name, table in (("r", pages), ("e", pages.limit(0))):
+        archives.write_warc(archives.deduplicated(archives.from_pages(table), archives.first_payloads(table)), str(tmp_path / name))
+    found = archives.read_warc(spark, str(tmp_path / "r")).collect()
+    assert sorted((r["key"], r["record_type"]) for r in found) == [("1", "response")] * 3 + [("2", "revisit")]
+    assert len({r["record_id"] for r in found}) == 4 and [r["refers_to"] for r in found if r["key"] == "2"] == ["1"]
+    assert archives.read_warc(spark, str(tmp_path / "e")).count() == 0
 
 
 def test_markers():
