@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -9,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -102,6 +104,97 @@ def test_toxicity_learns_words(spark):
     assert scores[9999] == pytest.approx(1 / (1 + np.exp(-model.bias)))
 
 
+def plain_features(text, bits):
+    """Coordinates of words, stems, neighbours and skip-grams, text by text, through the block hash of single words."""
+    from auditloom.llm import text_blocks
+
+    def hashed(word):
+        block = next(text_blocks.blocks(pa.array([word])))
+        return block.tokens(toxicity._WORDS).hashes[0]
+
+    words = re.findall(rb"[0-9A-Za-z\x80-\xff]+", (text or "").encode())
+    h = [int(hashed(w)) for w in words]
+    stems = [int(hashed(w[:5])) for w in words]
+    mix = lambda *x: int(text_blocks.ngrams(np.array(x[:-1], np.uint64), tuple(range(1, len(x) - 1)), x[-1])[0])
+    found = [mix(x, 1) for x in h] + [mix(x, 4) for x in stems]
+    found += [mix(a, b, 2) for a, b in zip(h, h[1:])] + [mix(a, b, 3) for a, b in zip(h, h[2:])]
+    return sorted({x >> (64 - bits) for x in found})
+
+
+def plain_ftrl(cases, config):
+    """The published update, coordinate by coordinate in dictionaries; the bias has no L1."""
+    z, n = Counter(), Counter()
+    bias = 1 << config.bits
+
+    def weight(i):
+        l1 = 0.0 if i == bias else config.l1
+        if abs(z[i]) <= l1:
+            return 0.0
+        return -(z[i] - math.copysign(l1, z[i])) / ((config.beta + math.sqrt(n[i])) / config.alpha + config.l2)
+
+    rng = np.random.default_rng(7)
+    for _ in range(config.epochs):
+        for k in rng.permutation(len(cases)):
+            label, at = cases[k]
+            w = {i: weight(i) for i in [*at, bias]}
+            g = (1 / (1 + math.exp(-sum(w.values()))) - label) * (config.toxic_weight if label else 1)
+            for i in w:
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / config.alpha * w[i]
+                n[i] += g * g
+    return {i: weight(i) for i in z if weight(i)}
+
+
+@pytest.mark.parametrize("shards", [1, 3])
+def test_fit_is_plain_ftrl(spark, shards):
+    """The same sample and order through plain loops gives the same weights; shards of equal counts stay apart."""
+    rng = random.Random(shards)
+    rows = [(i, " ".join(rng.choice(["ab", "Cd", "toxicish", "efghij", "k!l"]) for _ in range(rng.randint(0, 12)))) for i in range(60)]
+    rows += [(100, None), (101, ""), rows[5]]
+    labels = [(i, int("toxicish" in (t or ""))) for i, t in rows[:60]] + [(100, 1), (5, 1), (7, None), (None, 1), (999, 1)]
+    docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, toxic string")
+    config = toxicity.FtrlConfig(alpha=0.5, l1=0.5, bits=16, epochs=3, shards=shards, sample=1000)
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), config=config)
+    known = {}
+    for i, y in labels:
+        if i is not None and y is not None:
+            known[i] = max(y, known.get(i, 0))
+    cases = {}
+    for i, t in rows:
+        if i in known:
+            h = xxhash.xxh64_intdigest(str(i).encode(), 42)
+            h = h - (1 << 64) if h >= 1 << 63 else h
+            at = plain_features(t, config.bits)
+            cases.setdefault(toxicity.shard_of(h, shards), []).append((h, known[i], zlib.crc32(np.array(at, np.uint32)), at))
+    total = sum(map(len, cases.values()))
+    want = Counter()
+    for mine in cases.values():
+        mine.sort(key=lambda c: c[:3])
+        for i, w in plain_ftrl([(y, at) for _, y, _, at in mine], config).items():
+            want[i] += w * len(mine) / total
+    assert len(cases) == shards and model.bias == pytest.approx(want.pop(1 << config.bits))
+    got = {int(i): w for i, w in zip(model.index, model.weight) if w}
+    assert got == pytest.approx({i: w for i, w in want.items() if w})
+
+
+def test_shards_of_equal_counts(spark):
+    """Two shards with the same numbers of cases and toxic cases are two shards: no weight is doubled."""
+    docs = spark.createDataFrame([(i, "good words" if i % 2 else "bad words") for i in range(400)], "doc_id long, text string")
+    labels = docs.select("doc_id", (1 - F.col("doc_id") % 2).cast("int").alias("toxic"))
+    one, two = (toxicity.fit(docs, labels, config=toxicity.FtrlConfig(bits=16, shards=n)) for n in (1, 2))
+    assert np.abs(two.weight).max() < 1.5 * np.abs(one.weight).max()
+
+
+def test_scores_of_edge_texts(spark, docs):
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in range(len(EDGES))], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, config=toxicity.FtrlConfig(l1=0.1, sample=5))
+    found = toxicity.score(docs, model, name="toxicity").collect()
+    got = {r["doc_id"]: r["toxicity"] for r in found}
+    assert len(found) == len(EDGES) + 1 and all(0 <= x <= 1 for x in got.values())
+    assert got[0] == got[1] == got[2] == pytest.approx(1 / (1 + math.exp(-model.bias)))
+    with pytest.raises(ValueError):
+        toxicity.score(docs, model, keep=("doc_id", "score"))
+
+
 def test_one_class_of_labels(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, "c d")], "doc_id long, text string")
     model = toxicity.fit(docs, spark.createDataFrame([(1, 0), (2, 0)], "doc_id long, toxic int"))
