@@ -18,6 +18,7 @@ by row; the vocabulary file must be readable by every executor at the same path.
 from __future__ import annotations
 
 import json
+import re
 from array import array
 from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
@@ -34,7 +35,8 @@ from auditloom.llm.text_blocks import Block
 
 #: The fixed pattern of the public byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_ODD_SPACE = regex.compile(r" (?:\s|\Z)")
+_ODD_SPACE = re.compile(r" (?:\s|\Z)")
+_MARKS = frozenset("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
 #: Words, chunks of text and pairs of tokens that a task remembers; a table that has grown so large is emptied.
 WORDS, CHUNKS, PAIRS = 400_000, 200_000, 200_000
 
@@ -166,6 +168,16 @@ class Vocabulary:
         first, *rest = text.split(" ")
         return [first, *map(" ".__add__, rest)]
 
+    def words_of(self, chunk: str) -> list[str]:
+        """The words of a piece that ``chunked`` gave. Letters alone, with a space before them and a mark after
+        them at most, are told without the pattern."""
+        bare = chunk[1:] if chunk[:1] == " " else chunk
+        if bare.isalpha():
+            return [chunk]
+        if bare[-1:] in _MARKS and bare[:-1].isalpha():
+            return [chunk[:-1], chunk[-1]]
+        return [chunk] if chunk in self.special else self.words.findall(chunk)
+
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         """The ids of each text as 32-bit integers end to end."""
         pieces = [self.chunked(t) for t in texts]
@@ -173,7 +185,7 @@ class Vocabulary:
             self.chunks.clear()
         if len(self.known) > WORDS:
             self.known.clear()
-        new = {c: [w.encode() for w in self.split(c)] for c in set().union(*pieces).difference(self.chunks)}
+        new = {c: [w.encode() for w in self.words_of(c)] for c in set().union(*pieces).difference(self.chunks)}
         special = {s.encode(): array("i", [i]).tobytes() for s, i in self.special.items()}
         self.known.update(self.encode_words(set().union(*new.values()).difference(self.known, special)))
         self.known.update(special)
