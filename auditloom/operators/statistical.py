@@ -1,7 +1,8 @@
 """Statistical detectors: text length, new vocabulary, sentiment and numbers against a baseline of earlier texts.
 
 Baselines are aggregate tables of one row (lengths, sentiment, numbers) or of one row a word.  Reports carry
-``report_id`` and ``content``.
+``report_id`` and ``content``.  ``row_features``, ``hapaxes`` and ``scores`` give all four at once from two
+readings of the texts.
 """
 
 from __future__ import annotations
@@ -14,14 +15,16 @@ from pyspark.sql import functions as F
 from auditloom.config import LEXICONS, THRESHOLDS
 from auditloom.functions import text as X
 from auditloom.functions.scalars import attach, weighted, z_score
+from auditloom.operators.quantiles import percentiles
+from auditloom.sources.shared import stash
 
 
-def describe(values: DataFrame, column: str) -> DataFrame:
-    """One row: n, mean, std (population), min, max and percentiles."""
+def describe(values: DataFrame, column: str, shares: Sequence[float] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
+    """One row: n, mean, std (population), min, max and exact percentiles, which are searched at once."""
     c = F.col(column)
-    shares = (0.05, 0.25, 0.5, 0.75, 0.95)
-    row = values.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"), F.percentile(c, F.array(*map(F.lit, shares))).alias("p"))
-    return row.select("n", "mean", "std", "min", "max", *[F.get("p", F.lit(i)).alias(f"p{int(100 * s)}") for i, s in enumerate(shares)])
+    row = values.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"))
+    found = percentiles(values, column, shares) if shares else []
+    return row.select("*", *[F.lit(p).cast("double").alias(f"p{int(100 * s)}") for s, p in zip(shares, found)])
 
 
 def vocabulary(reports: DataFrame, cap: int | None = None, stop_words: Sequence[str] = ()) -> DataFrame:
@@ -47,6 +50,17 @@ def vocabulary_novelty(reports: DataFrame, words: DataFrame, stop_words: Sequenc
     unique = reports.select("report_id", F.explode_outer(F.array_distinct(X.tokens(F.col("content"), stop_words))).alias("word"))
     known = words.select("word", F.lit(True).alias("known"))
     counted = unique.join(known, "word", "left").groupBy("report_id").agg(F.count("word").alias("n_unique"), F.count_if(F.col("word").isNotNull() & F.col("known").isNull()).alias("n_new"))
+    return _novelty(counted)
+
+
+def self_novelty(reports: DataFrame, stop_words: Sequence[str] = ()) -> DataFrame:
+    """``vocabulary_novelty`` of reports against the words that occur twice or more in themselves."""
+    unique = reports.select("report_id", F.size(F.array_distinct(X.tokens(F.col("content"), stop_words))).cast("long").alias("n_unique"))
+    found = unique.join(hapaxes(reports, stop_words), "report_id", "left").withColumn("n_new", F.coalesce("n_new", F.lit(0)))
+    return _novelty(found)
+
+
+def _novelty(counted: DataFrame) -> DataFrame:
     r = F.col("n_new") / F.greatest(F.col("n_unique"), F.lit(1))
     return counted.withColumn("ratio", r).select("report_id", "n_unique", "n_new", "ratio", F.least(F.col("ratio") / THRESHOLDS.novelty, F.lit(1.0)).alias("score"), (F.col("ratio") > THRESHOLDS.novelty).alias("is_anomaly"))
 
@@ -73,18 +87,45 @@ def number_anomaly(reports: DataFrame, baseline: DataFrame, patterns: Sequence[s
     return found.withColumn("is_anomaly", F.col("score") > THRESHOLDS.number_deviation)
 
 
-def total(length: DataFrame, novelty: DataFrame, feeling: DataFrame, numbers: DataFrame) -> DataFrame:
-    """(report_id, four scores, statistical_score). The parts share their key and partitioning."""
-    parts = [d.select("report_id", F.col("score").alias(n)) for d, n in ((length, "length_score"), (novelty, "novelty_score"), (feeling, "sentiment_part"), (numbers, "number_score"))]
-    joined = parts[0].join(parts[1], "report_id").join(parts[2], "report_id").join(parts[3], "report_id")
-    return joined.withColumn("statistical_score", weighted([F.col(c) for c in ("length_score", "novelty_score", "sentiment_part", "number_score")], THRESHOLDS.statistical_weights))
+def row_features(reports: DataFrame, keep: Sequence[str | Column] = (), positive: Sequence[str] = LEXICONS.positive, negative: Sequence[str] = LEXICONS.negative, patterns: Sequence[str] = LEXICONS.number_patterns, stop_words: Sequence[str] = ()) -> DataFrame:
+    """(report_id, keep, length, n_unique, sentiment_score, numbers) from one reading of the texts, whose words are
+    told apart once. Written to the shared folder: what follows reads these few columns, not the texts."""
+    told = F.transform(F.array(X.tokens(F.col("content"), stop_words)), lambda w: F.struct(F.size(F.array_distinct(w)).cast("long").alias("n_unique"), X.sentiment(w, positive, negative).alias("sentiment_score")))
+    found = reports.select("report_id", *keep, F.length("content").cast("long").alias("length"), told[0].alias("told"), X.numbers(F.col("content"), patterns).alias("numbers"))
+    found = stash(found, "features")
+    kept = [c for c in found.columns if c not in ("report_id", "length", "told", "numbers")]
+    return found.select("report_id", *kept, "length", "told.n_unique", "told.sentiment_score", "numbers")
+
+
+def hapaxes(reports: DataFrame, stop_words: Sequence[str] = ()) -> DataFrame:
+    """(report_id, n_new): words of a report that occur once in all reports together; reports without any are not in it.
+    Words are counted before they are shuffled, so that what moves is vocabularies, not texts."""
+    words = reports.select("report_id", F.explode(X.tokens(F.col("content"), stop_words)).alias("word"))
+    single = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min("report_id").alias("report_id")).where("n = 1")
+    return single.groupBy("report_id").agg(F.count(F.lit(1)).alias("n_new"))
+
+
+def scores(features: DataFrame, new_words: DataFrame) -> DataFrame:
+    """``features`` of ``row_features`` with the four parts and ``statistical_score``, the reports being their own
+    baseline; ``new_words`` is (report_id, n_new)."""
+    base = features.agg(*[f(c).alias(f"{c}_{n}") for c in ("length", "sentiment_score") for n, f in (("mean", F.avg), ("std", F.stddev_pop))])
+    low, high = percentiles(features.select(F.explode("numbers").alias("value")), "value", (0.05, 0.95))
+    found = attach(features.join(new_words, "report_id", "left"), base)
+    z = lambda c: z_score(F.col(c), F.col(f"{c}_mean"), F.col(f"{c}_std"))
+    worst = F.array_max(F.transform("numbers", lambda v: deviation(v, F.lit(low), F.lit(high)))) if low is not None else F.lit(0.0)
+    ratio = F.coalesce("n_new", F.lit(0)) / F.greatest("n_unique", F.lit(1))
+    parts = {"length_score": F.least(z("length") / THRESHOLDS.length_z, F.lit(1.0)), "novelty_score": F.least(ratio / THRESHOLDS.novelty, F.lit(1.0)), "sentiment_part": F.least(z("sentiment_score") / THRESHOLDS.sentiment_z, F.lit(1.0)), "number_score": F.coalesce(worst, F.lit(0.0))}
+    kept = [c for c in features.columns if c != "numbers"]
+    scored = found.select(*kept, *[v.alias(k) for k, v in parts.items()])
+    return scored.withColumn("statistical_score", weighted([F.col(c) for c in parts], THRESHOLDS.statistical_weights))
 
 
 def keywords(reports: DataFrame, k: int = 5, stop_words: Sequence[str] = ()) -> DataFrame:
-    """The k words of greatest tf-idf of each report: (report_id, word, tf, weight, rank)."""
-    counted = reports.select("report_id", F.explode(X.tokens(F.col("content"), stop_words)).alias("word")).groupBy("report_id", "word").agg(F.count(F.lit(1)).alias("tf"))
-    total_docs = reports.agg(F.count(F.lit(1)).alias("docs"))
-    spread = attach(counted.groupBy("word").agg(F.count(F.lit(1)).alias("df")), total_docs).select("word", F.log(F.col("docs") / F.col("df")).alias("idf"))
+    """The k words of greatest tf-idf of each report: (report_id, word, tf, weight, rank). Words are counted once and
+    written; document frequencies and weights read the counts."""
+    counted = stash(reports.select("report_id", F.explode(X.tokens(F.col("content"), stop_words)).alias("word")).groupBy("report_id", "word").agg(F.count(F.lit(1)).alias("tf")), "counts")
+    docs = reports.agg(F.count(F.lit(1)).alias("docs"))
+    spread = attach(counted.groupBy("word").agg(F.count(F.lit(1)).alias("df")), docs).select("word", F.log(F.col("docs") / F.col("df")).alias("idf"))
     ranked = counted.join(spread, "word").withColumn("weight", F.col("tf") * F.col("idf"))
     order = Window.partitionBy("report_id").orderBy(F.desc("weight"), "word")
     return ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("report_id", "word", "tf", "weight", "rank")

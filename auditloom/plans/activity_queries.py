@@ -316,10 +316,10 @@ _FUSE = (
 )
 
 
-def fused(spark, sf_dir):
+def fused(spark, sf_dir, keep=()):
     r = reports(spark, sf_dir)
     rules = semantic.total(semantic.rules(r, WORDS).withColumn("deviation", F.lit(0.0)))
-    s = statistical_scores(spark, sf_dir).select("report_id", F.col("statistical_score").alias("statistical"))
+    s = statistical_scores(spark, sf_dir, keep).drop("length", "n_unique", "sentiment_score", "length_score", "novelty_score", "sentiment_part", "number_score").withColumnRenamed("statistical_score", "statistical")
     both = s.join(rules.select("report_id", F.col("semantic_score").alias("semantic")), "report_id")
     none = F.lit(None).cast("double")
     return fusion.fuse(both.withColumns({"behavioral": none, "market": none}))
@@ -334,8 +334,8 @@ def fusion_report(spark, sf_dir):
 @query(_FUSE + " select report_id, round(greatest(0.0, least(1.0, score + 0.1 * (1 - least(spread, 0.5) - 0.5) + 0.1 * (greatest(0.0, least(1.0, 0.8 - case when length(content) < 100 then 0.3 when length(content) < 500 then 0.1 else 0.0 end - 0.2 - case when length(content) = 0 then 0.2 else 0.0 end)) - 0.5))), 6) as dynamic_score from z join d using (report_id)")
 def fusion_dynamic(spark, sf_dir):
     quality = fusion.data_quality(F.col("content"), F.lit(False), F.lit(True))
-    joined = fused(spark, sf_dir).join(reports(spark, sf_dir).select("report_id", "content"), "report_id")
-    return rounded(joined.select("report_id", fusion.dynamic_threshold(F.col("score"), quality).alias("dynamic_score")))
+    found = fused(spark, sf_dir, [quality.alias("quality")])
+    return rounded(found.select("report_id", fusion.dynamic_threshold(F.col("score"), F.col("quality")).alias("dynamic_score")))
 
 
 @query()

@@ -41,20 +41,16 @@ _NUMBER_SQL = r", x as (select report_id, unnest(regexp_extract_all(content, '(\
 
 
 def _length(r):
-    return statistical.length_anomaly(r, statistical.describe(r.select(F.length("content").alias("n")), "n"))
-
-
-def _novelty(r):
-    return statistical.vocabulary_novelty(r, statistical.vocabulary(r).where("n > 1"))
+    return statistical.length_anomaly(r, statistical.describe(r.select(F.length("content").alias("n")), "n", ()))
 
 
 def _sentiment(r):
     scored = statistical.with_sentiment(r, POSITIVE, NEGATIVE)
-    return statistical.sentiment_anomaly(scored, statistical.describe(scored, "sentiment_score"))
+    return statistical.sentiment_anomaly(scored, statistical.describe(scored, "sentiment_score", ()))
 
 
 def _numbers(r):
-    return statistical.number_anomaly(r, statistical.describe(statistical.number_values(r, NUMBERS), "value"), NUMBERS)
+    return statistical.number_anomaly(r, statistical.describe(statistical.number_values(r, NUMBERS), "value", (0.05, 0.95)), NUMBERS)
 
 
 @query(_LENGTH_SQL + " select report_id, length, round(z, 6) as z, round(least(z / 2, 1), 6) as score, z > 2 as is_anomaly from length_part")
@@ -64,7 +60,7 @@ def length_anomaly(spark, sf_dir):
 
 @query(DOCS + _NOVELTY_SQL + " select report_id, n_unique, n_new, round(n_new / greatest(n_unique, 1), 6) as ratio, round(least(n_new / greatest(n_unique, 1) / 0.15, 1), 6) as score, n_new / greatest(n_unique, 1) > 0.15 as is_anomaly from novelty_part")
 def vocab_novelty(spark, sf_dir):
-    return rounded(_novelty(reports(spark, sf_dir)))
+    return rounded(statistical.self_novelty(reports(spark, sf_dir)))
 
 
 @query(DOCS + _SENTIMENT_SQL + " select report_id, round(sentiment_score, 5) as sentiment_score, round(z, 6) as z, round(least(z / 2.5, 1), 6) as score, z > 2.5 as is_anomaly from sentiment_part")
@@ -86,19 +82,19 @@ def numeric_outliers(spark, sf_dir):
 _TOTAL_SQL = _LENGTH_SQL + _NOVELTY_SQL + _SENTIMENT_SQL + _NUMBER_SQL + ", t as (select report_id, least(a.z / 2, 1) as length_score, least(b.n_new / greatest(b.n_unique, 1) / 0.15, 1) as novelty_score, least(c.z / 2.5, 1) as sentiment_part, e.score as number_score, 0.2 * least(a.z / 2, 1) + 0.3 * least(b.n_new / greatest(b.n_unique, 1) / 0.15, 1) + 0.3 * least(c.z / 2.5, 1) + 0.2 * e.score as statistical_score from length_part a join novelty_part b using (report_id) join sentiment_part c using (report_id) join number_part e using (report_id))"
 
 
-def statistical_scores(spark, sf_dir):
+def statistical_scores(spark, sf_dir, keep=()):
     r = reports(spark, sf_dir)
-    return statistical.total(_length(r), _novelty(r), _sentiment(r), _numbers(r))
+    return statistical.scores(statistical.row_features(r, keep, POSITIVE, NEGATIVE, NUMBERS), statistical.hapaxes(r))
 
 
 @query(_TOTAL_SQL + " select report_id, round(length_score, 6) as length_score, round(novelty_score, 6) as novelty_score, round(sentiment_part, 6) as sentiment_part, round(number_score, 6) as number_score, round(statistical_score, 6) as statistical_score from t")
 def statistical_score(spark, sf_dir):
-    return rounded(statistical_scores(spark, sf_dir))
+    return rounded(statistical_scores(spark, sf_dir).select("report_id", "length_score", "novelty_score", "sentiment_part", "number_score", "statistical_score"))
 
 
 @query(_TOTAL_SQL + f" select lang, {LEVEL.format('statistical_score')} as level, count(*) as n, round(avg(statistical_score), 6) as mean_score from t join d using (report_id) group by 1, 2")
 def level_by_lang(spark, sf_dir):
-    scored = statistical_scores(spark, sf_dir).join(reports(spark, sf_dir).select("report_id", "lang"), "report_id")
+    scored = statistical_scores(spark, sf_dir, ["lang"])
     return rounded(scored.groupBy("lang", level(F.col("statistical_score")).alias("level")).agg(F.count(F.lit(1)).alias("n"), F.avg("statistical_score").alias("mean_score")))
 
 
@@ -290,7 +286,7 @@ def level_histogram(spark, sf_dir):
 
 @query(_TOTAL_SQL + " select count(*) as n, count(*) filter (where statistical_score > 0.5) as anomalous, round(avg(statistical_score), 6) as mean_score, round(count(*) filter (where statistical_score > 0.5) / count(*), 6) as rate, case when count(*) filter (where statistical_score > 0.5) / count(*) > 0.3 then 'HIGH' when count(*) filter (where statistical_score > 0.5) > 0 then 'MEDIUM' else 'LOW' end as risk from t")
 def batch_summary(spark, sf_dir):
-    return rounded(learning.batch_summary(statistical_scores(spark, sf_dir).withColumnRenamed("statistical_score", "score")))
+    return rounded(learning.batch_summary(statistical_scores(spark, sf_dir).select(F.col("statistical_score").alias("score"))))
 
 
 @query(r"select doc_id as report_id, length(c)::int as total_length, len([p for p in regexp_split_to_array(c, '\n{2,}') if trim(p) <> ''])::int as paragraph_count, round(case when length(c) = 0 then 0.0 else len(regexp_extract_all(c, '[0-9]')) / length(c) end, 6) as digit_density, case when regexp_matches(c, '买入|强烈推荐|强推') then '买入' else '未明确' end as rating, coalesce(nullif(regexp_extract(substring(c, 1, 2000), '(\d{4})[-/年](\d{1,2})[-/月](\d{1,2})', 1), ''), '2025') as year from (select doc_id, coalesce(text, '') as c from documents)")
