@@ -116,26 +116,3 @@ def financial_numbers(text: Column) -> Column:
         return F.transform(pairs, lambda p: F.struct(F.lit(kind).alias("kind"), p["v"].try_cast("double").alias("value"), p["t"].alias("text")))
 
     return F.concat(*[of(k, p) for k, p in TYPED.items()])
-
-
-def mixed_similarity(a: dict[str, Column], b: dict[str, Column], kinds: dict[str, str], weights: dict[str, float] | None = None) -> Column:
-    """The weighted mean over features: numbers by relative distance, lists by Jaccard, strings by the share of one's
-    characters that the other has, over the greater length."""
-
-    def one(x: Column, y: Column, kind: str) -> Column:
-        if kind == "number":
-            top = F.greatest(F.abs(x), F.abs(y))
-            return F.when(top == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), 1 - F.abs(x - y) / top))
-        if kind == "list":
-            return F.when(F.size(F.array_union(x, y)) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
-        shared = F.size(F.filter(F.split(x, ""), lambda c: (c != "") & F.contains(y, c)))
-        longest = F.greatest(F.length(x), F.length(y))
-        return F.when(longest == 0, F.lit(1.0)).otherwise(shared / longest)
-
-    w = weights or {k: 1.0 for k in kinds}
-    return reduce(lambda p, q: p + q, [one(a[k], b[k], kind) * w[k] for k, kind in kinds.items()]) / sum(w[k] for k in kinds)
-
-
-def matches(x: Column, y: Column, within: float = 0.1) -> Column:
-    """Numbers that differ by no more than a tenth of the greater."""
-    return F.abs(x - y) <= within * F.greatest(F.abs(x), F.abs(y))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from auditloom.config import LEXICONS
 from auditloom.functions import text as X
 from auditloom.functions.scalars import days_between
+from auditloom.sources.shared import stash
 
 
 def text_features(reports: DataFrame, positive: Sequence[str] = LEXICONS.positive, negative: Sequence[str] = LEXICONS.negative, end: str = LEXICONS.sentence_end) -> DataFrame:
@@ -48,10 +49,14 @@ def word_shares(reports: DataFrame, k: int = 10) -> DataFrame:
 
 
 def author_repetition(reports: DataFrame, above: float = 0.8) -> DataFrame:
-    """(report_id, author, similarity, repetitive): word Jaccard with the author's row before, in order of ``at``."""
-    words = reports.select("report_id", "author", "at", F.array_distinct(X.tokens(F.col("content"))).alias("words"))
-    before = F.lag("words").over(Window.partitionBy("author").orderBy("at", "report_id"))
-    found = words.withColumn("similarity", F.when(before.isNull(), F.lit(0.0)).otherwise(X.jaccard(F.col("words"), before)))
+    """(report_id, author, similarity, repetitive): word Jaccard with the author's row before, in order of ``at``. Only
+    ids go through the window, as an author may have a third of all rows; word sets are joined by id."""
+    order = Window.partitionBy("author").orderBy("at", "report_id")
+    pairs = reports.select("report_id", "author", "at").withColumn("before", F.lag("report_id").over(order)).drop("at")
+    words = stash(reports.select("report_id", F.array_distinct(X.tokens(F.col("content"))).alias("words")), "words")
+    earlier = words.select(F.col("report_id").alias("before"), F.col("words").alias("words_before"))
+    found = pairs.join(words, "report_id").join(earlier, "before", "left")
+    found = found.withColumn("similarity", F.when(F.col("words_before").isNull(), F.lit(0.0)).otherwise(X.jaccard(F.col("words"), F.col("words_before"))))
     return found.select("report_id", "author", "similarity", (F.col("similarity") > above).alias("repetitive"))
 
 

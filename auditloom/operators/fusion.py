@@ -3,8 +3,10 @@ family is not available."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,14 +93,25 @@ def fuse(scores: DataFrame, weights: tuple[float, ...] = THRESHOLDS.family_weigh
 
 
 def fold_weights(history: DataFrame, start: tuple[float, ...] = THRESHOLDS.family_weights) -> DataFrame:
-    """Weights per ``group`` after its detections in order (``at``): each moves by a tenth of how well its family
-    agreed with the whole beyond one half, within [0.1, 1.5], and all are scaled to sum 1. A fold is sequential, so a
-    group's recent history (a bounded table) is one array."""
-    ordered = history.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("at", "score", *FAMILIES))).alias("h"))
-
-    def step(w: Column, x: Column) -> Column:
-        moved = [clamp(w[f] + F.coalesce(0.1 * (0.5 - F.abs(x[f] - x["score"])), F.lit(0.0)), 0.1, 1.5) for f in FAMILIES]
-        return F.transform(F.array(F.array(*moved)), lambda m: F.struct(*[(F.get(m, F.lit(i)) / F.aggregate(m, F.lit(0.0), lambda a, b: a + b)).alias(f) for i, f in enumerate(FAMILIES)]))[0]
-
-    initial = F.struct(*[F.lit(w).alias(f) for f, w in zip(FAMILIES, start)])
-    return ordered.select("group", F.aggregate("h", initial, step).alias("w")).select("group", "w.*")
+    """Weights per ``group`` after all its detections in order (``at``): each moves by a tenth of how well its family
+    agreed with the whole beyond one half, within [0.1, 1.5], and all are scaled to sum 1.  Every step needs the one
+    before, so a group's rows go through one task, sorted outside memory; it holds four numbers, whatever their count."""
+    kind = history.schema["group"].dataType.simpleString()
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, weights = None, None
+        made = lambda: pa.RecordBatch.from_pydict({"group": [group], **{f: [w] for f, w in zip(FAMILIES, weights)}})
+        for batch in batches:
+            groups, scores, *families = [c.to_pylist() for c in batch.columns]
+            for g, score, *parts in zip(groups, scores, *families):
+                if weights is None or g != group:
+                    if weights is not None:
+                        yield made()
+                    group, weights = g, list(start)
+                moved = [min(1.5, max(0.1, w + (0.0 if p is None else 0.1 * (0.5 - abs(p - score))))) for w, p in zip(weights, parts)]
+                weights = [m / sum(moved) for m in moved]
+        if weights is not None:
+            yield made()
+
+    ordered = history.where(F.col("score").isNotNull()).repartition("group").sortWithinPartitions("group", "at").select("group", "score", *FAMILIES)
+    return ordered.mapInArrow(fold, f"`group` {kind}, " + ", ".join(f"{f} double" for f in FAMILIES))

@@ -6,8 +6,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.functions.scalars import clamp
-
 
 def feedback_statistics(feedback: DataFrame) -> DataFrame:
     """Per feedback type: count, correct, accuracy, mean rating over ten."""
@@ -34,14 +32,14 @@ def detection_metrics(detections: DataFrame, feedback: DataFrame) -> DataFrame:
     return row.withColumn("accuracy", F.when(F.col("n_feedback") > 0, F.col("true_positives") / F.col("n_feedback")).otherwise(0.0)).withColumn("false_positive_rate", F.col("false_positives") / F.greatest("positives", F.lit(1)))
 
 
-def adapt_thresholds(thresholds: DataFrame, feedback: DataFrame) -> DataFrame:
-    """(name, threshold) with ``adapted``: a twentieth more where over 30 % of the feedback says false positive, less
-    where over 20 % says missed, within [0.1, 0.9]."""
-    row = feedback.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("feedback_type") == "FALSE_POSITIVE").alias("fp"), F.count_if(F.col("feedback_type") == "MISSED").alias("missed"))
+def adapt_thresholds(thresholds: DataFrame, feedback: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
+    """(name, threshold) with ``adapted``, by the feedback of the last days: a twentieth more, up to 0.9, where over
+    30 % of it says false positive; else a twentieth less, down to 0.1, where over 20 % says missed."""
+    row = recent(feedback, as_of, days).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("feedback_type") == "FALSE_POSITIVE").alias("fp"), F.count_if(F.col("feedback_type") == "MISSED").alias("missed"))
     shares = row.select(F.struct((F.col("fp") / F.greatest("n", F.lit(1))).alias("fp"), (F.col("missed") / F.greatest("n", F.lit(1))).alias("missed")))
     s = thresholds.withColumn("s", shares.scalar())
-    step = F.when(F.col("s.fp") > 0.3, 0.05).when(F.col("s.missed") > 0.2, -0.05).otherwise(0.0)
-    return s.select("name", "threshold", F.when(step == 0, F.col("threshold")).otherwise(clamp(F.col("threshold") + step, 0.1, 0.9)).alias("adapted"))
+    raised, lowered = F.least(F.lit(0.9), F.col("threshold") + 0.05), F.greatest(F.lit(0.1), F.col("threshold") - 0.05)
+    return s.select("name", "threshold", F.when(F.col("s.fp") > 0.3, raised).when(F.col("s.missed") > 0.2, lowered).otherwise(F.col("threshold")).alias("adapted"))
 
 
 def triggers(current: DataFrame, baselines: DataFrame, feedback: DataFrame, as_of: Column, last_update: Column) -> DataFrame:
@@ -54,12 +52,17 @@ def triggers(current: DataFrame, baselines: DataFrame, feedback: DataFrame, as_o
     return row.select(low.scalar().alias("degraded"), F.coalesce("negative_feedback", F.lit(False)).alias("negative_feedback"), due)
 
 
-def adjust_feature_weights(weights: DataFrame, wrong: DataFrame, keep: float = 0.9, above: float = 0.8) -> DataFrame:
-    """(feature, weight): scaled by 0.9 for each wrong case (feature, importance) in which it counted much, then all to a mean of 1."""
+def recent(feedback: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
+    return feedback.where((F.unix_timestamp("ts") >= F.unix_timestamp(as_of) - days * 86400) & (F.unix_timestamp("ts") <= F.unix_timestamp(as_of)))
+
+
+def adjust_feature_weights(weights: DataFrame, wrong: DataFrame, keep: float = 0.9, above: float = 0.8, total: float = 4.0) -> DataFrame:
+    """(feature, weight): scaled by 0.9 for each wrong case (feature, importance) in which it counted much, then all to
+    a sum of ``total``."""
     counted = wrong.groupBy("feature").agg(F.count_if(F.col("importance") > above).alias("n"))
     scaled = weights.join(counted, "feature", "left").withColumn("scaled", F.col("weight") * F.pow(F.lit(keep), F.coalesce("n", F.lit(0))))
-    mean = scaled.agg(F.avg("scaled").alias("mean"))
-    return scaled.withColumn("mean", mean.scalar()).select("feature", "weight", (F.col("scaled") / F.col("mean")).alias("adapted"))
+    whole = scaled.agg(F.sum("scaled").alias("whole"))
+    return scaled.withColumn("whole", whole.scalar()).select("feature", "weight", (total * F.col("scaled") / F.col("whole")).alias("adapted"))
 
 
 def improvement(before: Column, after: Column) -> Column:

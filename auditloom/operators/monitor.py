@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditloom.functions.scalars import trend_class
+from auditloom.sources.shared import stash
 
 
 def violation(value: Column, warning: Column, critical: Column, upper: bool | Column = True) -> Column:
@@ -34,20 +35,32 @@ def health(metrics: DataFrame, thresholds: DataFrame, newest: int = 5) -> DataFr
     return row.withColumn("health", F.when(F.col("critical") > 0, "CRITICAL").when(F.col("warnings") > 2, "WARNING").when(F.col("warnings") > 0, "CAUTION").otherwise("HEALTHY"))
 
 
+def numbered(rows: DataFrame, by: str, order: list[str], name: str = "i") -> DataFrame:
+    """``rows`` with their number (from 1) within ``by`` in the order given. Rows are dealt by ranges of that order, so
+    that a metric with most of the rows is spread over tasks; each range then counts on from those before it."""
+    ranged = stash(rows.repartitionByRange(by, *order).withColumn("__part", F.spark_partition_id()), "ranges")
+    counts = ranged.groupBy(by, "__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = counts.select(by, "__part", (F.sum("__n").over(Window.partitionBy(by).orderBy("__part")) - F.col("__n")).alias("__before"))
+    inside = ranged.withColumn("__i", F.row_number().over(Window.partitionBy(by, "__part").orderBy(*order)))
+    return inside.join(before, [by, "__part"]).withColumn(name, F.col("__before") + F.col("__i")).drop("__part", "__before", "__i")
+
+
 def trends(metrics: DataFrame) -> DataFrame:
-    """Per metric: n, slope over the order of time, mean, std, class, change from the first value. Ranks are numbered
-    by time within a metric; the slope only needs sums of them."""
-    ordered = metrics.withColumn("i", F.row_number().over(Window.partitionBy("metric").orderBy("ts", "id")).cast("double"))
+    """Per metric: n, slope over the order of time, mean, std, class, change from the first value."""
+    ordered = numbered(metrics.select("metric", "ts", "id", "value"), "metric", ["ts", "id"]).withColumn("i", F.col("i").cast("double"))
     found = ordered.groupBy("metric").agg(F.count(F.lit(1)).alias("n"), F.regr_slope("value", "i").alias("slope"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min_by("value", "i").alias("first"), F.max_by("value", "i").alias("last"))
     found = found.withColumn("trend", trend_class(F.col("n"), F.col("slope"), F.col("mean"), F.col("std")))
     return found.withColumn("change", F.col("last") - F.col("first")).withColumn("percent_change", F.when(F.col("first") != 0, 100 * (F.col("last") - F.col("first")) / F.abs("first")))
 
 
 def ends(metrics: DataFrame, k: int = 10, least: int = 20) -> DataFrame:
-    """Per metric of at least ``least`` points: the means of the first and of the last k."""
-    up, down = Window.partitionBy("metric").orderBy("ts", "id"), Window.partitionBy("metric").orderBy(F.desc("ts"), F.desc("id"))
-    ranked = metrics.withColumn("up", F.row_number().over(up)).withColumn("down", F.row_number().over(down))
-    return ranked.groupBy("metric").agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("up") <= k, F.col("value"))).alias("first_mean"), F.avg(F.when(F.col("down") <= k, F.col("value"))).alias("last_mean")).where(F.col("n") >= least)
+    """Per metric of at least ``least`` points: the means of the first and of the last k. Each end is a top-k, of which
+    every task keeps its own k before any row moves."""
+    found = metrics.groupBy("metric").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    for name, order in (("first_mean", ("ts", "id")), ("last_mean", (F.desc("ts"), F.desc("id")))):
+        end = metrics.select("metric", "ts", "id", "value").withColumn("rank", F.row_number().over(Window.partitionBy("metric").orderBy(*order))).where(F.col("rank") <= k)
+        found = found.join(end.groupBy("metric").agg(F.avg("value").alias(name)), "metric")
+    return found
 
 
 def drift(metrics: DataFrame, share: float = 0.8) -> DataFrame:
@@ -88,7 +101,9 @@ def error_rate(metrics: DataFrame) -> DataFrame:
 
 
 def retained(rows: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
-    return rows.where(F.unix_timestamp("ts") >= F.unix_timestamp(as_of) - days * 86400)
+    """Rows of the last days; older ones stay if they are alerts that are not resolved."""
+    old = F.unix_timestamp("ts") < F.unix_timestamp(as_of) - days * 86400
+    return rows.where(~old | ~F.col("resolved")) if "resolved" in rows.columns else rows.where(~old)
 
 
 def snapshot(metrics: DataFrame, names: list[str]) -> DataFrame:

@@ -35,15 +35,15 @@ def consistency_score(text: Column, words: Lexicons = LEXICONS) -> Column:
     paragraphs = X.pieces(text, r"\n")
     polar = F.transform(paragraphs, lambda p: F.signum((X.sum_of(p, words.polar_positive) - X.sum_of(p, words.polar_negative)).cast("double")))
     n = F.size(paragraphs)
-    changes = F.transform(F.array(polar), lambda a: F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.size(a) - 1, F.lit(1))), lambda i: F.get(a, i) != F.get(a, i - 1))))[0]
+    turns = F.transform(F.array(polar), lambda a: F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.size(a) - 1, F.lit(1))), lambda i: F.get(a, i) != F.get(a, i - 1))))[0]
     formal, casual = X.sum_of(text, words.formal), X.sum_of(text, words.casual)
     mixed = F.when((formal > 0) & (casual > 0), F.least(casual / formal, F.lit(1.0)) * 0.3).otherwise(0.0)
-    return F.when(n < 2, F.lit(0.0)).otherwise(F.least(F.when(changes > n * 0.6, 0.4).otherwise(0.0) + mixed, F.lit(1.0)))
+    return F.when(n < 2, F.lit(0.0)).otherwise(F.least(F.when(turns > n * 0.6, 0.4).otherwise(0.0) + mixed, F.lit(1.0)))
 
 
 def rules(reports: DataFrame, words: Lexicons = LEXICONS, response: str | None = None) -> DataFrame:
     """(report_id, three scores, three verdicts). ``response`` names a column with a language model's answer about
-    contradictions, which counts before the rule where it names a severity."""
+    contradictions, which counts before the rule where there is one."""
     t = F.coalesce(F.col("content"), F.lit(""))
     contradiction = contradiction_score(t, words) if response is None else F.coalesce(answer_score(F.col(response)), contradiction_score(t, words))
     found = reports.select("report_id", contradiction.alias("contradiction"), source_score(t, words).alias("source"), consistency_score(t, words).alias("consistency"))
@@ -51,8 +51,16 @@ def rules(reports: DataFrame, words: Lexicons = LEXICONS, response: str | None =
 
 
 def answer_score(response: Column) -> Column:
-    """The severity that an answer names (fixed words); null if none."""
-    return F.when(F.contains(response, F.lit("严重")), 0.9).when(F.contains(response, F.lit("中等")), 0.6).when(F.contains(response, F.lit("轻微")), 0.3).when(F.contains(response, F.lit("无")), 0.0)
+    """The severity that an answer names (fixed words), 0 if it names none; null without an answer."""
+    return F.when(F.contains(response, F.lit("严重")), 0.9).when(F.contains(response, F.lit("中等")), 0.6).when(F.contains(response, F.lit("轻微")), 0.3).when(response.isNotNull(), 0.0)
+
+
+#: Kinds that an answer may name, a task.
+ANSWER_KINDS = {"contradiction": ("观点矛盾", "数据矛盾", "逻辑矛盾")}
+
+
+def answer_kinds(response: Column, task: str = "contradiction") -> Column:
+    return F.array_compact(F.array(*[F.when(F.contains(response, F.lit(k)), F.lit(k)) for k in ANSWER_KINDS[task]]))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -66,10 +74,17 @@ def sentiment_gap(a: Column, b: Column) -> Column:
 
 
 def recent_views(reports: DataFrame, views: DataFrame, days: int = 180, k: int = 5) -> DataFrame:
-    """Reports (report_id, key, ts, ...) with each of the last k views (key, view_id, view_ts, ...) before them."""
-    joined = reports.join(views, "key").where((F.col("view_ts") < F.col("ts")) & (F.unix_timestamp("view_ts") >= F.unix_timestamp("ts") - days * 86400))
-    order = Window.partitionBy("report_id").orderBy(F.desc("view_ts"), F.desc("view_id"))
-    return joined.withColumn("back", F.row_number().over(order)).where(F.col("back") <= k)
+    """Reports (report_id, key, ts, ...) with each of the last k views (key, view_id, view_ts, ...) before them that are
+    not older than ``days``.  Views are numbered within their key and a report takes the k numbers below its own
+    place, so that no pairs are made but those wanted."""
+    marks = views.select("key", F.col("view_ts").alias("t"), F.lit(1).alias("view"), F.col("view_id").cast("string").alias("id"))
+    marks = marks.unionByName(reports.select("key", F.col("ts").alias("t"), F.lit(0).alias("view"), F.col("report_id").cast("string").alias("id")))
+    upto = Window.partitionBy("key").orderBy("t", "view", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = marks.withColumn("n", F.sum("view").over(upto))
+    numbered = views.join(placed.where("view = 1").select("key", F.col("id").alias("view_id"), F.col("n").alias("number")), ["key", "view_id"])
+    wanted = placed.where("view = 0 and n > 0").select("key", F.col("id").alias("report_id"), F.explode(F.sequence(F.greatest(F.lit(1), F.col("n") - (k - 1)), F.col("n"))).alias("number"))
+    near = reports.join(wanted, ["key", "report_id"]).join(numbered, ["key", "number"])
+    return near.where(F.unix_timestamp("view_ts") >= F.unix_timestamp("ts") - days * 86400)
 
 
 def view_deviation(compared: DataFrame) -> DataFrame:
@@ -79,9 +94,9 @@ def view_deviation(compared: DataFrame) -> DataFrame:
     return found.withColumn("score", F.when(hit, F.least((1 - F.col("similarity")) * (F.col("gap") + 0.5), F.lit(1.0))).otherwise(0.0))
 
 
-def view_summary(text: Column, keywords: Sequence[str], cut: int = 100) -> Column:
+def view_summary(text: Column, keywords: Sequence[str], cut: int = 100, end: str = LEXICONS.sentence_end) -> Column:
     """The sentence (over ten characters) with most keywords, the first of equals, cut; else the text's beginning."""
-    sentences = F.filter(X.pieces(text, LEXICONS.sentence_end), lambda s: F.length(s) > 10)
+    sentences = F.filter(X.pieces(text, end), lambda s: F.length(s) > 10)
     ranked = F.transform(sentences, lambda s, i: F.struct(X.sum_of(s, keywords).alias("n"), (-i).alias("i"), s.alias("s")))
     best = F.coalesce(F.array_max(ranked)["s"], text)
     return F.when(F.length(best) > cut, F.concat(F.substring(best, 1, cut), F.lit("..."))).otherwise(best)

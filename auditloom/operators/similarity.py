@@ -3,32 +3,88 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce as fold
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditloom.functions.scalars import cosine, euclidean_similarity
 
-
-def nearest(samples: DataFrame, target: DataFrame, k: int = 5, contrasting: int = 3, similarity: Callable[[Column, Column], Column] = cosine) -> DataFrame:
-    """The samples (id, vector, label) most similar to one target row: k of its class and ``contrasting`` of others.
-    The target is a scalar subquery, so the table is scanned once without a join; ties go to the lesser id."""
-    scored = samples.withColumn("t", target.select(F.struct("id", "vector", "label")).scalar()).where(F.col("id") != F.col("t.id"))
-    scored = scored.select("id", (F.col("label") == F.col("t.label")).alias("same_class"), similarity(F.col("vector"), F.col("t.vector")).alias("similarity"))
-    parts = [scored.where("same_class" if same else "not same_class").orderBy(F.desc("similarity"), "id").limit(n).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("similarity"), "id"))) for same, n in ((True, k), (False, contrasting))]
-    return parts[0].unionByName(parts[1])
-
-
-def statistics(scored: DataFrame) -> DataFrame:
-    return scored.groupBy("same_class").agg(F.count(F.lit(1)).alias("n"), F.avg("similarity").alias("mean"), F.max("similarity").alias("max"), F.min("similarity").alias("min"), F.stddev_samp("similarity").alias("std"))
+def _scored(samples: DataFrame, targets: DataFrame, measure: str, reduce: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], dict], schema: str, block: int = 65_536, target_block: int = 4096) -> DataFrame:
+    """All samples against all targets (id, vector, label), a block of each at a time: ``reduce`` makes few rows of a
+    slice of targets with a block of samples. Every block of one table meets every block of the other in a task."""
+    known, wanted = (d.where("vector is not null").select("id", F.col("vector").cast("array<double>").alias("vector"), "label") for d in (samples, targets))
+    n_blocks, n_target_blocks = max(1, -(-known.count() // block)), max(1, -(-wanted.count() // target_block))
+    part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    left = known.withColumn("s", part(n_blocks)).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(n_target_blocks - 1))))
+    right = wanted.withColumn("t", part(n_target_blocks)).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
+        x, y = np.stack(a["vector"].to_numpy()), np.stack(b["vector"].to_numpy())
+        found = []
+        for lo in range(0, len(b), 128):
+            part_ = y[lo : lo + 128]
+            if measure == "cosine":
+                norms = np.linalg.norm(part_, axis=1)[:, None] * np.linalg.norm(x, axis=1)
+                similarity = np.divide(part_ @ x.T, norms, out=np.zeros((len(part_), len(x))), where=norms > 0)
+            else:
+                similarity = 1 / (1 + np.sqrt(np.stack([((x - v) ** 2).sum(axis=1) for v in part_])))
+            found.append(pd.DataFrame(reduce(similarity, a["id"].to_numpy(), a["label"].to_numpy(), b["id"].to_numpy()[lo : lo + 128], b["label"].to_numpy()[lo : lo + 128])))
+        return pd.concat(found)
+
+    return left.groupBy("t", "s").cogroup(right.groupBy("t", "s")).applyInPandas(meet, schema)
+
+
+def nearest(samples: DataFrame, targets: DataFrame, k: int = 5, contrasting: int = 3, measure: str = "cosine") -> DataFrame:
+    """(target, id, same_class, similarity, rank): the samples (id, vector, label) most similar to each target, k of its
+    class and ``contrasting`` of others, by ``cosine`` or ``euclidean``; ties go to the lesser id. Each block keeps as
+    many, and these are ranked together."""
+
+    def best(similarity, ids, labels, target_ids, target_labels):
+        rows = {"target": [], "id": [], "same_class": [], "similarity": []}
+        for s, target, label in zip(similarity, target_ids, target_labels):
+            for same, n in ((True, k), (False, contrasting)):
+                mine = np.flatnonzero(((labels == label) == same) & (ids != target))
+                top = mine[np.lexsort((ids[mine], -s[mine]))[:n]]
+                rows["target"] += [target] * len(top)
+                rows["id"] += ids[top].tolist()
+                rows["same_class"] += [same] * len(top)
+                rows["similarity"] += s[top].tolist()
+        return rows
+
+    found = _scored(samples, targets, measure, best, "target long, id long, same_class boolean, similarity double")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("target", "same_class").orderBy(F.desc("similarity"), "id")))
+    return ranked.where(F.col("rank") <= F.when(F.col("same_class"), k).otherwise(contrasting))
+
+
+def statistics(samples: DataFrame, targets: DataFrame, measure: str = "cosine") -> DataFrame:
+    """Per target and class (its own or another): n, mean, max, min and sample std of the similarities of all samples,
+    from the sums of every block."""
+
+    def sums(similarity, ids, labels, target_ids, target_labels):
+        rows = {c: [] for c in ("target", "same_class", "n", "total", "squares", "max", "min")}
+        for s, target, label in zip(similarity, target_ids, target_labels):
+            for same in (True, False):
+                mine = s[((labels == label) == same) & (ids != target)]
+                if len(mine):
+                    for c, v in zip(rows, (target, same, len(mine), mine.sum(), (mine * mine).sum(), mine.max(), mine.min())):
+                        rows[c].append(v)
+        return rows
+
+    parts = _scored(samples, targets, measure, sums, "target long, same_class boolean, n long, total double, squares double, max double, min double")
+    found = parts.groupBy("target", "same_class").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("squares").alias("squares"), F.max("max").alias("max"), F.min("min").alias("min"))
+    spread = F.when(F.col("n") > 1, F.sqrt(F.greatest(F.lit(0.0), (F.col("squares") - F.col("total") * F.col("total") / F.col("n")) / (F.col("n") - 1))))
+    return found.select("target", "same_class", "n", (F.col("total") / F.col("n")).alias("mean"), "max", "min", spread.alias("std"))
 
 
 def confidence(found: DataFrame, scale: float = 1.2) -> DataFrame:
-    """One row: the mean similarity, less for under five samples; a tenth for none."""
-    row = found.agg(F.count(F.lit(1)).alias("n"), F.avg("similarity").alias("mean"))
-    return row.select("n", F.when(F.col("n") == 0, F.lit(0.1)).otherwise(F.least(F.col("mean") * F.least(F.col("n") / 5, F.lit(1.0)) * scale, F.lit(1.0))).alias("confidence"))
+    """(target, n, confidence) of ``nearest`` rows: the mean similarity, less for under five samples. A target without
+    any sample, which has no row here, is sure to a tenth."""
+    row = found.groupBy("target").agg(F.count(F.lit(1)).alias("n"), F.avg("similarity").alias("mean"))
+    return row.select("target", "n", F.least(F.col("mean") * F.least(F.col("n") / 5, F.lit(1.0)) * scale, F.lit(1.0)).alias("confidence"))
 
 
 def long_features(rows: DataFrame, key: str, names: list[str]) -> DataFrame:
@@ -75,26 +131,39 @@ def plausibility(changed: Column, n: Column) -> Column:
     return F.greatest(F.lit(0.1), 1 - changed / n)
 
 
-def counterfactuals(rows: DataFrame, key: str, names: list[str], target: float, iterations: int = 100, changes: int = 3, seed: int = 42) -> DataFrame:
-    """A minimal change of each row by seeded hill climbing, under the additive model: up to three features are scaled
-    by 0.8 to 1.2 and kept if the score comes nearer to ``target``. (key, before, after, n_changed)."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Well-mixed 64-bit numbers of any, by which draws are the same wherever a row is computed."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def climb_step(keys: np.ndarray, step: int, width: int, limit: int) -> np.ndarray:
+    """The factors (rows x features) of one trial: of ``limit`` features with the least draws one of 0.8 to 1.2, of the
+    others 1. Draws are hashes of the row's key, the step and the feature."""
+    at = _mixed(keys[:, None] + np.uint64(step * 2 * width) + np.arange(2 * width, dtype=np.uint64)[None] * np.uint64(0x9E3779B97F4A7C15))
+    u = (_mixed(at) >> np.uint64(11)) / float(1 << 53)
+    chosen = np.argsort(u[:, :width], axis=1, kind="stable").argsort(axis=1) < limit
+    return np.where(chosen, 0.8 + 0.4 * u[:, width:], 1.0)
+
+
+def counterfactuals(rows: DataFrame, key: str, names: list[str], target: float, iterations: int = 100, limit: int = 3, seed: int = 42) -> DataFrame:
+    """A minimal alteration of each row by seeded hill climbing, under the additive model: up to ``limit`` features are
+    scaled by 0.8 to 1.2 and kept if the score comes nearer to ``target``. (key, before, after, n_changed, names...)."""
 
     def climb(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             x = frame[names].to_numpy(float)
-            best = x.copy()
-            rngs = [np.random.default_rng([seed, abs(hash(str(k))) if not isinstance(k, (int, np.integer)) else abs(int(k))]) for k in frame[key]]
-            for _ in range(iterations):
-                trial = best.copy()
-                for i, rng in enumerate(rngs):
-                    at = rng.choice(len(names), min(changes, len(names)), replace=False)
-                    trial[i, at] = best[i, at] * rng.uniform(0.8, 1.2, len(at))
+            best, keys = x.copy(), frame["__h"].to_numpy(np.int64).view(np.uint64)
+            for step in range(iterations):
+                trial = best * climb_step(keys, step, len(names), min(limit, len(names)))
                 nearer = np.abs(trial.sum(1) - target) < np.abs(best.sum(1) - target)
                 best[nearer] = trial[nearer]
-            yield pd.DataFrame({key: frame[key], "before": x.sum(1), "after": best.sum(1), "n_changed": (best != x).sum(1)})
+            yield pd.DataFrame({key: frame[key], "before": x.sum(1), "after": best.sum(1), "n_changed": (best != x).sum(1), **{f"{n}_to": best[:, i] for i, n in enumerate(names)}})
 
     kind = rows.schema[key].dataType.simpleString()
-    return rows.select(key, *names).mapInPandas(climb, f"`{key}` {kind}, before double, after double, n_changed long")
+    ends = ", ".join(f"`{n}_to` double" for n in names)
+    return rows.select(key, *names, F.xxhash64(F.lit(seed), F.col(key).cast("string")).alias("__h")).mapInPandas(climb, f"`{key}` {kind}, before double, after double, n_changed long, {ends}")
 
 
 def standardised(rows: DataFrame, key: str, names: list[str]) -> DataFrame:
@@ -147,3 +216,26 @@ def isolation_forest(rows: DataFrame, key: str, names: list[str], trees: int = 1
     scored = scaled.mapInPandas(score, f"`{key}` {kind}, score double")
     border = scored.agg(F.percentile_approx("score", 1 - contamination, 100_000).alias("border"))
     return scored.withColumn("border", border.scalar()).select(key, "score", (F.col("score") > F.col("border")).alias("is_outlier"))
+
+
+def mixed_similarity(a: dict[str, Column], b: dict[str, Column], kinds: dict[str, str], weights: dict[str, float] | None = None) -> Column:
+    """The weighted mean over features: numbers by relative distance, lists by Jaccard, strings by the share of one's
+    characters that the other has, over the greater length."""
+
+    def one(x: Column, y: Column, kind: str) -> Column:
+        if kind == "number":
+            top = F.greatest(F.abs(x), F.abs(y))
+            return F.when(top == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), 1 - F.abs(x - y) / top))
+        if kind == "list":
+            return F.when(F.size(F.array_union(x, y)) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)))
+        shared = F.size(F.filter(F.split(x, ""), lambda c: (c != "") & F.contains(y, c)))
+        longest = F.greatest(F.length(x), F.length(y))
+        return F.when(longest == 0, F.lit(1.0)).otherwise(shared / longest)
+
+    w = weights or {k: 1.0 for k in kinds}
+    return fold(lambda p, q: p + q, [one(a[k], b[k], kind) * w[k] for k, kind in kinds.items()]) / sum(w[k] for k in kinds)
+
+
+def matches(x: Column, y: Column, within: float = 0.1) -> Column:
+    """Numbers that differ by no more than a tenth of the greater."""
+    return F.abs(x - y) <= within * F.greatest(F.abs(x), F.abs(y))

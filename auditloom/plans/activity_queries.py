@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
-from auditloom.functions.scalars import cosine, euclidean_similarity, level
+from auditloom.functions.scalars import level
 from auditloom.operators import behavioral, features, fusion, learning, market, monitor, semantic, similarity
 from auditloom.plans.report_queries import _RULES, _TOTAL_SQL, LEVEL, rounded, statistical_scores
 from auditloom.plans.tables import TIES, WORDS, bars, daily_bars, metrics, reports, table
@@ -132,10 +129,11 @@ def timing_interval_join(spark, sf_dir):
     return rounded(behavioral.timing_anomaly(left, right))
 
 
-@query("with r as (select distinct l_orderkey as report_id, l_partkey as stock from lineitem), f as (select stock from r group by 1 order by count(*) desc, stock limit 500), m as (select report_id, count(*) as n_stocks, count(*) filter (where f.stock is null) as n_new from r left join f using (stock) group by 1) select report_id, n_stocks, n_new, round(n_new / n_stocks, 6) as ratio, round(least(n_new / n_stocks / 0.3, 1), 6) as score, n_new / n_stocks > 0.3 as is_anomaly from m")
+@query("with l as (select distinct l_orderkey as report_id, l_partkey as stock, l_shipdate >= timestamp '1998-01-01' as late from lineitem), r as (select distinct report_id, stock from l where late), f as (select distinct stock from l where not late), m as (select report_id, count(*) as n_stocks, count(*) filter (where f.stock is null) as n_new from r left join f using (stock) group by 1) select report_id, n_stocks, n_new, round(n_new / n_stocks, 6) as ratio, round(least(n_new / n_stocks / 0.3, 1), 6) as score, n_new / n_stocks > 0.3 as is_anomaly from m")
 def focus_shift(spark, sf_dir):
-    r = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("report_id"), F.col("l_partkey").alias("stock")).distinct()
-    return rounded(behavioral.focus_shift(r, behavioral.top_focus(r, 500)))
+    """What shipped from 1998 on against all stocks that shipped before."""
+    r = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("report_id"), F.col("l_partkey").alias("stock"), (F.col("l_shipdate") >= F.lit("1998-01-01").cast("timestamp")).alias("late"))
+    return rounded(behavioral.focus_shift(r.where("late").select("report_id", "stock"), r.where("not late").select("stock")))
 
 
 @query("with r as (select distinct l_orderkey as report_id, l_partkey as stock from lineitem) select stock, count(*) as n from r group by 1 order by n desc, stock limit 20")
@@ -220,6 +218,9 @@ def error_rate(spark, sf_dir):
 _FB = "with f as (select doc_id as report_id, coalesce(quality = 1, false) as is_correct, case when toxic = 1 then 'FALSE_POSITIVE' when quality = 0 then 'MISSED' else 'CORRECT' end as feedback_type, doc_id % 10 + 1 as rating from labels)"
 
 
+_AT, _AS_OF = 1704067200, "2024-01-01 02:00:00"
+
+
 def _feedback(spark, sf_dir):
     kind = F.when(F.col("toxic") == 1, "FALSE_POSITIVE").when(F.col("quality") == 0, "MISSED").otherwise("CORRECT")
     return table(spark, sf_dir, "labels").select(F.col("doc_id").alias("report_id"), F.coalesce(F.col("quality") == 1, F.lit(False)).alias("is_correct"), kind.alias("feedback_type"), (F.col("doc_id") % 10 + 1).alias("rating"), F.lit(None).cast("string").alias("corrected_label"))
@@ -241,39 +242,42 @@ def training_export(spark, sf_dir):
     return learning.training_export(_feedback(spark, sf_dir))
 
 
-@query(_FB + ", s as (select count(*) filter (where feedback_type = 'FALSE_POSITIVE') / count(*) as fp, count(*) filter (where feedback_type = 'MISSED') / count(*) as missed from f), x as (select metric as name, warning / 200 as threshold, case when fp > 0.3 then 0.05 when missed > 0.2 then -0.05 else 0.0 end as step from (values " + ", ".join(f"('{m}', {w})" for m, w, _ in THRESHOLDS) + ") v(metric, warning), s) select name, threshold::double as threshold, round(case when step = 0 then threshold else greatest(0.1, least(0.9, threshold + step)) end, 6)::double as adapted from x")
+@query(_FB.replace("as rating from labels", f"as rating, {_AT} + doc_id % 1209600 as t from labels") + f", s as (select count(*) filter (where feedback_type = 'FALSE_POSITIVE') / count(*) as fp, count(*) filter (where feedback_type = 'MISSED') / count(*) as missed from f where t between epoch(timestamp '{_AS_OF}') - 604800 and epoch(timestamp '{_AS_OF}')), x as (select metric as name, warning / 200 as threshold, fp, missed from (values " + ", ".join(f"('{m}', {w})" for m, w, _ in THRESHOLDS) + ") v(metric, warning), s) select name, threshold::double as threshold, round(case when fp > 0.3 then least(0.9, threshold + 0.05) when missed > 0.2 then greatest(0.1, threshold - 0.05) else threshold end, 6)::double as adapted from x")
 def threshold_adaptation(spark, sf_dir):
+    """Feedback is given a time within a fortnight, of which the last seven days count."""
     names = _thresholds(spark).select(F.col("metric").alias("name"), (F.col("warning") / 200).alias("threshold"))
-    return rounded(learning.adapt_thresholds(names, _feedback(spark, sf_dir)))
+    given = _feedback(spark, sf_dir).withColumn("ts", F.timestamp_seconds(F.lit(_AT) + F.pmod("report_id", F.lit(1_209_600))))
+    return rounded(learning.adapt_thresholds(names, given, F.lit(_AS_OF).cast("timestamp")))
 
 
 def _dot(a: str, b: str) -> str:
     return f"list_sum([p[1]::double * p[2] for p in list_zip({a}, {b})])"
 
 
-_NEAR = "with t as (select embedding as tv, label as tl, vec_id as tid from embeddings order by vec_id limit 1), s as (select vec_id as id, label = tl as same_class, {0} as similarity from embeddings, t where vec_id <> tid), r as (select *, row_number() over (partition by same_class order by similarity desc, id) as rank from s) select id, same_class, round(similarity, 6) as similarity, rank::int as rank from r where rank <= case when same_class then 5 else 3 end"
+#: Searches take every vector whose id is divisible by 20, against all.
+_PAIRS = "with t as (select embedding as tv, label as tl, vec_id as target from embeddings where vec_id % 20 = 0), s as (select target, vec_id as id, label = tl as same_class, {0} as similarity from embeddings, t where vec_id <> target)"
+_NEAR = _PAIRS + ", r as (select *, row_number() over (partition by target, same_class order by similarity desc, id) as rank from s)"
+_COSINE = f"({_dot('embedding', 'tv')}) / (sqrt({_dot('embedding', 'embedding')}) * sqrt({_dot('tv', 'tv')}))"
 
 
 def _samples(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
-    return v, v.orderBy("id").limit(1)
+    return v, v.where("id % 20 = 0")
 
 
-@query(_NEAR.format(f"({_dot('embedding', 'tv')}) / (sqrt({_dot('embedding', 'embedding')}) * sqrt({_dot('tv', 'tv')}))"))
+@query(_NEAR.format(_COSINE) + " select target, id, same_class, round(similarity, 6) as similarity, rank::int as rank from r where rank <= case when same_class then 5 else 3 end")
 def embedding_topk(spark, sf_dir):
     return rounded(similarity.nearest(*_samples(spark, sf_dir)))
 
 
-@query(_NEAR.format("1 / (1 + sqrt(list_sum([(p[1]::double - p[2]) * (p[1]::double - p[2]) for p in list_zip(embedding, tv)])))"))
+@query(_NEAR.format("1 / (1 + sqrt(list_sum([(p[1]::double - p[2]) * (p[1]::double - p[2]) for p in list_zip(embedding, tv)])))") + " select target, id, same_class, round(similarity, 6) as similarity, rank::int as rank from r where rank <= case when same_class then 5 else 3 end")
 def embedding_topk_euclidean(spark, sf_dir):
-    return rounded(similarity.nearest(*_samples(spark, sf_dir), similarity=euclidean_similarity))
+    return rounded(similarity.nearest(*_samples(spark, sf_dir), measure="euclidean"))
 
 
-@query(f"with t as (select embedding as tv, label as tl, vec_id as tid from embeddings order by vec_id limit 1), s as (select label = tl as same_class, ({_dot('embedding', 'tv')}) / (sqrt({_dot('embedding', 'embedding')}) * sqrt({_dot('tv', 'tv')})) as similarity from embeddings, t where vec_id <> tid) select same_class, count(*) as n, round(avg(similarity), 6) as mean, round(max(similarity), 6) as max, round(min(similarity), 6) as min, round(stddev_samp(similarity), 6) as std from s group by 1")
+@query(_PAIRS.format(_COSINE) + " select target, same_class, count(*) as n, round(avg(similarity), 6) as mean, round(max(similarity), 6) as max, round(min(similarity), 6) as min, round(stddev_samp(similarity), 6) as std from s group by 1, 2")
 def similarity_statistics(spark, sf_dir):
-    samples, target = _samples(spark, sf_dir)
-    scored = samples.withColumn("t", target.select(F.struct("id", "vector", "label")).scalar()).where(F.col("id") != F.col("t.id"))
-    return rounded(similarity.statistics(scored.select((F.col("label") == F.col("t.label")).alias("same_class"), cosine(F.col("vector"), F.col("t.vector")).alias("similarity"))))
+    return rounded(similarity.statistics(*_samples(spark, sf_dir)))
 
 
 @query("with v as (select p_partkey, feature, value from (select p_partkey, p_size::double as p_size, p_retailprice from part) unpivot (value for feature in (p_size, p_retailprice))) select p_partkey, feature, value, round(value / 2, 6) as shapley, 1.0::double as gradient, value as drop_effect, round(abs(value) / sum(abs(value)) over (partition by p_partkey), 6) as share from v")
@@ -340,12 +344,9 @@ def fusion_dynamic(spark, sf_dir):
 
 @query()
 def fusion_weights(spark, sf_dir):
-    """Weights folded over each language's last hundred detections in order of id."""
-    from pyspark.sql import Window
-
-    scored = fused(spark, sf_dir).join(reports(spark, sf_dir).select("report_id", "lang"), "report_id").withColumnsRenamed({"lang": "group", "report_id": "at"})
-    last = scored.withColumn("back", F.row_number().over(Window.partitionBy("group").orderBy(F.desc("at")))).where("back <= 100")
-    return rounded(fusion.fold_weights(last.select("group", "at", "score", *fusion.FAMILIES)))
+    """Weights folded over each language's whole history of detections, in order of id."""
+    scored = fused(spark, sf_dir, ["lang"]).withColumnsRenamed({"lang": "group", "report_id": "at"})
+    return rounded(fusion.fold_weights(scored.select("group", "at", "score", *fusion.FAMILIES)))
 
 
 def _stream(spark, sf_dir):
@@ -354,21 +355,15 @@ def _stream(spark, sf_dir):
     return raw.select(F.col("event_type").alias("metric"), F.col("ts").cast("timestamp").alias("ts"), "value", F.col("event_id").alias("id"), F.col("user_id").alias("author"))
 
 
-def _run(stream, name, mode="append"):
-    where = stream.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
-    unique = f"{name}_{uuid.uuid4().hex}"
-    return monitoring.run_once(stream, unique, f"{where}/stream-{unique}", mode)
-
-
 @query(SQL["metric_alerts"])
 def streaming_metric_alerts(spark, sf_dir):
     """The alerts of the stream: equal to those of the table."""
-    return _run(monitoring.alert_stream(_stream(spark, sf_dir), _thresholds(spark)).select("id", "metric", "value", "severity"), "alerts")
+    return monitoring.run_once(monitoring.alert_stream(_stream(spark, sf_dir), _thresholds(spark)).select("id", "metric", "value", "severity"), "alerts")
 
 
 @query(_M + " select metric, ts::date as day, count(*) as n, round(avg(value), 6) as mean from e group by 1, 2")
 def streaming_daily_counts(spark, sf_dir):
-    return rounded(_run(monitoring.daily_counts(_stream(spark, sf_dir)), "daily", "complete"))
+    return rounded(monitoring.run_once(monitoring.daily_counts(_stream(spark, sf_dir)), "daily", "complete"))
 
 
 @query(_M + f" select {LEVEL.format('value / 200')} as level, metric, count(*) as n from e group by 1, 2")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from auditloom.operators import evaluation, learning, monitor, similarity
-from auditloom.plans.activity_queries import _FB, _M, _NEAR, THRESHOLDS, _dot, _feedback, _samples, _thresholds
+from auditloom.plans.activity_queries import _COSINE, _FB, _M, _NEAR, THRESHOLDS, _feedback, _samples, _thresholds
 from auditloom.plans.report_queries import _TOTAL_SQL, rounded, statistical_scores
 from auditloom.plans.tables import metrics, table
 
@@ -34,7 +34,7 @@ def learning_triggers(spark, sf_dir):
     return learning.triggers(current, baselines, given, F.lit(_AS_OF).cast("timestamp"), F.lit("2023-12-01").cast("timestamp"))
 
 
-@query("with w as (select 'f' || i as feature, 1 + i / 10 as weight from range(5) t(i)), c as (select 'f' || doc_id % 5 as feature, count(*) filter (where (doc_id % 7) / 7 > 0.8) as n from labels group by 1), s as (select feature, weight, weight * power(0.9, coalesce(n, 0)) as scaled from w left join c using (feature)) select feature, weight, round(scaled / avg(scaled) over (), 6) as adapted from s")
+@query("with w as (select 'f' || i as feature, 1 + i / 10 as weight from range(5) t(i)), c as (select 'f' || doc_id % 5 as feature, count(*) filter (where (doc_id % 7) / 7 > 0.8) as n from labels group by 1), s as (select feature, weight, weight * power(0.9, coalesce(n, 0)) as scaled from w left join c using (feature)) select feature, weight, round(4 * scaled / sum(scaled) over (), 6) as adapted from s")
 def feature_weights(spark, sf_dir):
     weights = spark.createDataFrame([(f"f{i}", 1 + i / 10) for i in range(5)], "feature string, weight double")
     wrong = table(spark, sf_dir, "labels").select(F.concat(F.lit("f"), F.col("doc_id") % 5).alias("feature"), ((F.col("doc_id") % 7) / 7).alias("importance"))
@@ -49,7 +49,7 @@ def importance_aggregate(spark, sf_dir):
     return rounded(similarity.aggregate_importance(both))
 
 
-@query(_NEAR.format(f"({_dot('embedding', 'tv')}) / (sqrt({_dot('embedding', 'embedding')}) * sqrt({_dot('tv', 'tv')}))").split(" select id, same_class, round")[0] + " select count(*) as n, round(case when count(*) = 0 then 0.1 else least(avg(similarity) * least(count(*) / 5, 1.0) * 1.2, 1.0) end, 6) as confidence from r where rank <= case when same_class then 5 else 3 end")
+@query(_NEAR.format(_COSINE) + " select target, count(*) as n, round(least(avg(similarity) * least(count(*) / 5, 1.0) * 1.2, 1.0), 6) as confidence from r where rank <= case when same_class then 5 else 3 end group by 1")
 def similarity_confidence(spark, sf_dir):
     return rounded(similarity.confidence(similarity.nearest(*_samples(spark, sf_dir))))
 
@@ -71,10 +71,10 @@ def feedback_validation(spark, sf_dir):
     return learning.validated(given).groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("with l as (select vec_id, label, [x::double for x in embedding[1:10]] as logits from embeddings), s as (select *, [x - list_max(logits) for x in logits] as z from l), p as (select vec_id, label, [x - ln(list_sum([exp(y) for y in z])) for x in z] as lp from s), q as (select vec_id, -lp[label + 1] as ce, -list_sum(lp) / 10 as flat from p) select vec_id, round(ce, 6) as cross_entropy, round(power(1 - exp(-ce), 2) * ce, 6) as focal, round(0.9 * ce + 0.1 * flat, 6) as smoothed from q")
+@query("with l as (select vec_id, label, [x::double for x in embedding] as logits from embeddings), s as (select *, [x - list_max(logits) for x in logits] as z from l), p as (select vec_id, label, [x - ln(list_sum([exp(y) for y in z])) for x in z] as lp from s), q as (select vec_id, -lp[label + 1] as ce, -list_sum(lp) / len(lp) as flat from p) select vec_id, round(ce, 6) as cross_entropy, round(power(1 - exp(-ce), 2) * ce, 6) as focal, round(0.9 * ce + 0.1 * flat, 6) as smoothed from q")
 def training_losses(spark, sf_dir):
-    """Losses of the first ten numbers of each vector, read as logits of its label."""
-    v = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.slice("embedding", 1, 10).cast("array<double>").alias("logits"))
+    """Losses of each vector, read as logits of as many classes, against its label."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("logits"))
     return rounded(evaluation.losses(v, "vec_id"))
 
 

@@ -235,12 +235,13 @@ def semantic_rules(spark, sf_dir):
 
 @query()
 def view_deviation(spark, sf_dir):
-    """Each turn against the last five of the same role in its conversation (sequence ratios are beyond SQL)."""
+    """Each turn against the last five of the same role in its conversation: summaries of whole texts are compared
+    (sequence ratios are beyond SQL; a plain version in the tests stands for it)."""
     c = table(spark, sf_dir, "conversations").withColumn("ts", F.timestamp_seconds(F.lit(1704067200) + F.col("turn") * 86400))
-    c = c.withColumns({"report_id": F.concat_ws("-", "conv_id", "turn"), "key": F.concat_ws("-", "conv_id", "role"), "s": X.sentiment(X.tokens(F.col("text")), POSITIVE, NEGATIVE)})
-    views = c.select("key", F.col("report_id").alias("view_id"), F.col("ts").alias("view_ts"), F.col("text").alias("view_text"), F.col("s").alias("view_s"))
-    near = semantic.recent_views(c.select("report_id", "key", "ts", "text", "s"), views)
-    compared = near.withColumn("similarity", semantic.sequence_ratio(F.substring("text", 1, 500), F.substring("view_text", 1, 500))).withColumn("gap", semantic.sentiment_gap(F.col("s"), F.col("view_s")))
+    c = c.withColumns({"report_id": F.concat_ws("-", "conv_id", "turn"), "key": F.concat_ws("-", "conv_id", "role"), "s": X.sentiment(X.tokens(F.col("text")), POSITIVE, NEGATIVE), "summary": semantic.view_summary(F.coalesce("text", F.lit("")), POSITIVE + NEGATIVE, end=WORDS.sentence_end)})
+    views = c.select("key", F.col("report_id").alias("view_id"), F.col("ts").alias("view_ts"), F.col("summary").alias("view_summary"), F.col("s").alias("view_s"))
+    near = semantic.recent_views(c.select("report_id", "key", "ts", "summary", "s"), views)
+    compared = near.withColumn("similarity", semantic.sequence_ratio(F.col("summary"), F.col("view_summary"))).withColumn("gap", semantic.sentiment_gap(F.col("s"), F.col("view_s")))
     return rounded(semantic.view_deviation(compared))
 
 

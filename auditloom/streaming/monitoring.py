@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from auditloom.operators import monitor
+from auditloom.sources.shared import new_path
 
 
 def read_events(spark: SparkSession, path: str, schema, files_per_trigger: int = 100) -> DataFrame:
@@ -43,33 +45,45 @@ def deduplicated(results: DataFrame, key: str, keep: str = "1 hour") -> DataFram
     return results.withWatermark("ts", keep).dropDuplicatesWithinWatermark([key])
 
 
-def resolution_stream(metrics: DataFrame, thresholds: DataFrame, last: int = 5) -> DataFrame:
-    """(metric, ts, state): OPEN when a value passes its warning, RESOLVED when the last five are fine again. State a
-    metric: whether an alert is open and how many values have been fine since."""
+def resolution_stream(metrics: DataFrame, thresholds: DataFrame, last: int = 5, age: int = 300) -> DataFrame:
+    """(metric, ts, state): OPEN when a value passes its warning, RESOLVED when the alert is older than ``age`` seconds
+    and the last five values are fine. State a metric: when the open alert began, and how many values were fine since."""
     judged = metrics.join(F.broadcast(thresholds), "metric").select("metric", "ts", "id", (F.col("value") >= F.col("warning")).alias("bad"))
 
     def follow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        is_open, fine = state.get if state.exists else (False, 0)
+        opened, fine = state.get if state.exists else (None, 0)
         out = []
         for row in pd.concat(list(frames)).sort_values(["ts", "id"]).itertuples():
             if row.bad:
-                if not is_open:
+                if opened is None:
                     out.append((key[0], row.ts, "OPEN"))
-                is_open, fine = True, 0
-            elif is_open:
+                    opened = row.ts.timestamp()
+                fine = 0
+            elif opened is not None:
                 fine += 1
-                if fine == last:
+                if fine >= last and row.ts.timestamp() - opened > age:
                     out.append((key[0], row.ts, "RESOLVED"))
-                    is_open, fine = False, 0
-        state.update((is_open, fine))
+                    opened, fine = None, 0
+        state.update((opened, fine))
         if out:
             yield pd.DataFrame(out, columns=["metric", "ts", "state"])
 
-    return judged.groupBy("metric").applyInPandasWithState(follow, "metric string, ts timestamp, state string", "is_open boolean, fine long", "append", GroupStateTimeout.NoTimeout)
+    return judged.groupBy("metric").applyInPandasWithState(follow, "metric string, ts timestamp, state string", "opened double, fine long", "append", GroupStateTimeout.NoTimeout)
 
 
-def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """All that is available, into an in-memory table: for tests and small results."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_once(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """All that is available, written to Parquet in the shared folder and read back. In ``complete`` mode the last
+    batch, which holds every group, takes the place of those before; a batch that is run again writes the same files."""
+    spark, schema = stream.sparkSession, stream.schema
+    out, progress = new_path(spark, name), new_path(spark, f"{name}-progress")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch={number}")
+
+    query = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", progress).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    found = spark.read.schema(schema).option("recursiveFileLookup", True)
+    try:
+        return found.parquet(out)
+    except AnalysisException:  # no batch at all
+        return spark.createDataFrame([], schema)

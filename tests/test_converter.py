@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from auditloom.functions import converter
+from auditloom.operators import similarity
 
 TEXT = "行业研究报告\n发布日期：2025年1月3日\n投资建议：维持买入评级。\n600066.SH 宇通客车\n驱动因素：1.销量增长；2.出口提升\n\n风险提示：需求下滑；成本上升"
 
@@ -26,5 +27,5 @@ def test_convert_and_edges(spark):
 def test_numbers_and_similarity(spark):
     row = spark.createDataFrame([("营收 3.5亿元 市盈率 20 增长 5%",)], "t string").select(converter.financial_numbers(F.col("t")).alias("n")).first()["n"]
     assert [(x["kind"], x["value"]) for x in row] == [("money_yi", 3.5), ("percentage", 5.0), ("pe_ratio", 20.0)]
-    pair = spark.range(1).select(converter.mixed_similarity({"a": F.lit(10.0), "s": F.lit("ab")}, {"a": F.lit(5.0), "s": F.lit("abcd")}, {"a": "number", "s": "string"}).alias("r")).first()
+    pair = spark.range(1).select(similarity.mixed_similarity({"a": F.lit(10.0), "s": F.lit("ab")}, {"a": F.lit(5.0), "s": F.lit("abcd")}, {"a": "number", "s": "string"}).alias("r")).first()
     assert pair["r"] == 0.5
