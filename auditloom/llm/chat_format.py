@@ -144,7 +144,7 @@ def fit(labelled: DataFrame) -> RoleModel:
     for a in range(STATES):
         for r in range(3):
             if a // 2 != r:
-                step[a, 2 * r + 1] = -np.inf  # only an opening line changes the role
+                step[a, 2 * r + 1] = -np.inf  # a role begins with an opening line
     first = norm(first)
     first[1::2] = -np.inf
     return RoleModel(first, step, norm(seen))
