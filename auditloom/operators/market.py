@@ -104,6 +104,13 @@ def series_problems(bars: DataFrame) -> DataFrame:
     return bars.groupBy("stock").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("date").alias("n_dates")).withColumn("has_duplicates", F.col("n") > F.col("n_dates"))
 
 
+def order_problems(bars: DataFrame, arrival: Sequence[str]) -> DataFrame:
+    """Per stock, of its bars as they came in: n, dates before the one that came before, and equal ones."""
+    before = F.lag("date").over(Window.partitionBy("stock").orderBy(*arrival))
+    marked = bars.withColumn("before", before)
+    return marked.groupBy("stock").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("date") < F.col("before")).alias("n_unsorted"), F.count_if(F.col("date") == F.col("before")).alias("n_equal"))
+
+
 def coverage_days(bars: DataFrame) -> DataFrame:
     return bars.groupBy("stock").agg(F.datediff(F.max("date"), F.min("date")).alias("days"))
 

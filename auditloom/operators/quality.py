@@ -19,6 +19,8 @@ from auditloom.operators.statistical import describe
 RANGES = {"growth_rate": (-100.0, 1000.0), "pe_ratio": (0.0, 200.0), "market_cap": (0.0, 100000.0)}
 STOCK = r"^\d{6}(\.(SZ|SH|BJ))?$"
 EMAIL = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
+EXCHANGE = r"\.(SZ|SH|BJ)$"
+FLAGS = {"repeated_block": r"(?s)(.{20,200}?)\1{2,}", "repeated_marks": "[。！？.!?]{3,}", "mixed_scripts": r"[A-Za-z]{10,}[\x{4e00}-\x{9fff}]{10,}"}
 PHONE = r"^(\+86)?1[3-9]\d{9}$|^\d{3,4}-?\d{7,8}$"
 WEIGHTS = {"completeness": 0.3, "consistency": 0.25, "accuracy": 0.25, "timeliness": 0.1, "uniqueness": 0.1}
 LEVELS = ((0.9, "EXCELLENT"), (0.8, "GOOD"), (0.6, "FAIR"), (0.4, "POOR"))
@@ -67,13 +69,22 @@ def timeliness(published: Column, as_of: Column) -> Column:
     return F.when(age > 365, F.greatest(F.lit(0.0), 1 - (age - 365) / 365)).otherwise(1.0)
 
 
+def _business(df: DataFrame) -> dict[str, Column]:
+    rating, analysts, stocks = _column(df, "rating"), _column(df, "analysts", "array<string>"), _column(df, "stocks", "array<string>")
+    return {"rating": ~blank(rating) & ~rating.isin(*LEXICONS.ratings), "analysts": analysts.isNotNull() & ~F.size(analysts).between(1, 10), "exchange": F.exists(stocks, lambda s: F.contains(s, F.lit(".")) & ~s.rlike(EXCHANGE))}
+
+
 def business_score(df: DataFrame) -> Column:
-    rating, analysts = _column(df, "rating"), _column(df, "analysts", "array<string>")
-    return F.greatest(F.lit(0.0), 1 - 0.3 * _sum([~blank(rating) & ~rating.isin(*LEXICONS.ratings), ~F.size(analysts).between(1, 10) & analysts.isNotNull()]))
+    return F.greatest(F.lit(0.0), 1 - 0.3 * _sum(list(_business(df).values())))
+
+
+def business_problems(df: DataFrame) -> Column:
+    """Names of the broken business rules, joined by commas."""
+    return F.concat_ws(",", *[F.when(bad, F.lit(name)) for name, bad in _business(df).items()])
 
 
 def text_flags(text: Column) -> dict[str, Column]:
-    return {"repeated_block": text.rlike(r"(?s)(.{20,200}?)\1{2,}"), "repeated_marks": text.rlike("[。！？.!?]{3,}"), "mixed_scripts": text.rlike(r"[A-Za-z]{10,}[\x{4e00}-\x{9fff}]{10,}")}
+    return {name: text.rlike(pattern) for name, pattern in FLAGS.items()}
 
 
 def check(reports: DataFrame, as_of: Column) -> DataFrame:

@@ -6,17 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditloom.plans import activity_queries, learning_queries, report_queries
+from auditloom.plans import activity_queries, intake_queries, learning_queries, report_queries, summary_queries
 
+MODULES = (report_queries, activity_queries, learning_queries, intake_queries, summary_queries)
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return report_queries.QUERIES | activity_queries.QUERIES | learning_queries.QUERIES
+    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return report_queries.SQL | activity_queries.SQL | learning_queries.SQL
+    return {k: v for m in MODULES for k, v in m.SQL.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
