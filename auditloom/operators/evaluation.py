@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -24,6 +24,24 @@ def losses(rows: DataFrame, key: str, gamma: float = 2.0, smoothing: float = 0.1
     return found.select(key, F.col("ce").alias("cross_entropy"), focal.alias("focal"), ((1 - smoothing) * F.col("ce") + smoothing * F.col("flat")).alias("smoothed"))
 
 
+#: Fixed value: what stands for the contrastive part of the anomaly loss where no features are at hand.
+CONTRAST = 0.1
+
+
+def weighted_losses(rows: DataFrame, key: str, weight: Callable[[Column], Column], tasks: tuple[float, float]) -> DataFrame:
+    """(key, weighted, anomaly, multi_task): cross-entropy by class weight, that with a tenth of the contrastive part, and
+    the plain and the weighted one brought together by the weights of two tasks."""
+    ce = -F.get(log_softmax(F.col("logits")), F.col("label"))
+    found = rows.select(key, ce.alias("ce"), (ce * weight(F.col("label"))).alias("weighted"))
+    return found.select(key, "weighted", (F.col("weighted") + 0.1 * CONTRAST).alias("anomaly"), (tasks[0] * F.col("ce") + tasks[1] * F.col("weighted")).alias("multi_task"))
+
+
+def last_mean(rows: DataFrame, key: str, value: str, order: Sequence[str], window: int) -> DataFrame:
+    """(key, n, mean): how many values a key has, and the mean of its last ``window``."""
+    back = F.row_number().over(Window.partitionBy(key).orderBy(*[F.desc(c) for c in order]))
+    return rows.withColumn("back", back).groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("back") <= window, F.col(value))).alias("mean"))
+
+
 def summary(scored: DataFrame, score: str = "score", above: float = 0.5) -> DataFrame:
     """One row: count, share above the threshold, mean, population std, least and greatest score."""
     s = F.col(score)
