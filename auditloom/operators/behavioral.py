@@ -92,6 +92,18 @@ def author_intervals(activity: DataFrame, days: int = 90) -> DataFrame:
     return gaps.groupBy("author").agg(F.count(F.lit(1)).alias("n"), F.avg("gap").alias("gap_mean"), F.stddev_pop("gap").alias("gap_std"), F.min("gap").alias("gap_min")).withColumn("frequent", F.coalesce(F.col("gap_mean") < 7, F.lit(False)))
 
 
+def activity_profile(activity: DataFrame) -> DataFrame:
+    """Per author of (author, ts, stock, industry): rows, days, stocks, industries, and stocks a row."""
+    found = activity.groupBy("author").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(F.to_date("ts")).alias("days"), F.countDistinct("stock").alias("n_stocks"), F.countDistinct("industry").alias("n_industries"))
+    return found.withColumn("diversity", F.col("n_stocks") / F.col("n"))
+
+
+def with_event(events: DataFrame, key: str, values: dict[str, Column]) -> DataFrame:
+    """``events`` and one more, whose id is the number of those before; columns without a value are null."""
+    new = events.agg(F.count(F.lit(1)).alias(key))
+    return events.unionByName(new.select(key, *[v.alias(k) for k, v in values.items()]), allowMissingColumns=True)
+
+
 def total(scored: DataFrame) -> DataFrame:
     """``behavioral_score`` of timing, frequency, focus and writing columns."""
     return scored.withColumn("behavioral_score", weighted([F.coalesce(F.col(c), F.lit(0.0)) for c in ("timing", "frequency", "focus", "writing")], THRESHOLDS.behavioral_weights))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,6 +61,38 @@ def author_repetition(reports: DataFrame, above: float = 0.8) -> DataFrame:
     return found.select("report_id", "author", "similarity", (F.col("similarity") > above).alias("repetitive"))
 
 
+#: Scores of ratings and codes of report types.
+RATING_SCORES = {"买入": 1.0, "增持": 0.75, "中性": 0.5, "减持": 0.25, "卖出": 0.0}
+TYPE_CODES = {"公司研究": 1, "行业研究": 2, "策略研究": 3, "债券研究": 4}
+
+
+def metadata_features(author: Column, stocks: Column, institution: Column, rating: Column, kind: Column, ratings: dict[str, float] = RATING_SCORES, kinds: dict[str, int] = TYPE_CODES) -> dict[str, Column]:
+    """Lengths, counts and codes of a record's metadata; what is unknown counts 0, a rating one half."""
+    on = lambda e: F.coalesce(F.exists(stocks, lambda s: F.endswith(s, F.lit(f".{e}"))), F.lit(False)).cast("int")
+    n = F.greatest(F.coalesce(F.size(stocks), F.lit(0)), F.lit(0))
+    chosen = lambda column, table, other: reduce(lambda c, t: c.when(column == t[0], t[1]), list(table.items())[1:], F.when(column == next(iter(table)), next(iter(table.values())))).otherwise(other)
+    return {
+        "author_length": F.length(F.coalesce(author, F.lit(""))), "stock_count": n, "is_multi_stock": (n > 1).cast("int"), "has_sz": on("SZ"), "has_sh": on("SH"), "has_bj": on("BJ"),
+        "institution_length": F.length(F.coalesce(institution, F.lit(""))), "rating_score": chosen(rating, ratings, 0.5), "type_code": chosen(kind, kinds, 0),
+    }
+
+
+def engineered(stock_count: Column, rating_score: Column) -> dict[str, Column]:
+    """Features made of those of ``text_features``, whose columns must be at hand, and of metadata."""
+    c = F.col
+    return {
+        "content_per_stock": c("char_count") / F.greatest(stock_count, F.lit(1)), "alignment": F.abs(c("positive_ratio") - rating_score), "intensity": c("positive_ratio") + c("negative_ratio"),
+        "complexity": (c("unique_ratio") + F.least(c("words_per_sentence") / 50, F.lit(1.0)) + 1 - c("readability")) / 3,
+    }
+
+
+def dynamic_numbers(rows: DataFrame, key: str, data: str = "data") -> DataFrame:
+    """(key, name, value) of the top-level entries of an open record (variant): a number, or the first of a list."""
+    entries = rows.lateralJoin(rows.sparkSession.tvf.variant_explode(F.col(data).outer()))
+    value = F.coalesce(F.try_variant_get("value", "$", "double"), F.try_variant_get("value", "$[0]", "double"))
+    return entries.select(key, F.col("key").alias("name"), value.alias("value"))
+
+
 #: Ratings as numbers.
 RATINGS = {"买入": 1.0, "增持": 0.8, "中性": 0.5, "减持": 0.2, "卖出": 0.0}
 

@@ -94,6 +94,24 @@ def view_deviation(compared: DataFrame) -> DataFrame:
     return found.withColumn("score", F.when(hit, F.least((1 - F.col("similarity")) * (F.col("gap") + 0.5), F.lit(1.0))).otherwise(0.0))
 
 
+def fan_out(views: DataFrame, contexts: dict[str, Column]) -> DataFrame:
+    """``views`` once for each kind of context, with ``kind`` and ``key``; a context that is null takes none."""
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("key")) for k, c in contexts.items()])
+    return views.select("*", F.explode(kinds).alias("context")).select(*views.columns, "context.kind", "context.key").where("key is not null")
+
+
+def last_views(views: DataFrame, keep: int = 50) -> DataFrame:
+    """The newest ``keep`` views (key, view_id, view_ts) of each key: the history that is kept."""
+    order = Window.partitionBy("key").orderBy(F.desc("view_ts"), F.desc("view_id"))
+    return views.withColumn("back", F.row_number().over(order)).where(F.col("back") <= keep).drop("back")
+
+
+def worst_context(deviations: DataFrame, above: float = 0.6) -> DataFrame:
+    """(report_id, score, is_anomaly): the greatest deviation over a report's contexts, 0 for none above 0."""
+    found = deviations.groupBy("report_id").agg(F.max("score").alias("score"))
+    return found.withColumn("is_anomaly", F.col("score") > above)
+
+
 def view_summary(text: Column, keywords: Sequence[str], cut: int = 100, end: str = LEXICONS.sentence_end) -> Column:
     """The sentence (over ten characters) with most keywords, the first of equals, cut; else the text's beginning."""
     sentences = F.filter(X.pieces(text, end), lambda s: F.length(s) > 10)
