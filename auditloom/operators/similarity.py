@@ -14,16 +14,18 @@ from pyspark.sql import functions as F
 def _scored(samples: DataFrame, targets: DataFrame, measure: str, reduce: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], dict], schema: str, block: int = 65_536, target_block: int = 4096) -> DataFrame:
     """All samples against all targets (id, vector, label), a block of each at a time: ``reduce`` makes few rows of a
     slice of targets with a block of samples. Every block of one table meets every block of the other in a task."""
-    known, wanted = (d.where("vector is not null").select("id", F.col("vector").cast("array<double>").alias("vector"), "label") for d in (samples, targets))
+    # Every column gets a name of its own, as both tables may come from one.
+    known = samples.where("vector is not null").select(F.col("id").alias("sample"), F.col("vector").cast("array<double>").alias("x"), F.col("label").alias("sample_label"))
+    wanted = targets.where("vector is not null").select(F.col("id").alias("target"), F.col("vector").cast("array<double>").alias("y"), F.col("label").alias("target_label"))
     n_blocks, n_target_blocks = max(1, -(-known.count() // block)), max(1, -(-wanted.count() // target_block))
-    part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    left = known.withColumn("s", part(n_blocks)).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(n_target_blocks - 1))))
-    right = wanted.withColumn("t", part(n_target_blocks)).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = known.withColumn("s1", part("sample", n_blocks)).withColumn("t1", F.explode(F.sequence(F.lit(0), F.lit(n_target_blocks - 1))))
+    right = wanted.withColumn("t2", part("target", n_target_blocks)).withColumn("s2", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
-        x, y = np.stack(a["vector"].to_numpy()), np.stack(b["vector"].to_numpy())
+        x, y = np.stack(a["x"].to_numpy()), np.stack(b["y"].to_numpy())
         found = []
         for lo in range(0, len(b), 128):
             part_ = y[lo : lo + 128]
@@ -32,10 +34,10 @@ def _scored(samples: DataFrame, targets: DataFrame, measure: str, reduce: Callab
                 similarity = np.divide(part_ @ x.T, norms, out=np.zeros((len(part_), len(x))), where=norms > 0)
             else:
                 similarity = 1 / (1 + np.sqrt(np.stack([((x - v) ** 2).sum(axis=1) for v in part_])))
-            found.append(pd.DataFrame(reduce(similarity, a["id"].to_numpy(), a["label"].to_numpy(), b["id"].to_numpy()[lo : lo + 128], b["label"].to_numpy()[lo : lo + 128])))
+            found.append(pd.DataFrame(reduce(similarity, a["sample"].to_numpy(), a["sample_label"].to_numpy(), b["target"].to_numpy()[lo : lo + 128], b["target_label"].to_numpy()[lo : lo + 128])))
         return pd.concat(found)
 
-    return left.groupBy("t", "s").cogroup(right.groupBy("t", "s")).applyInPandas(meet, schema)
+    return left.groupBy("t1", "s1").cogroup(right.groupBy("t2", "s2")).applyInPandas(meet, schema)
 
 
 def nearest(samples: DataFrame, targets: DataFrame, k: int = 5, contrasting: int = 3, measure: str = "cosine") -> DataFrame:

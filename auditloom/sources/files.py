@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditloom.functions import converter
 from auditloom.functions.unicode import decode_bytes
 
 
@@ -19,8 +23,6 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def read_excel(spark: SparkSession, path: str) -> DataFrame:
     """A sheet is small: pandas reads it on the driver (needs a spreadsheet library of the user's)."""
-    import pandas as pd
-
     return spark.createDataFrame(pd.read_excel(path))
 
 
@@ -35,8 +37,10 @@ def read_any_encoding(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", decode_bytes(F.col("content")).alias("content"))
 
 
-def read_reports(spark: SparkSession, path: str, form: str = "auto") -> DataFrame:
-    """The reader of a form; ``auto`` goes by the suffix."""
+def read_reports(spark: SparkSession, path: str | list | pd.DataFrame, form: str = "auto") -> DataFrame:
+    """The reader of a form; ``auto`` goes by the suffix. A list of records or a pandas frame is taken as it is."""
+    if not isinstance(path, str):
+        return spark.createDataFrame(path)
     readers = {"json": read_json, "csv": read_csv, "xlsx": read_excel, "xls": read_excel, "excel": read_excel, "txt": read_text, "parquet": lambda s, p: s.read.parquet(p)}
     kind = path.rsplit(".", 1)[-1].lower() if form == "auto" else form
     if kind not in readers:
@@ -44,16 +48,44 @@ def read_reports(spark: SparkSession, path: str, form: str = "auto") -> DataFram
     return readers[kind](spark, path)
 
 
-def read_parsed_reports(spark: SparkSession, path: str) -> DataFrame:
-    """A folder of parsed reports: (file, data as variant); files that aren't JSON are left out."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.try_parse_json("value").alias("data"))
+def read_parsed_reports(spark: SparkSession, path: str, as_of: Column | None = None) -> DataFrame:
+    """A folder of parsed reports: (file, data as variant, loaded at); files that aren't JSON are left out."""
+    loaded = F.current_timestamp() if as_of is None else as_of
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.try_parse_json("value").alias("data"), loaded.alias("loaded"))
     return whole.where(F.col("data").isNotNull())
 
 
 def list_files(spark: SparkSession, path: str, pattern: str = "*", recursive: bool = False) -> DataFrame:
-    """(path, size, modified) without reading contents."""
+    """(path, name, suffix, size, modified) without reading contents."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive).load(path)
-    return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    name = F.element_at(F.split("path", "/"), -1)
+    suffix = F.regexp_extract(name, r"(\.[^.]+)$", 1)
+    return files.select("path", name.alias("name"), suffix.alias("suffix"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+
+
+def process_files(spark: SparkSession, path: str, work: Callable[[bytes], str], pattern: str = "*") -> DataFrame:
+    """(path, ok, result) of a function over whole files; one that fails says why and does not stop the others."""
+
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for name, data in zip(frame["path"], frame["content"]):
+                try:
+                    rows.append((name, True, work(bytes(data))))
+                except Exception as error:  # noqa: BLE001 (whatever the given function raises is its result)
+                    rows.append((name, False, str(error)))
+            yield pd.DataFrame(rows, columns=["path", "ok", "result"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
+    return files.mapInPandas(each, "path string, ok boolean, result string")
+
+
+def convert_folder(spark: SparkSession, path: str, default_date: Column, pattern: str = "*.txt") -> tuple[DataFrame, DataFrame]:
+    """The structured reports of a folder of plain texts, and a report on the conversion: (status, n), a text without
+    content having failed."""
+    texts = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), decode_bytes(F.col("content")).alias("content"))
+    good = F.trim("content") != ""
+    return converter.convert(texts.where(good), default_date), texts.groupBy(F.when(good, "converted").otherwise("failed").alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
@@ -78,11 +110,53 @@ def write_results(results: DataFrame, path: str, form: str = "json") -> None:
         raise ValueError(f"no writer for {form}")
 
 
+def write_text_safely(lines: DataFrame, path: str, backup: str) -> None:
+    """Lines (``value``) in place of what stands at ``path``, which goes to ``backup`` first if there is anything."""
+    if exists(lines.sparkSession, path):
+        lines.sparkSession.read.text(path).write.text(backup)
+    lines.select("value").write.mode("overwrite").text(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def save_state(table: DataFrame, path: str) -> None:
     """A baseline or history as Parquet, in place of what was there."""
     table.write.mode("overwrite").parquet(path)
 
 
+def load_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A saved baseline or history; an empty one where none has been saved."""
+    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
+
+
+def reset_state(spark: SparkSession, path: str, schema: str) -> None:
+    save_state(spark.createDataFrame([], schema), path)
+
+
+def export_results(results: DataFrame, path: str, columns: list[str], form: str = "csv") -> None:
+    """All results as JSON, or a CSV of the chosen columns of those that succeeded."""
+    if form == "json":
+        results.write.json(path)
+    else:
+        results.where("status = 'success'").select(*columns).write.option("header", True).csv(path)
+
+
+def save_collected(rows: DataFrame, path: str, source: str, as_of: Column) -> None:
+    """Rows as JSON lines in an envelope that names their source and the time of collection."""
+    rows.select(F.struct(*rows.columns).alias("data"), F.struct(F.lit(source).alias("source"), F.date_format(as_of, "yyyy-MM-dd HH:mm:ss").alias("collected")).alias("metadata")).write.json(path)
+
+
+def save_batch(results: DataFrame, path: str, name: str, large: int = 1000) -> None:
+    """A batch's results under its name; those of a large batch in a folder of their own beside its summary."""
+    n = results.count()
+    summary = results.groupBy().agg(F.lit(name).alias("batch"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "success").alias("successful"))
+    summary.write.mode("overwrite").json(f"{path}/{name}/summary")
+    results.write.mode("overwrite").json(f"{path}/{name}/{'results' if n >= large else 'rows'}")
+
+
 def flatten(df: DataFrame) -> DataFrame:
     """Structs come apart into columns, names joined by an underscore."""
     while any(f.dataType.typeName() == "struct" for f in df.schema):
