@@ -10,7 +10,9 @@ before it is a path whose states are known already and are not computed again.
 Text is split into words as the vocabulary's pre-tokeniser does.  Strings of special tokens in a text
 become the special ids.  Each task holds one vocabulary and a bounded table of words met lately.
 
-Defined cases: a null text is an empty one, without ids; ids outside the vocabulary decode to nothing;
+Defined cases: a null text is an empty one, without ids; an empty table gives an empty result; a very long
+text is encoded whole, a block of its own; merges of equal rank (ties) in a word go by the leftmost; columns
+named in ``keep`` are carried along (one named like the result there is an error), others do not matter; ids outside the vocabulary decode to nothing;
 null ids decode to an empty text; bytes that are not UTF-8 decode to U+FFFD; repeated rows are encoded row
 by row; the vocabulary file must be readable by every executor at the same path.
 """
@@ -222,6 +224,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: Sequence[str] =
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", keep: Sequence[str] = ("doc_id", "ids"), name: str = "decoded") -> DataFrame:
     """``keep`` columns and the text that the ids stand for, special tokens included."""
+    if name.lower() in {c.lower() for c in keep}:
+        raise ValueError(f"column {name} is made here; rename it before")
     source = encoded.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{ids}`").alias("__ids"))
     schema = encoded.select(*[F.col(f"`{c}`") for c in keep], F.lit("").alias(name)).schema
 

@@ -5,8 +5,10 @@ down to ``TAIL``, then a tail.  So there are few lengths, and the histogram, whi
 sees, is of fixed size.  Its patterns are turned into rank ranges a length; pieces are ranked within their
 length (by buckets of a hash, so that no length's pieces meet in one task) and take their place by rank.
 
-Defined cases: a null text is an empty one, of the end id alone; repeated rows are packed as rows of their
-own, with equal pieces ranked in no set order; an empty table gives no sequence; ``key`` may be any type.
+Defined cases: a null text is an empty one, of the end id alone; a very long text is encoded whole, a block of
+its own, and cut into as many whole sequences as it fills; repeated rows, and rows with a null key, are packed
+as rows of their own, with equal pieces (ties) ranked in no set order; an empty table gives no sequence;
+``key`` may be any type; only ``key`` and ``text`` are read, so other columns may be named like results.
 """
 
 from __future__ import annotations

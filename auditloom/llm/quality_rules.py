@@ -4,7 +4,8 @@
 of rules: ``apply_policy`` decides by one bitwise AND, and ``ablations`` counts, in one aggregation over
 the bits, what each rule of a policy rejects, rejects alone, and would release if it were dropped.
 
-Defined cases: a null text has no word, like an empty one; repeated rows are measured row by row; an
+Defined cases: a null text has no word, like an empty one; a very long text is read whole, a block of its
+own; repeated rows are measured row by row; a measurement equal to a rule's limit (a tie) passes the rule; an
 empty table gives empty results; other columns are carried along when named in ``keep``; a column of the
 input that bears a measurement's name is not read and not returned unless kept under that name, which is
 an error.

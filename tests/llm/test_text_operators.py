@@ -322,6 +322,38 @@ def test_packing_repeated_rows(spark):
     assert not rows.duplicated(["sequence_id", "offset"]).any()
 
 
+def test_clashing_columns(docs, spark):
+    """Columns named like results are an error where they are to be kept, and do not matter elsewhere."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    with pytest.raises(ValueError):
+        quality_rules.ledger(docs, keep=("doc_id", "n_words"))
+    with pytest.raises(ValueError):
+        bpe.encode(docs.withColumn("ids", F.lit(1)), path, keep=("ids",))
+    with pytest.raises(ValueError):
+        bpe.decode(bpe.encode(docs, path).withColumn("decoded", F.lit(1)), path, keep=("decoded",))
+    with pytest.raises(ValueError):
+        quality_classifier.score(docs, quality_classifier.DsirModel(np.zeros(8), 1.0, 1, 1.0), keep=("doc_id", "score"), name="score")
+    clash = spark.createDataFrame([(1, "a b c", 7, 8, 9), (None, "x", 7, 8, 9)], "doc_id long, text string, length int, offset int, sequence_id int")
+    got = packing.pack(clash, public_tokenizers.path("word_bpe_49k.json")).collect()
+    assert sorted((r["doc_id"] or 0, r["length"]) for r in got) == [(0, 2), (1, 4)] and len({r["sequence_id"] for r in got}) == 1
+
+
+def test_very_long_texts(spark):
+    """A text of several blocks' size through every reader of texts."""
+    text = "Some words of a long text, and then some more of them! " * 60_000
+    docs = spark.createDataFrame([(1, text), (2, "short"), (1, text)], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in quality_rules.ledger(docs).collect()}
+    assert found[1]["n_words"] == len(text.split()) and found[1]["n_repeat_words"] == found[1]["n_words"]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ids = {r["doc_id"]: len(r["ids"]) for r in bpe.encode(docs, path).collect()}
+    assert ids[1] == len(Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids)
+    model = quality_classifier.DsirModel(np.ones(64), 10.0, 3, 1.0)
+    weight = {r["doc_id"]: r["log_weight"] for r in quality_classifier.score(docs, model).collect()}
+    assert weight[1] == pytest.approx(10.0, rel=1e-3) and 0 < weight[2] < 1
+    scores = toxicity.score(docs, toxicity.ToxicityModel(16, 0.0, np.zeros(0, np.int64), np.zeros(0))).collect()
+    assert [r["score"] for r in scores] == [0.5] * 3
+
+
 def test_cutting_stock_wastes_little():
     rng = np.random.default_rng(0)
     histogram = {int(s): int(n) for s, n in zip(rng.choice(range(1, 256), 120, replace=False), rng.integers(1, 5000, 120))} | {1024: 900, 512: 700, 256: 1300, 2048: 5}
