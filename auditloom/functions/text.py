@@ -18,10 +18,18 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: A whole word of two characters or more that is not all digits: one pattern, so that words need no second look.
+_TOKEN = r"((?<![\p{L}\p{N}_])(?!\p{Nd}+(?![\p{L}\p{N}_]))[\p{L}\p{N}_]{2,}+)"
+
+
 def tokens(text: Column, stop_words: Sequence[str] = (), pattern: str = WORD) -> Column:
     """Words longer than a character that are neither all digits nor stop words, in order."""
-    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({pattern})"), F.lit(1))
-    return F.filter(words, lambda w: (F.length(w) > 1) & ~w.rlike(r"^\p{Nd}+$") & (~w.isin(*stop_words) if stop_words else F.lit(True)))
+    known = F.coalesce(text, F.lit(""))
+    if pattern == WORD:
+        words = F.regexp_extract_all(known, F.lit(_TOKEN), F.lit(1))
+    else:
+        words = F.filter(F.regexp_extract_all(known, F.lit(f"({pattern})"), F.lit(1)), lambda w: (F.length(w) > 1) & ~w.rlike(r"^\p{Nd}+$"))
+    return F.filter(words, lambda w: ~w.isin(*stop_words)) if stop_words else words
 
 
 def pieces(text: Column, pattern: str) -> Column:
