@@ -154,7 +154,7 @@ def convert(arcs: DataFrame, content: str = "content", path: str = "path") -> Da
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1)):
                 raw = data.as_buffer() if data.is_valid else pa.py_buffer(b"")
-                zipped = raw.slice(0, 2).to_pybytes() == b"\x1f\x8b"
+                zipped = raw.size > 1 and raw.slice(0, 2).to_pybytes() == b"\x1f\x8b"
                 for rows in _bounded(_converted(gzip.GzipFile(fileobj=pa.BufferReader(raw)) if zipped else io.BufferedReader(pa.BufferReader(raw)))):
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), *_arrays(rows)], names=["path", *_NAMES])
 
