@@ -22,8 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt to all cores where a table has no more splits than these: a small file is often one row group, which is
+    one task however the file is split. Larger tables are read as they lie."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() <= cores else df
+
+
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("report_id"), F.coalesce("text", F.lit("")).alias("content"), F.col("source").alias("author"), "lang", (F.timestamp_seconds(F.lit(1704067200) + F.pmod("doc_id", F.lit(720)) * 3600)).alias("ts"))
+    return spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("report_id"), F.coalesce("text", F.lit("")).alias("content"), F.col("source").alias("author"), "lang", (F.timestamp_seconds(F.lit(1704067200) + F.pmod("doc_id", F.lit(720)) * 3600)).alias("ts"))
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
