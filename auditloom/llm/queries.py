@@ -15,11 +15,12 @@ from auditloom.llm.packing import op6_packing
 from auditloom.llm.quality_classifier import op7_quality_classifier
 from auditloom.llm.quality_rules import OP2_SQL, op2_quality_rules
 from auditloom.llm.simhash import op10_simhash_near_dedup
+from auditloom.llm.target_sampling import op13_importance_sampling
 from auditloom.llm.toxicity import op3_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_chat_format, op2_quality_rules, op3_toxicity, op4_warc, op5_html_extraction, op6_packing, op7_quality_classifier, op8_bpe_encoding, op9_order_minhash, op10_simhash_near_dedup)
+    found = (op1_chat_format, op2_quality_rules, op3_toxicity, op4_warc, op5_html_extraction, op6_packing, op7_quality_classifier, op8_bpe_encoding, op9_order_minhash, op10_simhash_near_dedup, op13_importance_sampling)
     return {f.__name__: f for f in found}
 
 
