@@ -52,3 +52,23 @@ class Thresholds:
 
 
 THRESHOLDS = Thresholds()
+
+
+# Words that segmentation leaves out, and words that it keeps whole; results depend on them.
+STOP_WORDS = (
+    "的", "了", "在", "是", "我", "有", "和", "就", "不", "人", "都", "一", "一个",
+    "上", "也", "很", "到", "说", "要", "去", "你", "会", "着", "没有", "看", "好",
+    "自己", "这", "那", "就是", "我们", "他们", "她们", "可以", "能够", "因为",
+    "所以", "但是", "然后", "如果", "虽然", "却", "还是", "已经", "现在", "之后",
+    "之前", "比较", "非常", "特别", "尤其", "包括", "以及", "或者", "并且", "而且",
+    "这个", "那个", "这些", "那些", "什么", "怎么", "为什么", "怎样", "哪里",
+    "什么时候", "多少", "几个", "一些", "许多", "很多", "不少", "大量", "少量",
+)
+FINANCE_WORDS = (
+    "股票", "股价", "涨幅", "跌幅", "市值", "成交量", "换手率", "市盈率", "市净率",
+    "营收", "净利润", "毛利率", "ROE", "ROA", "EPS", "PE", "PB", "PEG",
+    "券商", "研报", "评级", "目标价", "买入", "卖出", "持有", "增持", "减持",
+    "上涨", "下跌", "横盘", "震荡", "突破", "支撑", "阻力", "趋势", "反弹",
+    "业绩", "财报", "年报", "季报", "分红", "派息", "配股", "增发", "重组",
+    "并购", "IPO", "上市", "退市", "停牌", "复牌", "限售", "解禁",
+)

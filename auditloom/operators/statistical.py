@@ -121,10 +121,15 @@ def scores(features: DataFrame, new_words: DataFrame) -> DataFrame:
 
 
 def keywords(reports: DataFrame, k: int = 5, stop_words: Sequence[str] = ()) -> DataFrame:
-    """The k words of greatest tf-idf of each report: (report_id, word, tf, weight, rank). Words are counted once and
-    written; document frequencies and weights read the counts."""
-    counted = stash(reports.select("report_id", F.explode(X.tokens(F.col("content"), stop_words)).alias("word")).groupBy("report_id", "word").agg(F.count(F.lit(1)).alias("tf")), "counts")
-    docs = reports.agg(F.count(F.lit(1)).alias("docs"))
+    """The k words of greatest tf-idf of each report: (report_id, word, tf, weight, rank)."""
+    words = reports.select("report_id", F.explode(X.tokens(F.col("content"), stop_words)).alias("word"))
+    return top_words(words, k, reports.agg(F.count(F.lit(1)).alias("docs")))
+
+
+def top_words(words: DataFrame, k: int, docs: DataFrame) -> DataFrame:
+    """The k words of greatest tf-idf of each report, of words however they were found (report_id, word) and the number
+    of reports (docs). Words are counted once and written; document frequencies and weights read the counts."""
+    counted = stash(words.groupBy("report_id", "word").agg(F.count(F.lit(1)).alias("tf")), "counts")
     spread = attach(counted.groupBy("word").agg(F.count(F.lit(1)).alias("df")), docs).select("word", F.log(F.col("docs") / F.col("df")).alias("idf"))
     ranked = counted.join(spread, "word").withColumn("weight", F.col("tf") * F.col("idf"))
     order = Window.partitionBy("report_id").orderBy(F.desc("weight"), "word")
