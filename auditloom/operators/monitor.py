@@ -114,3 +114,21 @@ def snapshot(metrics: DataFrame, names: list[str]) -> DataFrame:
 def histogram(metrics: DataFrame, width: float) -> DataFrame:
     """Per metric and bin of a fixed width: count, least and greatest value."""
     return metrics.groupBy("metric", F.floor(F.col("value") / width).cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("least"), F.max("value").alias("greatest"))
+
+
+def resolutions(metrics: DataFrame, thresholds: DataFrame, last: int = 5, age: int = 300) -> DataFrame:
+    """(metric, id, ts, resolved_ts) of the alerts that are resolved by the end of ``metrics``: ``age`` seconds after the
+    alert if the newest ``last`` values are fine then, else with the first value that makes them so. One sort a metric."""
+    judged = metrics.join(thresholds, "metric").select("metric", "id", F.unix_micros("ts").alias("at"), (F.col("value") >= F.col("warning")).alias("bad"))
+    order = Window.partitionBy("metric").orderBy("at", "id")
+    runs = judged.withColumn("run", F.sum(F.col("bad").cast("int")).over(order))
+    fine = runs.withColumn("fine", F.row_number().over(Window.partitionBy("metric", "run").orderBy("at", "id")) - F.when(F.col("run") > 0, 1).otherwise(0))
+    until = metrics.agg(F.unix_micros(F.date_trunc("millisecond", F.max("ts"))).alias("until"))
+    due = fine.where("bad").select("metric", "id", (F.col("at") + age * 1_000_000).alias("time"), F.col("at").alias("alert"), F.lit(None).cast("int").alias("fine"))
+    points = fine.select("metric", "id", F.col("at").alias("time"), F.lit(None).cast("long").alias("alert"), "fine").unionByName(due)
+    over = Window.partitionBy("metric").orderBy("time", F.col("alert").isNotNull(), "id")
+    now = F.last("fine", ignorenulls=True).over(over)
+    later = F.min(F.when(F.col("fine") == last, F.col("time"))).over(over.rowsBetween(0, Window.unboundedFollowing))
+    found = points.withColumns({"now": now, "later": later}).where(F.col("alert").isNotNull())
+    resolved = F.when(F.col("now") < last, F.col("later")).when(F.col("time") <= until.scalar(), F.col("time"))
+    return found.select("metric", "id", F.timestamp_micros("alert").alias("ts"), F.timestamp_micros(resolved).alias("resolved_ts")).where("resolved_ts is not null")

@@ -1,14 +1,10 @@
-"""Streams of metrics (metric, ts, value, id): alerts, daily counts, sessions, and stateful alert resolution."""
+"""Streams of metrics (metric, ts, value, id): alerts, daily counts, sessions; streams with state are in ``stateful``."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from auditloom.operators import monitor
 from auditloom.sources.shared import new_path
@@ -40,37 +36,6 @@ def sessions(activity: DataFrame, gap: str = "30 minutes", late: str = "1 hour")
     return grouped.agg(F.count(F.lit(1)).alias("n")).select("author", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")
 
 
-def deduplicated(results: DataFrame, key: str, keep: str = "1 hour") -> DataFrame:
-    """The first of each key within the time that the result cache keeps."""
-    return results.withWatermark("ts", keep).dropDuplicatesWithinWatermark([key])
-
-
-def resolution_stream(metrics: DataFrame, thresholds: DataFrame, last: int = 5, age: int = 300) -> DataFrame:
-    """(metric, ts, state): OPEN when a value passes its warning, RESOLVED when the alert is older than ``age`` seconds
-    and the last five values are fine. State a metric: when the open alert began, and how many values were fine since."""
-    judged = metrics.join(F.broadcast(thresholds), "metric").select("metric", "ts", "id", (F.col("value") >= F.col("warning")).alias("bad"))
-
-    def follow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        opened, fine = state.get if state.exists else (None, 0)
-        out = []
-        for row in pd.concat(list(frames)).sort_values(["ts", "id"]).itertuples():
-            if row.bad:
-                if opened is None:
-                    out.append((key[0], row.ts, "OPEN"))
-                    opened = row.ts.timestamp()
-                fine = 0
-            elif opened is not None:
-                fine += 1
-                if fine >= last and row.ts.timestamp() - opened > age:
-                    out.append((key[0], row.ts, "RESOLVED"))
-                    opened, fine = None, 0
-        state.update((opened, fine))
-        if out:
-            yield pd.DataFrame(out, columns=["metric", "ts", "state"])
-
-    return judged.groupBy("metric").applyInPandasWithState(follow, "metric string, ts timestamp, state string", "opened double, fine long", "append", GroupStateTimeout.NoTimeout)
-
-
 def run_once(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """All that is available, written to Parquet in the shared folder and read back. In ``complete`` mode the last
     batch, which holds every group, takes the place of those before; a batch that is run again writes the same files."""

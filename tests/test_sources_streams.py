@@ -40,15 +40,6 @@ def test_writers(spark, tmp_path):
     assert flat.columns == ["a_b_c"]
 
 
-def test_alert_states(spark, tmp_path):
-    rows = [("m", f"2024-01-01 00:0{i}:00", v, i) for i, v in enumerate([1.0, 9.0, 9.0, 1.0, 1.0, 1.0, 1.0, 1.0, 2.0])]
-    spark.createDataFrame(rows, "metric string, ts string, value double, id long").withColumn("ts", F.to_timestamp("ts")).write.parquet(str(tmp_path / "in"))
-    stream = monitoring.read_events(spark, str(tmp_path / "in"), "metric string, ts timestamp, value double, id long")
-    thresholds = spark.createDataFrame([("m", 5.0, 8.0)], "metric string, warning double, critical double")
-    got = monitoring.run_once(monitoring.resolution_stream(stream, thresholds), "states")
-    assert [(r["state"], r["ts"].minute) for r in got.orderBy("ts").collect()] == [("OPEN", 1), ("RESOLVED", 7)]
-
-
 def test_upsert_and_weights(spark):
     old, new = spark.createDataFrame([(1, 1, "a"), (2, 1, "b")], "k int, at int, v string"), spark.createDataFrame([(1, 2, "c")], "k int, at int, v string")
     assert sorted(tuple(r) for r in learning.upsert(old, new, "k", "at").collect()) == [(1, 2, "c"), (2, 1, "b")]
