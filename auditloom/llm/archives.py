@@ -9,7 +9,8 @@ file.  Payloads are bytes all the way, in any encoding or none.
 
 Defined cases: null payloads are empty, empty ones are equal to each other; of equal payloads the one of
 least key is the response (ties of a key are all responses); repeated rows are records of their own, with
-identifiers of their own; null and empty addresses become ``urn:none``; a row with a null key is always a response,
+identifiers of their own; null and empty addresses become ``urn:none``; addresses of any scheme, in any letters, keep
+their answer's head and so are responses, and a record without such a head is a resource; a row with a null key is always a response,
 which none revisits; what an archive has lost (a record cut short,
 a length that is no number, a header of another number of fields) comes out as a row that says so in
 ``error`` and how many bytes were passed over in ``lost_bytes``; very long payloads need the memory of one
@@ -109,8 +110,10 @@ def warc_date(arc_date: str) -> str:
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
-def warc_type(url: str) -> str:
-    return "response" if url.startswith(("http://", "https://")) else "resource"
+def warc_type(head: bytes) -> str:
+    """What is kept with the head of an HTTP answer is a response, whatever its address; else it is a resource, whose
+    block is the payload alone."""
+    return "response" if head else "resource"
 
 
 _RECORD = "ordinal long, target_uri string, warc_date string, type string, http binary, payload binary, payload_sha1 string, payload_digest string, error string, lost_bytes long"
@@ -126,7 +129,7 @@ def _converted(stream: BinaryIO) -> Iterator[tuple]:
         url = record.fields["URL"]
         head, gap, payload = record.body.partition(b"\r\n\r\n") if record.body.startswith(b"HTTP/") else (b"", b"", record.body)
         sha1 = hashlib.sha1(payload)
-        yield i, url, warc_date(record.fields["Archive-date"]), warc_type(url), head + gap, payload, sha1.hexdigest(), base64.b32encode(sha1.digest()).decode(), None, 0
+        yield i, url, warc_date(record.fields["Archive-date"]), warc_type(head), head + gap, payload, sha1.hexdigest(), base64.b32encode(sha1.digest()).decode(), None, 0
 
 
 def _arrays(rows: list[tuple]) -> list[pa.Array]:
@@ -269,6 +272,12 @@ def parse_warc(parts: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]
         yield fields | {"error": "a record cut short"}, bytes(held[:-4])
 
 
+def sound(records: DataFrame) -> DataFrame:
+    """``read_warc`` rows; one with an error stops the job."""
+    said = F.raise_error(F.concat(F.lit("a damaged record: "), "error"))
+    return records.withColumn("payload_digest", F.when(F.col("error").isNotNull(), said).otherwise(F.col("payload_digest"))).drop("error")
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """A row a record of the gzipped files under ``path``: record_type, target_uri, key, refers_to (keys as our
     writer sets them), record_id, payload_bytes and payload_digest, both taken from the payload where the record
@@ -314,6 +323,4 @@ def op4_warc(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     path = new_path(spark, "warc")
     write_warc(deduplicated(from_pages(pages), first_payloads(pages)), path)
-    # A page whose address is not HTTP is archived as a resource; of pages, all are responses.
-    kind = F.when(F.col("record_type") == "revisit", F.lit("revisit")).otherwise(F.lit("response"))
-    return read_warc(spark, path).select(F.col("key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", kind.alias("record_type"), F.col("refers_to").cast("long").alias("refers_to"))
+    return sound(read_warc(spark, path)).select(F.col("key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))

@@ -10,7 +10,8 @@ that hash to ``shards`` learners.  Each learner sees exactly its shard, wherever
 count in the average in proportion to its cases.  Scoring reads every whole text in one pass.
 
 Defined cases: a null or empty text has no feature and gets the score of the bias; very long texts are read
-whole, a block of their own; repeated rows are scored row by row, and each counts as a case if labelled;
+whole, a block of their own; repeated rows are scored row by row, and of the rows of a labelled id one,
+that of the least text, counts as a case;
 labels that are null, or of no document, are not used; of several labels of one document the greatest
 counts; ids whose hashes tie at the end of the sample go by the smaller id; without labels of both classes
 every score is the share of toxic labels (0 if none); a column listed in ``keep`` that is named like the
@@ -117,7 +118,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     """A model from the rows of ``labels``. The labelled sample is bounded, so it is broadcast to one scan of ``docs``."""
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.max(F.col(label).cast("int")).alias("__y"))
     sample = known.withColumn("__h", F.xxhash64(F.col("__key").cast("string"))).orderBy("__h", "__key").limit(config.sample)
-    rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).join(F.broadcast(sample), "__key").select("__text", "__y", "__h")
+    rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).join(F.broadcast(sample), "__key")
+    # Of rows that repeat an id one is a case, each task having kept one: so the cases are as few as the sample.
+    rows = rows.groupBy("__key", "__h", "__y").agg(F.min(F.coalesce("__text", F.lit(""))).alias("__text")).select("__text", "__y", "__h")
     shard = F.pmod(F.shiftright("__h", 20), F.lit(config.shards))
     bits = config.bits
 
