@@ -72,3 +72,5 @@ FINANCE_WORDS = (
     "业绩", "财报", "年报", "季报", "分红", "派息", "配股", "增发", "重组",
     "并购", "IPO", "上市", "退市", "停牌", "复牌", "限售", "解禁",
 )
+# What each issue of a cleaned text takes off its quality.
+CLEAN_PENALTIES = {"text_too_short": 0.3, "text_too_long": 0.1, "possible_gibberish": 0.4, "high_repetition": 0.2, "low_chinese_ratio": 0.3}

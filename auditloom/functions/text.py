@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from auditloom.config import LEXICONS
+from auditloom.config import CLEAN_PENALTIES, LEXICONS
 
 WORD = r"[\p{L}\p{N}_]+"
 
@@ -121,6 +121,15 @@ def drop_astral(text: Column) -> Column:
     return F.regexp_replace(text, r"[\x{10000}-\x{10FFFF}]", "")
 
 
+def redecoded(text: Column) -> Column:
+    """UTF-8 that was read as Latin-1, read again: texts of Latin-1 characters alone, with pairs that begin a UTF-8
+    character, whose bytes are valid UTF-8; others stay as they are."""
+    suspect = ~text.rlike(r"[^\x{0}-\x{ff}]") & text.rlike(r"[\x{c2}-\x{f4}][\x{80}-\x{bf}]")
+    # Characters beyond Latin-1 are left out of what is encoded; such texts are not suspect.
+    encoded = F.encode(F.regexp_replace(text, r"[^\x{0}-\x{ff}]", ""), "ISO-8859-1")
+    return F.when(suspect, F.coalesce(F.try_validate_utf8(encoded.cast("string")), text)).otherwise(text)
+
+
 def normalise_space(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"[ \t\x0b\x0c\r]+", " "), r"\n\s*\n\s*\n+", "\n\n")
 
@@ -188,7 +197,7 @@ def issues(text: Column, min_han: float = 0.7, max_repeat: float = 0.3) -> Colum
 
 def clean_quality(original: Column, cleaned: Column, found: Column) -> Column:
     """1 less the penalties of the issues, more for a cleaning that took little and less for one that took half."""
-    cost = {"text_too_short": 0.3, "text_too_long": 0.1, "low_chinese_ratio": 0.4, "possible_gibberish": 0.2, "high_repetition": 0.3}
+    cost = CLEAN_PENALTIES
     score = reduce(lambda a, b: a - b, [F.when(F.array_contains(found, n), F.lit(c)).otherwise(0.0) for n, c in cost.items()], F.lit(1.0))
     kept = ratio(F.length(cleaned).cast("double"), F.length(original))
     score = score + F.when(kept.between(0.7, 0.95), F.lit(0.1)).when(kept < 0.5, F.lit(-0.2)).otherwise(0.0)

@@ -29,22 +29,24 @@ def run_statistics(runs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def half_trend(first: Column, second: Column) -> Column:
-    """INCREASING or DECREASING where the halves' means differ by more than a tenth, else STABLE."""
-    change = (second - first) / first
+    """INCREASING or DECREASING where the halves' means differ by more than a tenth, else STABLE, as without a first half
+    or with one whose mean is 0."""
+    change = F.try_divide(second - first, first)
     return F.when(change > 0.1, "INCREASING").when(change < -0.1, "DECREASING").otherwise("STABLE")
 
 
 def resource_report(metrics: DataFrame, newest: int = 60) -> DataFrame:
-    """Per metric: newest value, mean of all and of the newest, least, greatest, and the trend of the halves."""
+    """Per metric: newest value, mean of all and of the newest, least, greatest, and the trend of the halves of the newest."""
     ordered = numbered(metrics.select("metric", "ts", "id", "value"), "metric", ["ts", "id"])
     n = ordered.groupBy("metric").agg(F.count(F.lit(1)).alias("n"))
-    placed = ordered.join(n, "metric")
-    half = F.floor(F.col("n") / 2)
+    placed = ordered.join(n, "metric").withColumn("back", F.col("n") - F.col("i"))
+    half = F.least(F.col("n"), F.lit(newest)) - F.floor(F.least(F.col("n"), F.lit(newest)) / 2)  # the second half is the larger
+    recent = F.col("back") < newest
     row = placed.groupBy("metric").agg(
-        F.max_by("value", "i").alias("current"), F.avg("value").alias("mean"), F.avg(F.when(F.col("i") > F.col("n") - newest, F.col("value"))).alias("newest_mean"), F.min("value").alias("least"), F.max("value").alias("greatest"),
-        F.avg(F.when(F.col("i") <= half, F.col("value"))).alias("first"), F.avg(F.when(F.col("i") > half, F.col("value"))).alias("second"),
+        F.max_by("value", "i").alias("current"), F.avg("value").alias("mean"), F.avg(F.when(recent, F.col("value"))).alias("newest_mean"), F.min("value").alias("least"), F.max("value").alias("greatest"),
+        F.avg(F.when(recent & (F.col("back") >= half), F.col("value"))).alias("first"), F.avg(F.when(F.col("back") < half, F.col("value"))).alias("second"),
     )
-    return row.select("metric", "current", "mean", "newest_mean", "least", "greatest", F.when(F.col("first").isNull(), "STABLE").otherwise(half_trend(F.col("first"), F.col("second"))).alias("trend"))
+    return row.select("metric", "current", "mean", "newest_mean", "least", "greatest", half_trend(F.col("first"), F.col("second")).alias("trend"))
 
 
 def window_trend(metrics: DataFrame, as_of: Column, hours: int) -> DataFrame:

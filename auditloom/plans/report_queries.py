@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from auditloom.functions import text as X
 from auditloom.functions.scalars import level, parse_date, parse_number, stock_code
-from auditloom.operators import behavioral, features, learning, quality, semantic, statistical
+from auditloom.operators import behavioral, cleaning, features, learning, quality, semantic, statistical
 from auditloom.plans.tables import NEGATIVE, NUMBERS, POSITIVE, WORDS, reports, table
+from auditloom.sources.shared import stash
 
 QUERIES, SQL = {}, {}
 
@@ -128,7 +129,10 @@ def keyword_topk(spark, sf_dir):
     return rounded(statistical.keywords(reports(spark, sf_dir), 5))
 
 
-@query("select page_id, md5(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '<[^>]+>', '', 'g'), '&[a-zA-Z0-9#]+;', '', 'g')) as digest from pages")
+_STRIPPED = "regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace({0}, '<[^>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '<[^>]+>', '', 'g'), '&[a-zA-Z0-9#]+;', '', 'g')"
+
+
+@query("select page_id, md5(" + _STRIPPED.format("html") + ") as digest from pages")
 def clean_html(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.md5(X.strip_tags(F.col("html")).cast("binary")).alias("digest"))
 
@@ -155,6 +159,31 @@ def clean_full(spark, sf_dir):
     return found.select("report_id", F.length("cleaned").alias("length_after"), F.concat_ws(",", "issues").alias("issues"), X.clean_quality(F.col("content"), F.col("cleaned"), F.col("issues")).alias("quality"))
 
 
+def _cleaned(spark, sf_dir):
+    return cleaning.stepwise(reports(spark, sf_dir), "report_id")
+
+
+def _cleaned_pages(spark, sf_dir):
+    return cleaning.stepwise(table(spark, sf_dir, "pages"), "page_id", "html")
+
+
+@query("with t as (select html, " + _STRIPPED.format("html") + r" as plain from pages where html <> '') select count(*) as total_processed, count(*) as total_cleaned, 1.0::double as cleaning_rate, round(avg((length(plain) < length(html))::int), 6) as html_removal_rate, round(avg(regexp_matches(plain, '[\x{10000}-\x{10FFFF}]')::int), 6) as encoding_fix_rate from t")
+def clean_statistics(spark, sf_dir):
+    """All pages cleaned and written, and the statistics of it from the same reading (the tests hold the shares that SQL
+    cannot express against a plain version)."""
+    rows, seen = cleaning.observed(_cleaned_pages(spark, sf_dir))
+    stash(rows.drop("original"), "cleaned")
+    told = cleaning.statistics(seen)
+    names = ["total_processed", "total_cleaned", "cleaning_rate", "html_removal_rate", "encoding_fix_rate"]
+    return rounded(spark.createDataFrame([tuple(told[n] for n in names)], ", ".join(f"{n} {'long' if n.startswith('total') else 'double'}" for n in names)))
+
+
+@query()
+def clean_steps(spark, sf_dir):
+    """The steps that changed each text, what is wrong with it afterwards, its quality."""
+    return rounded(_cleaned(spark, sf_dir).select("report_id", F.concat_ws(",", "steps").alias("steps"), F.concat_ws(",", "issues").alias("issues"), "quality", "length_reduction", "reduction_ratio", F.md5(F.col("cleaned").cast("binary")).alias("digest")))
+
+
 @query(DOCS + r", t as (select report_id, [w for w in regexp_split_to_array(content, '[ \t\n\x0B\f\r]+') if w <> ''] as ws from d), c as (select report_id, word, count(*) as n from (select report_id, unnest(ws) as word from t) group by 1, 2) select t.report_id, round(coalesce(max(n) / any_value(len(ws)), 0.0), 6) as top_share from t left join c using (report_id) group by 1")
 def repetition(spark, sf_dir):
     words = F.filter(F.split("content", r"\s+"), lambda w: w != "")

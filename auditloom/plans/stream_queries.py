@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from auditloom.operators import monitor
+from auditloom.operators import monitor, summaries
 from auditloom.plans.activity_queries import _M, _stream, _thresholds
 from auditloom.plans.tables import metrics
-from auditloom.streaming import monitoring, stateful
+from auditloom.sources.shared import new_path
+from auditloom.streaming import callbacks, monitoring, stateful
 
 QUERIES, SQL = {}, {}
 
@@ -72,3 +73,43 @@ def retained_alerts(spark, sf_dir):
     told = alerts.join(monitor.resolutions(m, _thresholds(spark)).select("metric", "id", "resolved_ts"), ["metric", "id"], "left").withColumn("resolved", F.col("resolved_ts").isNotNull())
     kept = monitor.retained(told, F.lit("2024-02-15").cast("timestamp"))
     return kept.groupBy("metric").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("resolved")).alias("open"))
+
+
+_ALERTS = _M + ", a as (select id, metric, value, case when value >= critical then 'CRITICAL' else 'WARNING' end as severity from e join th using (metric) where value >= warning)"
+
+
+@query(_ALERTS + " select 'all' as sink, severity, count(*) as n, sum(id)::bigint as ids from a group by severity union all select 'critical', severity, count(*), sum(id)::bigint from a where severity = 'CRITICAL' group by severity")
+def alert_fan_out(spark, sf_dir):
+    """The stream's alerts in two sinks; every batch is replayed by force, which leaves them as they were."""
+    found = monitoring.alert_stream(_stream(spark, sf_dir), _thresholds(spark)).select("id", "metric", "value", "severity")
+    paths = {n: new_path(spark, f"alerts-{n}") for n in ("all", "critical")}
+    each = callbacks.fan_out({"all": callbacks.files_sink(paths["all"]), "critical": callbacks.files_sink(paths["critical"], F.col("severity") == "CRITICAL")}, new_path(spark, "ledger"))
+
+    def twice(batch, number):
+        each(batch, number)
+        each(batch, number)
+
+    found.writeStream.foreachBatch(twice).option("checkpointLocation", new_path(spark, "fan-out")).trigger(availableNow=True).start().awaitTermination()
+    rows = [spark.read.schema(found.schema).option("recursiveFileLookup", True).parquet(p).withColumn("sink", F.lit(n)) for n, p in paths.items()]
+    return rows[0].unionByName(rows[1]).groupBy("sink", "severity").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"))
+
+
+@query(_ALERTS + " select 'alerts_critical' as metric, (select count(*) from a where severity = 'CRITICAL')::double as total union all select 'alerts_n', (select count(*) from a)::double union all select 'input_rows', (select count(*) from events)::double")
+def stream_progress(spark, sf_dir):
+    """What the stream's triggers read and observed, as a metric table, added up over the triggers."""
+    log = _progress(spark, sf_dir)
+    rows = log.rows(spark).where(F.col("metric").isin("input_rows", "alerts_n", "alerts_critical"))
+    return rows.groupBy("metric").agg(F.sum("value").alias("total"))
+
+
+def _progress(spark, sf_dir):
+    found = monitoring.alert_stream(_stream(spark, sf_dir), _thresholds(spark))
+    told = callbacks.observed(found, "alerts", F.count(F.lit(1)).alias("n"), F.count_if(F.col("severity") == "CRITICAL").alias("critical"))
+    return callbacks.listened(spark, lambda: monitoring.run_once(told, "observed"))
+
+
+@query(_ALERTS + " select metric, newest_mean = least and least = greatest as steady, trend from (select 'alerts_n' as metric, 1 as newest_mean, 1 as least, 1 as greatest, 'stable' as trend)")
+def stream_resources(spark, sf_dir):
+    """The resource report of the stream's own numbers: over a single trigger all of them are steady."""
+    report = summaries.resource_report(_progress(spark, sf_dir).rows(spark).where("metric = 'alerts_n'").withColumn("author", F.lit(0)))
+    return report.select("metric", ((F.col("newest_mean") == F.col("least")) & (F.col("least") == F.col("greatest"))).alias("steady"), "trend")

@@ -46,7 +46,7 @@ def service_statistics(spark, sf_dir):
     return rounded(summaries.service_statistics(r))
 
 
-@query(_M + ", o as (select *, row_number() over (partition by metric order by ts, id) as i, count(*) over (partition by metric) as n from e), a as (select metric, arg_max(value, i) as current, avg(value) as mean, avg(value) filter (where i > n - 60) as newest_mean, min(value) as least, max(value) as greatest, avg(value) filter (where i <= floor(n / 2)) as f, avg(value) filter (where i > floor(n / 2)) as s from o group by 1) select metric, current, round(mean, 6) as mean, round(newest_mean, 6) as newest_mean, least, greatest, case when (s - f) / f > 0.1 then 'INCREASING' when (s - f) / f < -0.1 then 'DECREASING' else 'STABLE' end as trend from a")
+@query(_M + ", o as (select *, row_number() over (partition by metric order by ts, id) as i, count(*) over (partition by metric) as n from e), a as (select metric, arg_max(value, i) as current, avg(value) as mean, avg(value) filter (where i > n - 60) as newest_mean, min(value) as least, max(value) as greatest, avg(value) filter (where i > n - least(n, 60) and i <= n - least(n, 60) + floor(least(n, 60) / 2)) as f, avg(value) filter (where i > n - least(n, 60) + floor(least(n, 60) / 2)) as s from o group by 1) select metric, current, round(mean, 6) as mean, round(newest_mean, 6) as newest_mean, least, greatest, case when (s - f) / f > 0.1 then 'INCREASING' when (s - f) / f < -0.1 then 'DECREASING' else 'STABLE' end as trend from a")
 def resource_report(spark, sf_dir):
     return rounded(summaries.resource_report(metrics(spark, sf_dir))).select("metric", "current", "mean", "newest_mean", "least", "greatest", "trend")
 

@@ -40,6 +40,21 @@ def forget(spark: SparkSession, path: str) -> None:
     files.delete(target, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    target, files = _hadoop(spark, path)
+    return files.exists(target)
+
+
+def mark(spark: SparkSession, path: str, text: str) -> None:
+    """A small file of its own, put in the place of one that stands there."""
+    target, files = _hadoop(spark, path)
+    out = files.create(target, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
 def stash_at(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
