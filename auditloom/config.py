@@ -74,3 +74,9 @@ FINANCE_WORDS = (
 )
 # What each issue of a cleaned text takes off its quality.
 CLEAN_PENALTIES = {"text_too_short": 0.3, "text_too_long": 0.1, "possible_gibberish": 0.4, "high_repetition": 0.2, "low_chinese_ratio": 0.3}
+# Kinds of numbers in reports, and the patterns that find them.
+NUMBER_KINDS = (
+    ("money_wan", r"(\d+\.?\d*)\s*万元"), ("money_yi", r"(\d+\.?\d*)\s*亿元"), ("money_yuan", r"(\d+\.?\d*)\s*元"), ("percentage", r"(\d+\.?\d*)%"),
+    ("pe_ratio", r"市盈率\s*(\d+\.?\d*)"), ("pb_ratio", r"市净率\s*(\d+\.?\d*)"), ("multiple", r"(\d+\.?\d*)\s*倍"), ("target_price", r"目标价\s*(\d+\.?\d*)"),
+    ("year", r"(\d{4})年"), ("shares_wan", r"(\d+\.?\d*)\s*万股"),
+)

@@ -45,7 +45,7 @@ def adapt_thresholds(thresholds: DataFrame, feedback: DataFrame, as_of: Column,
 def triggers(current: DataFrame, baselines: DataFrame, feedback: DataFrame, as_of: Column, last_update: Column) -> DataFrame:
     """One row of three flags: two metrics or more below nine tenths of their baseline; twenty feedbacks within a day,
     over 30 % of them negative; a week since the last update."""
-    low = current.join(F.broadcast(baselines), "metric").agg((F.count_if(F.col("value") < 0.9 * F.col("baseline")) >= 2).alias("degraded"))
+    low = current.join(baselines, "metric").agg((F.count_if(F.col("value") < 0.9 * F.col("baseline")) >= 2).alias("degraded"))
     day = feedback.where(F.unix_timestamp("ts") >= F.unix_timestamp(as_of) - 86400)
     row = day.agg(((F.count(F.lit(1)) >= 20) & (F.avg((~F.col("is_correct")).cast("double")) > 0.3)).alias("negative_feedback"))
     due = (F.unix_timestamp(as_of) - F.unix_timestamp(last_update) >= 7 * 86400).alias("due")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditloom.functions.scalars import trend_class
+from auditloom.operators.quantiles import by_key
 from auditloom.sources.shared import stash
 
 
@@ -18,7 +19,7 @@ def violation(value: Column, warning: Column, critical: Column, upper: bool | Co
 def alerts(metrics: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Rows of ``metrics`` beyond their metric's threshold (metric, warning, critical), with ``severity``.
     Works on a stream too; the table of thresholds has a row a metric name."""
-    joined = metrics.join(F.broadcast(thresholds), "metric", "left")
+    joined = metrics.join(thresholds, "metric", "left")
     return joined.withColumn("severity", violation(F.col("value"), F.col("warning"), F.col("critical"))).where(F.col("severity").isNotNull())
 
 
@@ -30,19 +31,25 @@ def latest(metrics: DataFrame) -> DataFrame:
 
 def health(metrics: DataFrame, thresholds: DataFrame, newest: int = 5) -> DataFrame:
     """One row: the state of the newest metrics (CRITICAL, WARNING, CAUTION, HEALTHY)."""
-    recent = latest(metrics).orderBy(F.desc("ts"), "metric").limit(newest).join(F.broadcast(thresholds), "metric", "left")
+    recent = latest(metrics).orderBy(F.desc("ts"), "metric").limit(newest).join(thresholds, "metric", "left")
     row = recent.withColumn("severity", violation(F.col("value"), F.col("warning"), F.col("critical"))).agg(F.count_if(F.col("severity") == "CRITICAL").alias("critical"), F.count_if(F.col("severity") == "WARNING").alias("warnings"))
     return row.withColumn("health", F.when(F.col("critical") > 0, "CRITICAL").when(F.col("warnings") > 2, "WARNING").when(F.col("warnings") > 0, "CAUTION").otherwise("HEALTHY"))
 
 
+def running(rows: DataFrame, by: str, order: list[str], value: Column, name: str) -> DataFrame:
+    """``rows`` with the sum of ``value`` up to each of them, within ``by`` in the order given. Rows are dealt by ranges of
+    that order, so that a key with most of the rows is spread over tasks; each range then counts on from those before it."""
+    ranged = stash(rows.withColumn("__v", value).repartitionByRange(by, *order).withColumn("__part", F.spark_partition_id()), "ranges")
+    sums = ranged.groupBy(by, "__part").agg(F.sum("__v").alias("__n"))
+    before = sums.select(by, "__part", (F.sum("__n").over(Window.partitionBy(by).orderBy("__part")) - F.col("__n")).alias("__before"))
+    upto = Window.partitionBy(by, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = ranged.withColumn("__i", F.sum("__v").over(upto))
+    return inside.join(before, [by, "__part"]).withColumn(name, F.col("__before") + F.col("__i")).drop("__part", "__before", "__i", "__v")
+
+
 def numbered(rows: DataFrame, by: str, order: list[str], name: str = "i") -> DataFrame:
-    """``rows`` with their number (from 1) within ``by`` in the order given. Rows are dealt by ranges of that order, so
-    that a metric with most of the rows is spread over tasks; each range then counts on from those before it."""
-    ranged = stash(rows.repartitionByRange(by, *order).withColumn("__part", F.spark_partition_id()), "ranges")
-    counts = ranged.groupBy(by, "__part").agg(F.count(F.lit(1)).alias("__n"))
-    before = counts.select(by, "__part", (F.sum("__n").over(Window.partitionBy(by).orderBy("__part")) - F.col("__n")).alias("__before"))
-    inside = ranged.withColumn("__i", F.row_number().over(Window.partitionBy(by, "__part").orderBy(*order)))
-    return inside.join(before, [by, "__part"]).withColumn(name, F.col("__before") + F.col("__i")).drop("__part", "__before", "__i")
+    """``rows`` with their number (from 1) within ``by`` in the order given, by ranges."""
+    return running(rows, by, order, F.lit(1).cast("long"), name)
 
 
 def trends(metrics: DataFrame) -> DataFrame:
@@ -68,10 +75,10 @@ def drift(metrics: DataFrame, share: float = 0.8) -> DataFrame:
 
 
 def detail(metrics: DataFrame) -> DataFrame:
-    """Per metric: count, mean, std, least, greatest and quartiles."""
-    shares = F.array(*map(F.lit, (0.25, 0.5, 0.75)))
-    found = metrics.groupBy("metric").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"), F.percentile("value", shares).alias("p"))
-    return found.select("metric", "n", "mean", "std", "min", "max", *[F.get("p", F.lit(i)).alias(n) for i, n in enumerate(("q25", "median", "q75"))])
+    """Per metric: count, mean, std, least, greatest and exact quartiles."""
+    found = metrics.groupBy("metric").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    quartiles = by_key(metrics, "metric", "value", (0.25, 0.5, 0.75)).select("metric", "p")
+    return found.join(quartiles, "metric", "left").select("metric", "n", "mean", "std", "min", "max", *[F.get("p", F.lit(i)).alias(n) for i, n in enumerate(("q25", "median", "q75"))])
 
 
 def autoresolve(alerts_: DataFrame, metrics: DataFrame, as_of: Column, age: int = 300, last: int = 5) -> DataFrame:
@@ -90,7 +97,7 @@ def autoresolve(alerts_: DataFrame, metrics: DataFrame, as_of: Column, age: int
 def summary(metrics: DataFrame, baselines: DataFrame) -> DataFrame:
     """Per metric: mean, sum, last less first, and the mean's distance from its baseline (metric, baseline)."""
     found = metrics.groupBy("metric").agg(F.avg("value").alias("mean"), F.sum("value").alias("total"), (F.max_by("value", F.struct("ts", "id")) - F.min_by("value", F.struct("ts", "id"))).alias("change"))
-    return found.join(F.broadcast(baselines), "metric", "left").withColumn("vs_baseline", F.col("mean") - F.col("baseline"))
+    return found.join(baselines, "metric", "left").withColumn("vs_baseline", F.col("mean") - F.col("baseline"))
 
 
 def error_rate(metrics: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from auditloom.config import LEXICONS, THRESHOLDS, Lexicons
 from auditloom.functions import text as X
 from auditloom.functions.scalars import weighted
+from auditloom.operators.monitor import running
 
 
 def contradiction_score(text: Column, words: Lexicons = LEXICONS) -> Column:
@@ -75,12 +76,11 @@ def sentiment_gap(a: Column, b: Column) -> Column:
 
 def recent_views(reports: DataFrame, views: DataFrame, days: int = 180, k: int = 5) -> DataFrame:
     """Reports (report_id, key, ts, ...) with each of the last k views (key, view_id, view_ts, ...) before them that are
-    not older than ``days``.  Views are numbered within their key and a report takes the k numbers below its own
-    place, so that no pairs are made but those wanted."""
+    not older than ``days``.  Views are numbered within their key, by ranges of time, so that a key with most of the rows
+    is spread over tasks; a report takes the k numbers below its own place, so that no pairs are made but those wanted."""
     marks = views.select("key", F.col("view_ts").alias("t"), F.lit(1).alias("view"), F.col("view_id").cast("string").alias("id"))
     marks = marks.unionByName(reports.select("key", F.col("ts").alias("t"), F.lit(0).alias("view"), F.col("report_id").cast("string").alias("id")))
-    upto = Window.partitionBy("key").orderBy("t", "view", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = marks.withColumn("n", F.sum("view").over(upto))
+    placed = running(marks, "key", ["t", "view", "id"], F.col("view").cast("long"), "n")
     numbered = views.join(placed.where("view = 1").select("key", F.col("id").alias("view_id"), F.col("n").alias("number")), ["key", "view_id"])
     wanted = placed.where("view = 0 and n > 0").select("key", F.col("id").alias("report_id"), F.explode(F.sequence(F.greatest(F.lit(1), F.col("n") - (k - 1)), F.col("n"))).alias("number"))
     near = reports.join(wanted, ["key", "report_id"]).join(numbered, ["key", "number"])

@@ -168,58 +168,6 @@ def counterfactuals(rows: DataFrame, key: str, names: list[str], target: float,
     return rows.select(key, *names, F.xxhash64(F.lit(seed), F.col(key).cast("string")).alias("__h")).mapInPandas(climb, f"`{key}` {kind}, before double, after double, n_changed long, {ends}")
 
 
-def standardised(rows: DataFrame, key: str, names: list[str]) -> DataFrame:
-    """Columns less their mean, over their population std (0 where that is 0)."""
-    stats = rows.agg(*[f(n).alias(f"{n}_{s}") for n in names for s, f in (("mean", F.avg), ("std", F.stddev_pop))])
-    one = rows.select(key, *names).withColumn("s", stats.select(F.struct(*stats.columns)).scalar())
-    return one.select(key, *[F.when(F.col(f"s.{n}_std") > 0, (F.col(n) - F.col(f"s.{n}_mean")) / F.col(f"s.{n}_std")).otherwise(0.0).alias(n) for n in names])
-
-
-def isolation_forest(rows: DataFrame, key: str, names: list[str], trees: int = 100, sample: int = 256, contamination: float = 0.2, seed: int = 42) -> DataFrame:
-    """(key, score, is_outlier) by isolation trees on standardised columns. Every tree is grown on ``sample`` rows, the
-    size that bounds it; the rows of all trees, drawn by hash, are a bounded fit; every row is scored in place."""
-    scaled = standardised(rows, key, names)
-    drawn = scaled.withColumn("h", F.xxhash64(F.lit(seed), F.col(key))).orderBy("h", key).limit(trees * sample).select(*names)
-    x = drawn.toPandas().to_numpy(float)
-    rng = np.random.default_rng(seed)
-    size = min(sample, len(x))
-    average = lambda n: 2 * (np.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n if n > 2 else float(n == 2)
-
-    def grow(part: np.ndarray, depth: int, limit: int) -> tuple:
-        if depth == limit or len(part) <= 1:
-            return (depth + average(len(part)),)
-        j = int(rng.integers(part.shape[1]))
-        lo, hi = part[:, j].min(), part[:, j].max()
-        if lo == hi:
-            return (depth + average(len(part)),)
-        cut = rng.uniform(lo, hi)
-        left = part[:, j] < cut
-        return j, cut, grow(part[left], depth + 1, limit), grow(part[~left], depth + 1, limit)
-
-    limit = int(np.ceil(np.log2(max(size, 2))))
-    forest = [grow(x[rng.choice(len(x), size, replace=False)], 0, limit) for _ in range(trees)] if len(x) else []
-
-    def depths(tree: tuple, v: np.ndarray, at: np.ndarray, out: np.ndarray) -> None:
-        if len(tree) == 1:
-            out[at] += tree[0]
-        elif len(at):
-            left = v[at, tree[0]] < tree[1]
-            depths(tree[2], v, at[left], out)
-            depths(tree[3], v, at[~left], out)
-
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            v, total = frame[names].to_numpy(float), np.zeros(len(frame))
-            for tree in forest:
-                depths(tree, v, np.arange(len(v)), total)
-            yield pd.DataFrame({key: frame[key], "score": 2 ** (-total / max(len(forest), 1) / max(average(size), 1e-9))})
-
-    kind = rows.schema[key].dataType.simpleString()
-    scored = scaled.mapInPandas(score, f"`{key}` {kind}, score double")
-    border = scored.agg(F.percentile_approx("score", 1 - contamination, 100_000).alias("border"))
-    return scored.withColumn("border", border.scalar()).select(key, "score", (F.col("score") > F.col("border")).alias("is_outlier"))
-
-
 def mixed_similarity(a: dict[str, Column], b: dict[str, Column], kinds: dict[str, str], weights: dict[str, float] | None = None) -> Column:
     """The weighted mean over features: numbers by relative distance, lists by Jaccard, strings by the share of one's
     characters that the other has, over the greater length."""

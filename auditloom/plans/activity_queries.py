@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from auditloom.functions.scalars import level
-from auditloom.operators import behavioral, features, fusion, learning, market, monitor, semantic, similarity
+from auditloom.operators import behavioral, features, forest, fusion, learning, market, monitor, semantic, similarity
 from auditloom.plans.report_queries import _RULES, _TOTAL_SQL, LEVEL, rounded, statistical_scores
 from auditloom.plans.tables import TIES, WORDS, bars, daily_bars, metrics, reports, table
 from auditloom.streaming import monitoring
@@ -309,7 +309,7 @@ def counterfactuals(spark, sf_dir):
 def isolation_forest(spark, sf_dir):
     per = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("l_quantity").alias("quantity"), F.stddev_pop("l_discount").alias("discount"))
     p = table(spark, sf_dir, "part").join(per, "p_partkey").select("p_partkey", F.col("p_size").cast("double").alias("p_size"), "p_retailprice", "n", "quantity", "discount")
-    return rounded(similarity.isolation_forest(p, "p_partkey", ["p_size", "p_retailprice", "n", "quantity", "discount"]))
+    return rounded(forest.outliers(p, "p_partkey", ["p_size", "p_retailprice", "n", "quantity", "discount"]))
 
 
 _FUSE = (

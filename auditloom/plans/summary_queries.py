@@ -63,7 +63,7 @@ def trend_window(spark, sf_dir):
 @query(_M + ", a as (select metric, avg(value) as mean, stddev_pop(value) as std, warning, count(*) filter (where value >= critical) as n_critical from e join th using (metric) group by metric, warning), r as (select metric, concat_ws(',', case when mean > warning then 'retrain' end, case when std > 0.5 * mean then 'stabilise' end, case when n_critical > 0 then 'handle_alerts' end) as advice from a) select metric, case when advice = '' then 'keep_watching' else advice end as advice from r")
 def recommendations(spark, sf_dir):
     """Advice a metric: rules over its summary."""
-    m = metrics(spark, sf_dir).join(F.broadcast(_thresholds(spark)), "metric")
+    m = metrics(spark, sf_dir).join(_thresholds(spark), "metric")
     a = m.groupBy("metric", "warning").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.count_if(F.col("value") >= F.col("critical")).alias("n_critical"))
     rules = {"retrain": F.col("mean") > F.col("warning"), "stabilise": F.col("std") > 0.5 * F.col("mean"), "handle_alerts": F.col("n_critical") > 0}
     return a.select("metric", summaries.recommendations(rules, "keep_watching").alias("advice"))

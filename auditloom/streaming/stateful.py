@@ -172,7 +172,7 @@ def resolutions(metrics: DataFrame, thresholds: DataFrame, last: int = 5, age: i
     """(metric, id, ts, resolved_ts) of a stream of metrics: every value that reaches its warning is an alert; it is
     resolved ``age`` seconds later if the newest ``last`` values are fine by then, else with the first that makes them so.
     The table of thresholds has a row a metric name."""
-    judged = metrics.withWatermark("ts", late).join(F.broadcast(thresholds), "metric")
+    judged = metrics.withWatermark("ts", late).join(thresholds, "metric")
     rows = judged.select("metric", F.unix_micros("ts").alias("at"), F.col("id").cast("long").alias("id"), (F.col("value") >= F.col("warning")).alias("bad"), "ts")
     found = rows.groupBy("metric").transformWithStateInPandas(_Resolution(last, age), "metric string, id long, at long, resolved_at long", "Append", "EventTime")
     return found.select("metric", "id", F.timestamp_micros("at").alias("ts"), F.timestamp_micros("resolved_at").alias("resolved_ts"))

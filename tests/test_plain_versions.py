@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from auditloom.functions import text as X
-from auditloom.operators import explain, features, fusion, intake, learning, monitor, quantiles, semantic, similarity, statistical
+from auditloom.operators import explain, features, forest, fusion, intake, learning, monitor, quantiles, semantic, similarity, statistical
 from auditloom.plans import registry
 from auditloom.plans.tables import NEGATIVE, POSITIVE
 from auditloom.sources import files
@@ -140,7 +140,7 @@ def test_isolation_forest_ranks_like_plain_trees(spark):
     rng = np.random.default_rng(3)
     x = np.concatenate([rng.normal(size=(300, 3)), rng.normal(size=(12, 3)) * 0.3 + 6])
     frame = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "id long, a double, b double, c double")
-    got = {r["id"]: r["score"] for r in similarity.isolation_forest(frame, "id", ["a", "b", "c"], trees=60, sample=128, contamination=0.04).collect()}
+    got = {r["id"]: r["score"] for r in forest.outliers(frame, "id", ["a", "b", "c"], trees=60, sample=128, contamination=0.04).collect()}
     z = (x - x.mean(0)) / x.std(0)
 
     def depth(v, part, level):

@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from auditloom.operators import features, learning, similarity
+from auditloom.operators import features, forest, learning
 from auditloom.sources import files
 from auditloom.streaming import monitoring
 
@@ -51,5 +51,5 @@ def test_upsert_and_weights(spark):
 
 def test_isolation_forest_finds_the_far_one(spark):
     rows = [(i, float(i % 7), float(i % 5)) for i in range(200)] + [(999, 100.0, -100.0)]
-    got = similarity.isolation_forest(spark.createDataFrame(rows, "id long, a double, b double"), "id", ["a", "b"], trees=30, sample=64, contamination=0.02)
+    got = forest.outliers(spark.createDataFrame(rows, "id long, a double, b double"), "id", ["a", "b"], trees=30, sample=64, contamination=0.02)
     assert got.orderBy(F.desc("score")).first()["id"] == 999
