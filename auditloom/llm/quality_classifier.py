@@ -3,14 +3,15 @@
 The target model counts hashed words, marks and pairs of neighbours in documents labelled good, the raw
 model in all documents; a word or mark that repeats its neighbour also counts as one gram of its own kind.
 A document's log importance is its log ratio a gram, with ``prior`` grams of ratio one added to each
-document, times the mean number of grams of all documents: the ratio that a document of mean length would
-have.  One formula serves all lengths, so that length alone does not decide.  Adding Gumbel noise drawn from
-a hash of the id, and keeping the ``k`` greatest sums, draws ``k`` documents without replacement in
+document, times ``effective``, the number of grams that a document counts as.  The grams of a text are far
+from independent; taking all of them for so would put importances hundreds of orders apart and leave the draw
+nothing to decide.  One formula serves all lengths, so that length alone does not decide.  Adding Gumbel noise
+drawn from a hash of the id, and keeping the ``k`` greatest sums, draws ``k`` documents without replacement in
 proportion to importance.
 
 ``k`` is a parameter; by default it is the number of documents times the share of good ones among those
 with a label.  The labels used are a bounded sample (``DsirConfig.sample`` rows of smallest id hash); raw
-counts, mean length and the threshold of the draw come from all documents.
+counts and the threshold of the draw come from all documents.
 
 Defined cases: null and empty texts have no gram, so log importance 0; very long texts are read whole, a
 block of their own; repeated rows share their noise and are drawn together, as are all documents that tie
@@ -43,22 +44,24 @@ KEY_STEP = 1e-6
 class DsirConfig:
     """``buckets``: size of the hash space; ``sample`` bounds the labelled rows; ``smooth`` is added to each
     count of raw text, and in proportion to raw text to the target's; ``prior``: grams of ratio one that each
-    document starts with; ``seed`` is that of the Gumbel noise."""
+    document starts with; ``effective``: the number of independent grams that a document counts as, the inverse of the
+    draw's temperature; ``seed`` is that of the Gumbel noise."""
 
     buckets: int = 1 << 15
     sample: int = 24_000
     smooth: float = 1.0
     prior: float = 16.0
+    effective: float = 16.0
     seed: int = 17
 
 
 @dataclass(frozen=True)
 class DsirModel:
-    """The log ratio a bucket, the mean number of grams of a document, the number of documents, and the share of
+    """The log ratio a bucket, the number of grams that a document counts as, the number of documents, and the share of
     good ones among those labelled."""
 
     ratio: np.ndarray
-    mean_grams: float
+    effective: float
     documents: int
     share: float
     prior: float = DsirConfig.prior
@@ -87,24 +90,23 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     buckets = config.buckets
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Beside the buckets: grams of all documents, documents, labelled ones, good ones.
-        raw, target, totals = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64), np.zeros(4, np.int64)
+        # Beside the buckets: documents, labelled ones, good ones.
+        raw, target, totals = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64), np.zeros(3, np.int64)
         for batch in batches:
             good = batch.column(1).fill_null(False).to_numpy(zero_copy_only=False)
-            totals[1:] += batch.num_rows, batch.num_rows - batch.column(1).null_count, good.sum()
+            totals += batch.num_rows, batch.num_rows - batch.column(1).null_count, good.sum()
             for block in blocks(batch.column(0)):
                 at, owner = grams(block, buckets)
-                totals[0] += len(at)
                 raw += np.bincount(at, minlength=buckets)
                 target += np.bincount(at[good[block.lo : block.hi][owner]], minlength=buckets)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-4, buckets)), pa.array(np.concatenate([totals, raw])), pa.array(np.concatenate([totals * 0, target]))], names=["bucket", "raw", "target"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-3, buckets)), pa.array(np.concatenate([totals, raw])), pa.array(np.concatenate([totals * 0, target]))], names=["bucket", "raw", "target"])
 
     counted = rows.mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-    raw, target = np.zeros(buckets + 4), np.zeros(buckets + 4)
+    raw, target = np.zeros(buckets + 3), np.zeros(buckets + 3)
     for r in counted.collect():  # one row a bucket
-        raw[r["bucket"] + 4], target[r["bucket"] + 4] = r["raw"], r["target"]
-    n_grams, documents, labelled, good = raw[:4]
-    return DsirModel(log_ratio(raw[4:], target[4:], config.smooth), n_grams / documents if documents else 0.0, int(documents), good / labelled if labelled else 0.0, config.prior)
+        raw[r["bucket"] + 3], target[r["bucket"] + 3] = r["raw"], r["target"]
+    documents, labelled, good = raw[:3]
+    return DsirModel(log_ratio(raw[3:], target[3:], config.smooth), config.effective, int(documents), good / labelled if labelled else 0.0, config.prior)
 
 
 def log_ratio(raw: np.ndarray, target: np.ndarray, smooth: float) -> np.ndarray:
@@ -118,13 +120,13 @@ def log_ratio(raw: np.ndarray, target: np.ndarray, smooth: float) -> np.ndarray:
 
 def score(docs: DataFrame, model: DsirModel, text: str = "text", keep: Sequence[str] = ("doc_id",), name: str = "log_weight") -> DataFrame:
     """``keep`` columns and the log importance of every whole text."""
-    ratio, buckets, mean_grams, prior = model.ratio, len(model.ratio), model.mean_grams, model.prior
+    ratio, buckets, effective, prior = model.ratio, len(model.ratio), model.effective, model.prior
 
     def run(block: Block) -> list[pa.Array]:
         at, owner = grams(block, buckets)
         n = block.hi - block.lo
         total, count = np.bincount(owner, ratio[at], minlength=n).astype(np.float64), np.bincount(owner, minlength=n)
-        return [pa.array(mean_grams * total / (count + prior))]
+        return [pa.array(effective * total / (count + prior))]
 
     return add_columns(docs, text, run, f"`{name}` double", keep)
 

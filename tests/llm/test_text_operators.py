@@ -239,11 +239,11 @@ def test_importance_matches_plain_counts(spark):
         raw.update(plain_grams(t))
         target.update(plain_grams(t) if i in good else [])
     assert (model.documents, model.share) == (45, (len(good) + 1) / 21)  # row 1 stands twice, and is good
-    assert model.mean_grams == pytest.approx(sum(raw.values()) / 45)
+    assert model.effective == config.effective
     b, s = config.buckets, config.smooth
     n_raw, n_target = sum(raw.values()) + s * b, sum(target.values()) + s * b
     ratio = {g: np.log((target[g] + s * b * (n + s) / n_raw) / n_target) - np.log((n + s) / n_raw) for g, n in raw.items()}
-    want = {i: model.mean_grams * sum(ratio[g] for g in plain_grams(t)) / (len(plain_grams(t)) + config.prior) for i, t, _ in rows}
+    want = {i: model.effective * sum(ratio[g] for g in plain_grams(t)) / (len(plain_grams(t)) + config.prior) for i, t, _ in rows}
     scored = quality_classifier.score(docs, model)
     got = {r["doc_id"]: r["log_weight"] for r in scored.collect()}
     assert got == pytest.approx(want, abs=1e-6) and got[40] == got[41] == 0
@@ -258,6 +258,26 @@ def test_importance_matches_plain_counts(spark):
             assert x == pytest.approx(-np.log(-np.log((h + 0.5) / 2**53)), abs=1e-5)
 
 
+def test_the_draw_follows_importance(spark):
+    """Of many groups of five each draws one row in proportion to importance; other seeds draw others."""
+    weight, trials = {1: 0.0, 2: 1.0, 3: 2.0, 4: -1.0, 5: 0.5}, 2000
+    rows = spark.createDataFrame([(f"{t}-{i}", t, i, float(w)) for t in range(trials) for i, w in weight.items()], "doc_id string, t int, i int, log_weight double")
+    best = rows.withColumn("key", quality_classifier.gumbel_key()).groupBy("t").agg(F.max_by("i", "key").alias("i"))
+    first = Counter(r["i"] for r in best.collect())
+    whole = sum(math.exp(w) for w in weight.values())
+    for i, w in weight.items():
+        p = math.exp(w) / whole
+        assert abs(first[i] / trials - p) < 4 * math.sqrt(p * (1 - p) / trials)
+    scored = rows.where("t < 4")
+    drawn = [frozenset(r["doc_id"] for r in quality_classifier.draw(scored, 8, seed=s)[1].where("kept").collect()) for s in range(3)]
+    assert all(len(d) == 8 for d in drawn) and len(set(drawn)) == 3
+
+
+def test_ties_at_the_threshold_over_different_ids(spark):
+    keys = spark.createDataFrame([(i, i // 3) for i in range(12)], "doc_id long, k long")
+    assert quality_classifier.kth_largest(keys, "k", 4) == 2 and keys.where("k >= 2").count() == 6
+
+
 def test_importance_prefers_the_target(spark):
     rng = random.Random(3)
     good, bad = [f"g{i}" for i in range(200)], [f"b{i}***" for i in range(200)]
