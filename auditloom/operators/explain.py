@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 Model = Callable[[dict[str, Column]], Column]
@@ -136,3 +136,32 @@ def highlights(weights: Column, above: float = 0.7) -> tuple[Column, Column]:
     spread = F.array_max(weights) - F.array_min(weights)
     scaled = F.transform(weights, lambda w: F.when(spread == 0, F.lit(0.0)).otherwise((w - F.array_min(weights)) / spread))
     return scaled, F.filter(F.transform(scaled, lambda w, i: F.when(w > above, i)), lambda i: i.isNotNull())
+
+
+def comparison(sets: DataFrame, key: str, names: Sequence[str], model: Model) -> DataFrame:
+    """(key, number, changed, distance, plausibility, score_change): a row an example of a set, with the names of the
+    features that it alters and what that does to the score."""
+    e = sets.select(key, "original", F.explode("examples").alias("e"))
+    original, made = F.col("original"), F.col("e")
+    changed = F.array_compact(F.array(*[F.when(made[n] != original[n], F.lit(n)) for n in names]))
+    change = model({n: made[n] for n in names}) - model({n: original[n] for n in names})
+    return e.select(key, F.col("e.number").alias("number"), F.concat_ws(",", changed).alias("changed"), distance(made, original, names).alias("distance"), F.greatest(F.lit(0.1), 1 - F.size(changed) / len(names)).alias("plausibility"), change.alias("score_change"))
+
+
+def comparison_summary(compared: DataFrame, key: str) -> DataFrame:
+    """(key, n, mean_change, mean_plausibility, most_changed): the whole set in a line; the three features that most
+    examples alter, of equals the first in the alphabet."""
+    row = compared.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.avg("score_change").alias("mean_change"), F.avg("plausibility").alias("mean_plausibility"))
+    counted = compared.select(key, F.explode(F.split("changed", ",")).alias("feature")).where("feature <> ''").groupBy(key, "feature").agg(F.count(F.lit(1)).alias("c"))
+    most = counted.groupBy(key).agg(F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("c"), "feature"))).alias("l"))
+    told = F.concat_ws(",", F.transform(F.slice("l", 1, 3), lambda x: x["feature"]))
+    return row.join(most.select(key, told.alias("most_changed")), key, "left").select(key, "n", "mean_change", "mean_plausibility", F.coalesce("most_changed", F.lit("")).alias("most_changed"))
+
+
+def similarity_report(found: DataFrame) -> DataFrame:
+    """(target, place, section, sample, text): the lines of a report on ``similarity.nearest`` rows: the samples of the
+    target's class and of others, each with its rank and similarity."""
+    section = F.when(F.col("same_class"), "similar").otherwise("contrasting")
+    place = F.row_number().over(Window.partitionBy("target").orderBy(F.desc("same_class"), "rank"))  # a few rows a target
+    text = F.format_string("%d. %s %.3f", F.col("rank"), F.col("id").cast("string"), F.col("similarity"))
+    return found.select("target", place.alias("place"), section.alias("section"), F.col("id").alias("sample"), text.alias("text"))

@@ -77,15 +77,50 @@ def metadata_features(author: Column, stocks: Column, institution: Column, ratin
     }
 
 
-def engineered(stock_count: Column, rating_score: Column) -> dict[str, Column]:
-    """Features made of those of ``text_features``, whose columns must be at hand, and of metadata."""
+def engineered(stock_count: Column, rating_score: Column, target: Column | None = None, current: Column | None = None, flags: Sequence[Column] = ()) -> dict[str, Column]:
+    """Features made of those of ``text_features``, whose columns must be at hand, and of metadata; of a target and a
+    current price, and of flags of timeliness (recent, trading day, market hours), where these are given."""
     c = F.col
-    return {
+    more = {}
+    if target is not None and current is not None:
+        change = F.when(current > 0, F.abs(target - current))
+        more |= {"price_change": change, "relative_price_change": change / F.when(current > 0, current)}
+    if flags:
+        more["timeliness"] = reduce(lambda a, b: a + b, [f.cast("double") for f in flags]) / len(flags)
+    return more | {
         "content_per_stock": c("char_count") / F.greatest(stock_count, F.lit(1)), "alignment": F.abs(c("positive_ratio") - rating_score), "intensity": c("positive_ratio") + c("negative_ratio"),
         "complexity": (c("unique_ratio") + F.least(c("words_per_sentence") / 50, F.lit(1.0)) + 1 - c("readability")) / 3,
     }
 
 
+def feature_statistics(table: DataFrame, key: str) -> DataFrame:
+    """(feature, n, mean, std, least, greatest) of every numeric column of a feature table but its key."""
+    names = [f.name for f in table.schema if f.name != key and f.dataType.typeName() in ("double", "float", "integer", "long", "short", "boolean")]
+    row = long_form(table, key, names).groupBy("feature")
+    return row.agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("least"), F.max("value").alias("greatest"))
+
+
+def long_form(table: DataFrame, key: str, names: Sequence[str]) -> DataFrame:
+    """(key, feature, value): a row a feature."""
+    return table.select(key, *[F.col(n).cast("double").alias(n) for n in names]).unpivot([key], list(names), "feature", "value")
+
+
+#: Where a parsed report keeps its texts, its categories and what is said of the file.
+RECORD_TEXTS = {"title": "$.basic_info.title", "stock_name": "$.basic_info.stock_name", "report_type": "$.basic_info.report_type", "investment_summary": "$.core_content.investment_summary", "risk_warning": "$.core_content.risk_warning"}
+RECORD_LISTS = {"main_logic": "$.core_content.main_logic", "key_insights": "$.deep_analysis.analysis_summary.key_insights", "analysis_strengths": "$.deep_analysis.analysis_summary.analysis_strengths", "potential_weaknesses": "$.deep_analysis.analysis_summary.potential_weaknesses"}
+RECORD_CATEGORIES = {"institution": "$.basic_info.institution", "report_type": "$.basic_info.report_type", "rating": "$.investment_advice.rating", "rating_change": "$.investment_advice.rating_change", "extraction_method": "$.meta_info.extraction_method", "success": "$.meta_info.success"}
+RECORD_META = {"publish_date": "$.basic_info.publish_date", "source_file": "$.source_file", "load_timestamp": "$.load_timestamp", "file_path": "$.meta_info.file_path", "processor_version": "$.meta_info.processor_version"}
+
+
+def record_features(parsed: DataFrame, key: str, data: str = "data") -> DataFrame:
+    """(key, texts, categories, meta) of parsed reports (variant): three structures of strings; lists are joined by
+    spaces, and what a report lacks is an empty string."""
+    text = lambda path: F.coalesce(F.try_variant_get(data, path, "string"), F.lit(""))
+    listed = lambda path: F.coalesce(F.array_join(F.try_variant_get(data, path, "array<string>"), " "), text(path))
+    texts = [text(p).alias(n) for n, p in RECORD_TEXTS.items()] + [listed(p).alias(n) for n, p in RECORD_LISTS.items()]
+    return parsed.select(key, F.struct(*texts).alias("texts"), F.struct(*[text(p).alias(n) for n, p in RECORD_CATEGORIES.items()]).alias("categories"), F.struct(*[text(p).alias(n) for n, p in RECORD_META.items()]).alias("meta"))
+
+
 def dynamic_numbers(rows: DataFrame, key: str, data: str = "data") -> DataFrame:
     """(key, name, value) of the top-level entries of an open record (variant): a number, or the first of a list."""
     entries = rows.lateralJoin(rows.sparkSession.tvf.variant_explode(F.col(data).outer()))
@@ -110,5 +145,5 @@ def training_vectors(parsed: DataFrame) -> DataFrame:
 
 def split(rows: DataFrame, key: str, shares: tuple[float, float] = (0.7, 0.2), seed: int = 42) -> DataFrame:
     """``rows`` with ``part`` (train, validation, test), drawn by a hash of the key: the same on every run and at every size."""
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1_000_000)) / 1_000_000
+    u = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0
     return rows.withColumn("part", F.when(u < shares[0], "train").when(u < sum(shares), "validation").otherwise("test"))

@@ -65,10 +65,6 @@ def adjust_feature_weights(weights: DataFrame, wrong: DataFrame, keep: float = 0
     return scaled.withColumn("whole", whole.scalar()).select("feature", "weight", (total * F.col("scaled") / F.col("whole")).alias("adapted"))
 
 
-def improvement(before: Column, after: Column) -> Column:
-    return F.when(before != 0, (after - before) / F.abs(before)).otherwise(after - before)
-
-
 def training_export(feedback: DataFrame, least_rating: int = 5) -> DataFrame:
     """Feedback without a rating or with a good one; the label is the corrected one, else whether it was correct."""
     kept = feedback.where(F.col("rating").isNull() | (F.col("rating") >= least_rating))

@@ -13,14 +13,13 @@ from pyspark.sql import functions as F
 
 from auditloom.config import LEXICONS
 from auditloom.functions.scalars import days_between, parse_date, parse_number
-from auditloom.operators.statistical import describe
 
 #: Ranges of numeric fields, patterns of codes and contacts, weights and level borders.
 RANGES = {"growth_rate": (-100.0, 1000.0), "pe_ratio": (0.0, 200.0), "market_cap": (0.0, 100000.0)}
 STOCK = r"^\d{6}(\.(SZ|SH|BJ))?$"
 EMAIL = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
 EXCHANGE = r"\.(SZ|SH|BJ)$"
-FLAGS = {"repeated_block": r"(?s)(.{20,200}?)\1{2,}", "repeated_marks": "[。！？.!?]{3,}", "mixed_scripts": r"[A-Za-z]{10,}[\x{4e00}-\x{9fff}]{10,}"}
+FLAGS = {"repeated_block": r"(?s)(.{20,}?)\1{2,}", "repeated_marks": "[。！？.!?]{3,}", "mixed_scripts": r"[A-Za-z]{10,}[\x{4e00}-\x{9fff}]{10,}"}
 PHONE = r"^(\+86)?1[3-9]\d{9}$|^\d{3,4}-?\d{7,8}$"
 WEIGHTS = {"completeness": 0.3, "consistency": 0.25, "accuracy": 0.25, "timeliness": 0.1, "uniqueness": 0.1}
 LEVELS = ((0.9, "EXCELLENT"), (0.8, "GOOD"), (0.6, "FAIR"), (0.4, "POOR"))
@@ -118,11 +117,3 @@ def standardise(records: DataFrame, default_title: str = "untitled") -> tuple[Da
 def feedback_valid(feedback: DataFrame) -> Column:
     """Ids present, rating 1 to 10, and no correct prediction of an incorrect type."""
     return ~blank(F.col("report_id")) & (F.col("rating").isNull() | F.col("rating").between(1, 10)) & ~((F.col("feedback_type") == "INCORRECT") & F.col("is_correct"))
-
-
-def request_valid(content: Column) -> Column:
-    return F.length(content).between(10, 50000)
-
-
-def profile(df: DataFrame, column: str) -> DataFrame:
-    return describe(df, column)

@@ -64,6 +64,32 @@ def answer_kinds(response: Column, task: str = "contradiction") -> Column:
     return F.array_compact(F.array(*[F.when(F.contains(response, F.lit(k)), F.lit(k)) for k in ANSWER_KINDS[task]]))
 
 
+#: Words of an answer, a task, in the order in which they are looked for, with what they mean (a score or
+#: a name) and how sure that is; the last line of a task, without a word, is for an answer that names none.
+ANSWERS = {
+    "source": ((("异常",), 0.9), (("低",), 0.6), (("中",), 0.3), ((), 0.1)),
+    "consistency": ((("很差",), 0.9), (("较差",), 0.7), (("一般",), 0.5), (("良好",), 0.2), ((), 0.1)),
+    "sentiment_analysis": ((("积极", "positive"), ("positive", 0.8)), (("消极", "negative"), ("negative", 0.8)), ((), ("neutral", 0.6))),
+    "style_recognition": ((("激进", "aggressive"), ("aggressive", 0.8)), (("保守", "conservative"), ("conservative", 0.8)), ((), ("neutral", 0.6))),
+    "anomaly_pre_detection": ((("异常", "anomaly"), ("anomaly", 0.8)), (("可疑", "suspicious"), ("suspicious", 0.7)), ((), ("normal", 0.6))),
+}
+
+
+def answer(response: Column, task: str, table: dict = ANSWERS) -> Column:
+    """What an answer to a task says: a score, or a structure of ``label`` and ``confidence``; null without an answer. Of a
+    task that is not known the answer itself is the label."""
+    said = F.lower(F.btrim(response, F.lit(" \t\n\r\x0b\x0c")))
+    if task not in table:
+        return F.when(response.isNotNull(), F.struct(said.alias("label"), F.lit(0.5).alias("confidence")))
+    value = lambda m: F.struct(F.lit(m[0]).alias("label"), F.lit(m[1]).alias("confidence")) if isinstance(m, tuple) else F.lit(m)
+    *lines, (_, other) = table[task]
+    found = None
+    for words, meaning in lines:
+        named = X.any_of(said, words)
+        found = F.when(named, value(meaning)) if found is None else found.when(named, value(meaning))
+    return F.when(response.isNotNull(), found.otherwise(value(other)))
+
+
 @F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """The Ratcliff/Obershelp ratio of two texts."""

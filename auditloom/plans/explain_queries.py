@@ -140,9 +140,9 @@ def weighted_losses(spark, sf_dir):
     return rounded(evaluation.weighted_losses(v, "vec_id", lambda y: F.when(y == 0, 1.0).otherwise(2.0), (0.7, 0.3)))
 
 
-@query("with l as (select o_custkey, o_orderkey, o_totalprice / 1e5 as loss, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as back from orders) select o_custkey, count(*) as n, round(avg(loss) filter (where back <= 5) + 1e-9, 6) as mean from l group by 1")
+@query("with l as (select o_custkey, o_orderkey, o_totalprice / 1e5 as loss, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as back from orders) select o_custkey, count(*) as n, round(avg(loss) filter (where back <= 5), 9) as mean from l group by 1")
 def loss_history(spark, sf_dir):
     """A history of losses a customer: how many there are, and the mean of the last five."""
     o = table(spark, sf_dir, "orders").select("o_custkey", (F.col("o_totalprice") / 1e5).alias("loss"), "o_orderdate", "o_orderkey")
     found = evaluation.last_mean(o, "o_custkey", "loss", ["o_orderdate", "o_orderkey"], 5)
-    return rounded(found.withColumn("mean", F.col("mean") + 1e-9))  # off the halves of the last place, on both sides
+    return found.withColumn("mean", F.round("mean", 9))  # means of numbers of seven places have no halves there

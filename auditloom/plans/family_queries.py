@@ -68,11 +68,11 @@ def family_scores(spark, sf_dir):
     return rounded(families(spark, sf_dir))
 
 
-@query(_FAMILIES + f" select report_id, round(score + 1e-9, 6) as score, round(spread, 6) as spread, round(((statistical > 0.5)::int + (behavioral > 0.5)::int + (semantic > 0.5)::int + coalesce((market > 0.5)::int, 0)) / n, 6) as vote, {LEVEL.format('round(score, 9)')} as level, concat_ws(',', case when statistical > 0.4 then 'statistical' end, case when behavioral > 0.4 then 'behavioral' end, case when market > 0.4 then 'market' end, case when semantic > 0.4 then 'semantic' end) as key_families from h")
+@query(_FAMILIES + f" select report_id, round(score, 10) as score, round(spread, 6) as spread, round(((statistical > 0.5)::int + (behavioral > 0.5)::int + (semantic > 0.5)::int + coalesce((market > 0.5)::int, 0)) / n, 6) as vote, {LEVEL.format('round(score, 9)')} as level, concat_ws(',', case when statistical > 0.4 then 'statistical' end, case when behavioral > 0.4 then 'behavioral' end, case when market > 0.4 then 'market' end, case when semantic > 0.4 then 'semantic' end) as key_families from h")
 def fusion_families(spark, sf_dir):
-    """All four families fused. Means of rounded scores fall on halves of the last place: both sides lift them off."""
+    """All four families fused; means of means of numbers of six places, so told to ten."""
     found = fusion.fuse(families(spark, sf_dir)).withColumn("level", level(F.round("score", 9)))
-    return rounded(found.select("report_id", (F.col("score") + 1e-9).alias("score"), "spread", "vote", "level", "key_families"))
+    return found.select("report_id", F.round("score", 10).alias("score"), F.round("spread", 6).alias("spread"), F.round("vote", 6).alias("vote"), "level", "key_families")
 
 
 @query("with l as (select l_suppkey as author, l_partkey as stock, p_brand as industry, l_shipdate::date as day from lineitem join part on p_partkey = l_partkey) select author, count(*) as n, count(distinct day) as days, count(distinct stock) as n_stocks, count(distinct industry) as n_industries, round(count(distinct stock) / count(*), 6) as diversity from l group by 1")

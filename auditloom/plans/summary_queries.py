@@ -133,9 +133,15 @@ def prediction_metric_rows(spark, sf_dir):
     return rounded(summaries.prediction_rows(p).groupBy("metric").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean")))
 
 
-@query("select trigger, place::int as place, strategy from (values ('PERFORMANCE_DEGRADATION', 0, 'THRESHOLDS'), ('PERFORMANCE_DEGRADATION', 1, 'ENSEMBLE'), ('SCHEDULED_UPDATE', 0, 'PARAMETERS'), ('SCHEDULED_UPDATE', 1, 'ENSEMBLE'), ('BY_HAND', 0, 'THRESHOLDS')) v(trigger, place, strategy)")
+_TRIGGERS = {"1-URGENT": "PERFORMANCE_DEGRADATION", "2-HIGH": "DATA_DRIFT_DETECTED", "3-MEDIUM": "SCHEDULED_UPDATE", "4-NOT SPECIFIED": "FEEDBACK_ACCUMULATION"}
+
+
+@query("with t as (select case o_orderpriority " + " ".join(f"when '{p}' then '{t}'" for p, t in _TRIGGERS.items()) + " else 'BY_HAND' end as trigger from orders), s(trigger, place, strategy) as (values ('PERFORMANCE_DEGRADATION', 0, 'THRESHOLDS'), ('PERFORMANCE_DEGRADATION', 1, 'ENSEMBLE'), ('SCHEDULED_UPDATE', 0, 'PARAMETERS'), ('SCHEDULED_UPDATE', 1, 'ENSEMBLE'), ('DATA_DRIFT_DETECTED', 0, 'FEATURES'), ('DATA_DRIFT_DETECTED', 1, 'PARAMETERS'), ('FEEDBACK_ACCUMULATION', 0, 'THRESHOLDS'), ('FEEDBACK_ACCUMULATION', 1, 'FEATURES'), ('BY_HAND', 0, 'THRESHOLDS')) select trigger, place::int as place, strategy, count(*) as n from t join s using (trigger) group by 1, 2, 3")
 def adaptation_strategies(spark, sf_dir):
-    return summaries.strategies(spark.createDataFrame([("PERFORMANCE_DEGRADATION",), ("SCHEDULED_UPDATE",), ("BY_HAND",)], "trigger string"))
+    """Orders as triggers, by their priority: the strategies that each calls for."""
+    named = F.coalesce(*[F.when(F.col("o_orderpriority") == p, F.lit(t)) for p, t in _TRIGGERS.items()], F.lit("BY_HAND"))
+    found = summaries.strategies(table(spark, sf_dir, "orders").select(named.alias("trigger")))
+    return found.groupBy("trigger", "place", "strategy").agg(F.count(F.lit(1)).alias("n"))
 
 
 _OUT = "with p as (select s_suppkey, (s_suppkey % 10 + 1) / 12 as a0, (s_suppkey % 9 + 1) / 12 as f0, (s_suppkey % 8 + 1) / 12 as r0, (s_nationkey % 10 + 1) / 12 as a1, (s_nationkey % 9 + 1) / 12 as f1, (s_nationkey % 8 + 1) / 12 as r1 from supplier), i as (select *, (1.0 * (a1 - a0) / greatest(a0, 0.001) + 0.8 * (f1 - f0) / greatest(f0, 0.001) + 0.6 * (r0 - r1) / greatest(r0, 0.001)) / 3 as improvement from p), c as (select s_suppkey, improvement, least(1.0, greatest(0.0, least(1.0, improvement + 0.5)) * case when a1 > a0 and f1 > f0 and r1 < r0 then 1.2 else 1.0 end) as sure from i)"
@@ -151,10 +157,19 @@ def adaptation_outcome(spark, sf_dir):
     return rounded(found.withColumn("applied", F.round("confidence", 9) >= 0.6))
 
 
-@query("with p(name, value) as (values ('confidence_threshold', 0.5), ('attention_temperature', 1.0), ('weight_statistical', 0.25), ('weight_behavioral', 0.25), ('weight_market', 0.25), ('weight_semantic', 0.25)), m as (select name, value, case name when 'confidence_threshold' then greatest(0.1, value - 0.1) when 'attention_temperature' then least(2.0, value + 0.2) when 'weight_semantic' then least(0.4, value + 0.05) else value end as made from p) select name, value::double as value, round(case when name like 'weight_%' then made / (select sum(made) from m where name like 'weight_%') else made end, 6)::double as tuned from m")
+_KINDS = {"click": "statistical", "view": "behavioral", "purchase": "market", "error": "semantic"}
+_SET = "with w as (select event_type, count(*) as n from events where event_type in (" + ", ".join(f"'{k}'" for k in _KINDS) + ") group by 1), p as (select 'confidence_threshold' as name, (select avg(l_discount) * 10 from lineitem) as value union all select 'attention_temperature', (select 1 + avg(l_tax) from lineitem) union all select 'weight_' || case event_type " + " ".join(f"when '{k}' then '{f}'" for k, f in _KINDS.items()) + " end, n / (select sum(n) from w) from w)"
+
+
+@query(_SET + ", m as (select name, value, case name when 'confidence_threshold' then greatest(0.1, value - 0.1) when 'attention_temperature' then least(2.0, value + 0.2) when 'weight_semantic' then least(0.4, value + 0.05) else value end as made from p) select name, round(value, 6) as value, round(case when starts_with(name, 'weight_') then made / (select sum(made) from m where starts_with(name, 'weight_')) else made end, 6) as tuned from m")
 def parameter_tuning(spark, sf_dir):
-    rows = [("confidence_threshold", 0.5), ("attention_temperature", 1.0), *[(f"weight_{f}", 0.25) for f in ("statistical", "behavioral", "market", "semantic")]]
-    return rounded(summaries.tuned(spark.createDataFrame(rows, "name string, value double"), "PERFORMANCE_DEGRADATION"))
+    """Parameters taken from the tables (mean discount and tax, shares of events), tuned for falling performance."""
+    means = table(spark, sf_dir, "lineitem").agg((F.avg("l_discount") * 10).alias("confidence_threshold"), (1 + F.avg("l_tax")).alias("attention_temperature"))
+    counted = table(spark, sf_dir, "events").where(F.col("event_type").isin(*_KINDS)).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    named = F.coalesce(*[F.when(F.col("event_type") == k, F.lit(f"weight_{f}")) for k, f in _KINDS.items()])
+    whole = counted.agg(F.sum("n").alias("n"))
+    weights = counted.withColumn("whole", whole.scalar()).select(named.alias("name"), (F.col("n") / F.col("whole")).alias("value"))
+    return rounded(summaries.tuned(means.unpivot([], list(means.columns), "name", "value").unionByName(weights), "PERFORMANCE_DEGRADATION"))
 
 
 @query(DOCS + r", v as (select distinct unnest(words) as word from d), i as (select item_id, list_distinct([w for w in regexp_extract_all(text, '[\p{L}\p{N}_]+') if length(w) > 1 and not regexp_full_match(w, '\p{Nd}+')]) as ws from benchmark), u as (select item_id, unnest(ws) as word from i) select item_id as report_id, count(*) as n_unique, count(*) filter (where v.word is null) as n_new from u left join v using (word) group by 1")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditloom.config import LEXICONS
+from auditloom.sources.shared import hadoop
 
 #: The tables hold no Chinese, so queries pass words that occur.
 POSITIVE, NEGATIVE = ("the", "and", "der", "que"), ("of", "die", "les", "de")
@@ -22,15 +23,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt to all cores where a table has no more splits than these: a small file is often one row group, which is
-    one task however the file is split. Larger tables are read as they lie."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() <= cores else df
+#: Bytes of a table that is still dealt out; so much is shuffled at most, on any cluster.
+SMALL = 64 << 20
+
+
+def spread(spark: SparkSession, path: str) -> DataFrame:
+    """A table whose rows are dealt to all cores if it is small: a small file is often one row group, which is one task
+    however the file is split. Larger tables are read as they lie."""
+    df = spark.read.parquet(path)
+    target, files = hadoop(spark, path)
+    return df.repartition(spark.sparkContext.defaultParallelism) if files.getContentSummary(target).getLength() <= SMALL else df
 
 
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("report_id"), F.coalesce("text", F.lit("")).alias("content"), F.col("source").alias("author"), "lang", (F.timestamp_seconds(F.lit(1704067200) + F.pmod("doc_id", F.lit(720)) * 3600)).alias("ts"))
+    return spread(spark, f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("report_id"), F.coalesce("text", F.lit("")).alias("content"), F.col("source").alias("author"), "lang", (F.timestamp_seconds(F.lit(1704067200) + F.pmod("doc_id", F.lit(720)) * 3600)).alias("ts"))
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,14 +15,14 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
-        if not sc.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='auditloom-')}"
         sc.setCheckpointDir(found)
     return found.rstrip("/")
 
 
-def _hadoop(spark: SparkSession, path: str):
+def hadoop(spark: SparkSession, path: str):
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
@@ -29,25 +30,25 @@ def _hadoop(spark: SparkSession, path: str):
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder that Hadoop's file system removes when the JVM ends."""
     path = f"{shared_dir(spark)}/auditloom-{name}-{uuid.uuid4().hex}"
-    target, files = _hadoop(spark, path)
+    target, files = hadoop(spark, path)
     files.deleteOnExit(target)
     return path
 
 
 def forget(spark: SparkSession, path: str) -> None:
     """Remove what stands under a path of ``new_path`` that nothing reads any more."""
-    target, files = _hadoop(spark, path)
+    target, files = hadoop(spark, path)
     files.delete(target, True)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    target, files = _hadoop(spark, path)
+    target, files = hadoop(spark, path)
     return files.exists(target)
 
 
 def mark(spark: SparkSession, path: str, text: str) -> None:
     """A small file of its own, put in the place of one that stands there."""
-    target, files = _hadoop(spark, path)
+    target, files = hadoop(spark, path)
     out = files.create(target, True)
     try:
         out.write(bytearray(text.encode()))
