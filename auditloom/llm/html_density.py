@@ -8,8 +8,8 @@ and other scraps of text fall away by their density, whatever they are called.
 
 What the markup itself declares to be something else (navigation, footers, asides, forms, hidden parts, and
 class or id names that say nothing but that) is never part of the article, even where its text is dense, as
-reader comments are.  Such names are read as whole words, and never take a node that holds most of the page's
-text.  The logarithm's base is at least e: below that, as a page's links vanish, the published formula grows
+reader comments are.  Such names are read as whole words, and neither they nor forms, asides and dialogs ever take
+a node that holds the page's heading or most of its text.  The logarithm's base is at least e: below that, as a page's links vanish, the published formula grows
 without bound for the shortest scraps.
 
 Defined cases: a null or empty page has no text; unclosed and misnested tags are closed as browsers do for
@@ -24,6 +24,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Sequence
 
 import pyarrow as pa
@@ -32,6 +33,7 @@ from pyspark.sql import DataFrame
 from auditloom.llm.arrow_map import add_columns
 from auditloom.llm.text_blocks import Block
 
+_UNCLOSED = re.compile(r"(?:<!--|<!\[CDATA\[).*()()()", re.S)
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*)>""", re.S)
 #: A name with its value, which is taken whole, so that nothing in a value passes for a name.
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -45,7 +47,9 @@ _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "
 _KEPT = frozenset("article main body html".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _UNSEEN_TAGS = frozenset("head script style noscript template iframe svg canvas object textarea xmp noembed noframes audio video map".split())
-_NOISE_TAGS = _UNSEEN_TAGS | frozenset("nav footer aside form button select input menu dialog search".split())
+_NOISE_TAGS = _UNSEEN_TAGS | frozenset("nav footer button select input menu search".split())
+#: Tags that are noise unless, like noise by name, they hold the heading or most of the page: whole sites stand in a form.
+_GUARDED_TAGS = frozenset("aside form dialog".split())
 #: Words that class and id names of what is not the article are made of, words that may stand beside them, and roles.
 _NOISE_WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header login masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted related reply replies share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget widgets".split())
 _BESIDE_WORDS = frozenset("area articles bar block bottom box buttons container content form group inner left links list main outer overlay page panel posts primary right secondary section site slot text thread top wrap wrapper".split())
@@ -90,6 +94,7 @@ def parse(page: str) -> tuple[_Node, list[_Node], list[tuple[_Node, str]]]:
     nodes, stack, blocks, buffer = [root], [root], [], []
     links = unseen = 0  # open links and open elements that are not shown
     raw_end = 0
+    standing = Counter(["html"])  # open elements by tag, so that nothing is looked for in vain
 
     def flush() -> None:
         text = " ".join("".join(buffer).split())
@@ -118,20 +123,22 @@ def parse(page: str) -> tuple[_Node, list[_Node], list[tuple[_Node, str]]]:
         for x in stack[depth:]:
             links -= x.tag == "a"
             unseen -= x.unseen
+            standing[x.tag] -= 1
         del stack[depth:]
 
-    at = 0
-    while m := _TOKEN.search(page, max(at, raw_end)):
+    at, last = 0, page.rfind(">")
+    # Beyond the last ">" nothing is a tag, but an unclosed comment or section may stand there.
+    while m := (_TOKEN if max(at, raw_end) <= last else _UNCLOSED).search(page, max(at, raw_end)):
         if m.start() > at:
             add(page[at : m.start()])
         at = m.end()
-        if m[2] is None:
+        if not m[2]:
             continue
         tag = m[2].lower()
         if m[1]:
             if tag in ("html", "body"):
                 continue
-            for depth in range(len(stack) - 1, 0, -1):
+            for depth in range(len(stack) - 1, 0, -1) if standing[tag] else ():
                 if stack[depth].tag == tag:
                     close(depth)
                     break
@@ -144,13 +151,13 @@ def parse(page: str) -> tuple[_Node, list[_Node], list[tuple[_Node, str]]]:
             continue
         if tag == "body":
             close(1)
-        if tag in _CLOSES_P:
+        if tag in _CLOSES_P and standing["p"]:
             depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == "p"), 0)
             if depth and all(n.tag in _INLINE for n in stack[depth + 1 :]):
                 close(depth)
         elif tag in _CLOSES:
             closed, bound = _CLOSES[tag]
-            for depth in range(len(stack) - 1, 0, -1):
+            for depth in range(len(stack) - 1, 0, -1) if any(standing[t] for t in closed) else ():
                 if stack[depth].tag in closed:
                     close(depth)
                     break
@@ -162,13 +169,14 @@ def parse(page: str) -> tuple[_Node, list[_Node], list[tuple[_Node, str]]]:
         nodes.append(node)
         node.unseen = tag in _UNSEEN_TAGS
         node.noise = tag in _NOISE_TAGS or tag == "header" and not any(n.tag in ("article", "main") for n in stack)
-        node.named_noise = bool(m[3]) and tag not in _KEPT and tag not in _HEADINGS and _named_noise(m[3])
+        node.named_noise = tag in _GUARDED_TAGS or bool(m[3]) and tag not in _KEPT and tag not in _HEADINGS and _named_noise(m[3])
         if tag in _VOID or m[3].endswith("/") and tag not in _INLINE | _CLOSES_P:
             continue
         if tag in _RAW:
             end = re.compile(f"</{tag}", re.I).search(page, at)
             at = raw_end = end.start() if end else len(page)
         stack.append(node)
+        standing[tag] += 1
         links += tag == "a"
         unseen += node.unseen
     if at < len(page):

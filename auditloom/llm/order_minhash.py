@@ -15,7 +15,7 @@ Defined cases: null, empty and white-space texts have the empty fingerprint, and
 fewer words than ``K`` have one k-mer, which all sketches hash alone; of k-mers whose hashes tie the one that
 stands first in the text comes first; very long texts are read whole, in one array of a task.  In
 ``with_next``, documents are ordered by id; rows that repeat an id each get a result, next to the least text
-of the next smaller id; a table of one id is next to itself; rows with a null id are left out; an empty
+of the next smaller id; a table of one id is next to itself; rows with a null id come last of all; an empty
 table gives an empty result; of the table only the two named columns are read, so others may have any name.
 """
 
@@ -139,7 +139,10 @@ def with_next(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
     """A row a document: (key, n_chars, edited, sig, edited_sig, next_sig), the edited text having its last half
     replaced by the beginning of the next document in descending order of ids.  Texts are shuffled once by id,
     and what is taken of them once more."""
-    base = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
+    # A null id is one before all others.
+    kind = docs.schema[key].dataType
+    ordered = F.struct(F.col(key).isNotNull().alias("known"), F.coalesce(F.col(key), F.lit(0).cast(kind)).alias("value"))
+    base = docs.select(ordered.alias("id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
     ids = base.groupBy("id").agg(F.max(F.char_length("body")).alias("n"))
     signed = base.withColumn("sig", signature(F.col("body")))
     given = signed.join(_takers(ids), signed["id"] == F.col("donor")).select(F.col("taker").alias("id"), F.struct(F.left("body", F.floor(F.col("taker_n") / 2).cast("int")).alias("start"), F.col("sig").alias("next_sig")).alias("given"))
@@ -148,7 +151,8 @@ def with_next(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.left("body", n - half), F.left("given.start", half))
     both = signed.join(given, "id").select("id", n.cast("long").alias("n_chars"), edited.alias("edited"), "sig", F.col("given.next_sig").alias("next_sig"))
-    return both.withColumn("edited_sig", signature(F.col("edited"))).withColumnRenamed("id", key)
+    told = both.select(F.when(F.col("id.known"), F.col("id.value")).alias(key), "n_chars", "edited", "sig", "next_sig")
+    return told.withColumn("edited_sig", signature(F.col("edited")))
 
 
 def op9_order_minhash(spark, sf_dir: str) -> DataFrame:

@@ -131,6 +131,17 @@ def test_op9_edits_and_likeness(spark, folder):
         assert same.setdefault(t, got[i]["fingerprint"]) == got[i]["fingerprint"]
 
 
+def test_op9_null_ids_come_last(spark, tmp_path):
+    rows = [(None, "nobody knows who wrote this text"), (3, "first of all these texts is this"), (1, "last but one of them"), (7, None)]
+    spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, with_next int").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in run(spark, str(tmp_path), "op9_order_minhash")}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0)))
+    for (i, t), (_, u) in zip(order, [*order[1:], order[0]]):
+        t, u = t or "", u or ""
+        edited = t[: len(t) - len(t) // 2] + u[: len(t) // 2]
+        assert got[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+
+
 def test_op10_components(spark, folder):
     def fingerprint(t):
         words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))

@@ -592,3 +592,34 @@ def test_chunks_do_not_change_the_path():
     assert np.allclose(chat_format.compose(matrices), whole)
     ends = chat_format.walk(matrices, 6, None)
     assert sum((chat_format.path(model, p, b, e) for p, (b, e) in zip(parts, ends)), []) == best
+
+
+_ARTICLE = "".join(f"<p>Paragraph number {i} of the article tells something of interest to the reader who came here.</p>" for i in range(4))
+
+
+@pytest.mark.parametrize("page", [f"<body><form id=aspnetForm><div>{_ARTICLE}</div></form></body>", f"<body><form><h1>T</h1><div>{_ARTICLE}</div></form><p>x</p></body>", f"<body><aside>{_ARTICLE}</aside></body>", f"<body><dialog open>{_ARTICLE}</dialog></body>"])
+def test_pages_that_stand_in_one_element(page):
+    assert html_density.extract(page).count("Paragraph number") == 4
+
+
+def test_forms_and_asides_beside_an_article_go():
+    page = f"<body><article><h1>T</h1>{_ARTICLE}</article><aside><p>other things to read on this site</p></aside><form>name <input></form></body>"
+    assert html_density.extract(page).splitlines()[0] == "T" and "other things" not in html_density.extract(page) and "name" not in html_density.extract(page)
+
+
+@pytest.mark.parametrize("piece", ["<div>", '<a "', "<p><b><div>", "<!-- ", "<li>", "<ul><li>", "<b>", "<span><div>", "</x>", "<x>word</y>"])
+def test_hostile_pages_take_time_in_proportion(piece):
+    import time
+
+    def seconds(n):
+        began = time.process_time()
+        html_density.extract(piece * n)
+        return time.process_time() - began
+
+    seconds(100)
+    assert seconds(32_000) < 16 * max(seconds(8_000), 0.05)
+
+
+def test_what_is_never_closed():
+    told = [html_density.extract(p) for p in ("text <!-- open", "a > b <!-- open <p>x</p>", "<p>one<p>two < three", "<p>x</p> tail <b", "<p>a <![CDATA[ b")]
+    assert told == ["text", "a > b", "one\ntwo < three", "x\ntail <b", "a"]
