@@ -70,8 +70,21 @@ def ends(metrics: DataFrame, k: int = 10, least: int = 20) -> DataFrame:
     return found
 
 
-def drift(metrics: DataFrame, share: float = 0.8) -> DataFrame:
-    return ends(metrics).withColumn("drifted", F.col("last_mean") < share * F.col("first_mean"))
+def drift(metrics: DataFrame, share: float = 0.8, as_of: Column | None = None, hours: int = 24) -> DataFrame:
+    """``ends``, whether the last lie below ``share`` of the first; of the hours before ``as_of`` alone, where it is given."""
+    inside = metrics if as_of is None else metrics.where((F.col("ts") <= as_of) & (F.unix_micros(F.col("ts").cast("timestamp")) >= F.unix_micros(as_of) - hours * 3_600_000_000))
+    return ends(inside).withColumn("drifted", F.col("last_mean") < share * F.col("first_mean"))
+
+
+def period_report(metrics: DataFrame, as_of: Column, days: tuple[int, ...] = (1, 7, 30, 90)) -> DataFrame:
+    """(days, metric, n, mean, least, greatest, before, change): every metric over the last days up to ``as_of``, and its
+    mean's change against as many days before them. A row counts in the few periods that it falls in; one shuffle."""
+    age = (F.unix_micros(as_of) - F.unix_micros(F.col("ts").cast("timestamp"))) / 86_400_000_000
+    spans = F.filter(F.array(*map(F.lit, days)), lambda d: age < 2 * d)
+    rows = metrics.where(F.col("ts") <= as_of).select("metric", "value", age.alias("age"), F.explode(spans).alias("days"))
+    now = F.col("age") < F.col("days")
+    row = rows.groupBy("days", "metric").agg(F.count_if(now).alias("n"), *[f(F.when(now, F.col("value"))).alias(n) for n, f in (("mean", F.avg), ("least", F.min), ("greatest", F.max))], F.avg(F.when(~now, F.col("value"))).alias("before"))
+    return row.where("n > 0").withColumn("change", F.when(F.col("before") != 0, (F.col("mean") - F.col("before")) / F.abs("before")))
 
 
 def detail(metrics: DataFrame) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditloom.plans import activity_queries, explain_queries, family_queries, intake_queries, learner_queries, learning_queries, report_queries, segment_queries, state_queries, stream_queries, summary_queries
+from auditloom.plans import activity_queries, check_queries, explain_queries, family_queries, intake_queries, learner_queries, learning_queries, report_queries, segment_queries, state_queries, stream_queries, summary_queries
 
-MODULES = (report_queries, activity_queries, learning_queries, intake_queries, summary_queries, explain_queries, family_queries, segment_queries, state_queries, stream_queries, learner_queries)
+MODULES = (report_queries, activity_queries, learning_queries, intake_queries, summary_queries, explain_queries, family_queries, segment_queries, state_queries, stream_queries, learner_queries, check_queries)
 Query = Callable[[SparkSession, str], DataFrame]
 
 
