@@ -68,9 +68,13 @@ def price_trend(spark, sf_dir):
 
 @query(_TREND + ", o as (select l_orderkey as report_id, l_partkey as stock, case l_returnflag when 'A' then 'up' when 'R' then 'down' else 'neutral' end as direction from lineitem), d as (select report_id, max(case direction when 'up' then greatest(-trend, 0) when 'down' then greatest(trend, 0) else abs(trend) end) as deviation from o join t using (stock) group by 1) select report_id, round(deviation, 6) as deviation, round(case when deviation > 0.2 then least(deviation / 0.2, 1) else 0.0 end, 6) as score from d")
 def trend_anomaly(spark, sf_dir):
+    return rounded(market.trend_anomaly(market.price_trend(bars(spark, sf_dir), TIES), directions(spark, sf_dir)))
+
+
+def directions(spark, sf_dir):
+    """Lines as reports on a stock, with the direction that they see it take."""
     direction = F.when(F.col("l_returnflag") == "A", "up").when(F.col("l_returnflag") == "R", "down").otherwise("neutral")
-    r = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("report_id"), F.col("l_partkey").alias("stock"), direction.alias("direction"))
-    return rounded(market.trend_anomaly(market.price_trend(bars(spark, sf_dir), TIES), r))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("report_id"), F.col("l_partkey").alias("stock"), direction.alias("direction"))
 
 
 _PRED = "with p as (select o_orderkey as id, o_orderdate as placed, o_totalprice as predicted, actual from orders join (select l_orderkey, sum(l_extendedprice * (1 - l_discount)) as actual from lineitem group by 1) on l_orderkey = o_orderkey), s as (select *, abs(predicted - actual) / greatest(abs(actual), 1e-6) as error, greatest(0, 1 - abs(predicted - actual) / greatest(abs(actual), 1e-6)) as accuracy, row_number() over (order by placed desc, id desc) as back from p)"

@@ -10,7 +10,8 @@ from auditloom.operators import behavioral, features, fusion, market, semantic
 from auditloom.plans import activity_queries as activity
 from auditloom.plans import report_queries as report
 from auditloom.plans.report_queries import DOCS, LEVEL, _in, rounded
-from auditloom.plans.tables import NEGATIVE, POSITIVE, WORDS, metrics, reports, table
+from auditloom.plans.tables import NEGATIVE, POSITIVE, TIES, WORDS, bars, metrics, reports, table
+from auditloom.sources.shared import stash
 
 QUERIES, SQL = {}, {}
 
@@ -25,16 +26,31 @@ def query(sql: str | None = None):
     return register
 
 
+def exact(sql: str) -> str:
+    """SQL without its rounding to six places, which is for what a query tells, not for what is built on it."""
+    out, at = "", 0
+    while (start := sql.find("round(", at)) >= 0:
+        depth, end = 1, start + 6
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        inner = sql[start + 6 : end - 1]
+        out += sql[at:start] + (f"({exact(inner[:-3])})" if inner.endswith(", 6") else f"round({exact(inner)})")
+        at = end
+    return out + sql[at:]
+
+
 #: A document's stocks are the parts of the order of its number; users stand for the stocks of events.
 _STOCKS = "select distinct doc_id as report_id, l_partkey as stock from documents join lineitem on l_orderkey = doc_id"
 _TIMING = "with r as (select distinct doc_id as report_id, l_partkey % 150 as stock, 1704067200 + (doc_id % 720) * 3600 as t from documents join lineitem on l_orderkey = doc_id), n as (select *, count(*) over (partition by report_id) as n_stocks from r), v as (select event_id, user_id as stock, floor(epoch(ts))::bigint as u from events where event_type = 'error'), p as (select report_id, event_id, count(*) as shared, min(n_stocks) as n_stocks, min(abs(t - u)) as apart from n join v on n.stock = v.stock and abs(t - u) <= 86400 group by 1, 2) select report_id, max(((1 - apart / 86400) + shared / greatest(n_stocks, 1)) / 2) as score from p group by 1"
 _FREQUENCY = "with a as (select doc_id as report_id, source as author, timestamp '2024-01-01' + (doc_id % 720)::int * interval 1 hour as ts from documents), base as (select author, avg(n) as mean from (select author, ts::date as day, count(*) as n from a group by 1, 2) group by 1), t as (select report_id, author, count(*) over (partition by author order by ts range between interval 30 days preceding and current row) as trailing_n from a), q as (select report_id, trailing_n / 30 / greatest(mean, 1e-6) as ratio from t join base using (author)) select report_id, case when ratio > 2 then least((ratio - 2) / 2, 1) when ratio < 0.5 then least((0.5 - ratio) * 2, 1) else 0.0 end as score from q"
 _FOCUS = f"with r as ({_STOCKS}), f as (select distinct l_partkey as stock from lineitem where l_shipdate < timestamp '1996-01-01') select report_id, least(count(*) filter (where f.stock is null) / count(*) / 0.3, 1) as score from r left join f using (stock) group by 1"
 _FAMILIES = (
-    f"with st as ({report.SQL['statistical_score']}), wr as ({report.SQL['writing_anomaly']}), se as ({report.SQL['semantic_rules']}), ret as ({activity.SQL['return_anomaly']}), vol as ({activity.SQL['volume_anomaly']}), tr as ({activity.SQL['trend_anomaly']}), ac as ({activity.SQL['accuracy_drop']}), stocks as ({_STOCKS}), ti as ({_TIMING}), fq as ({_FREQUENCY}), fo as ({_FOCUS}), "
+    f"with st as ({exact(report.SQL['statistical_score'])}), wr as ({exact(report.SQL['writing_anomaly'])}), se as ({exact(report.SQL['semantic_rules'])}), ret as ({exact(activity.SQL['return_anomaly'])}), vol as ({exact(activity.SQL['volume_anomaly'])}), tr as ({exact(activity.SQL['trend_anomaly'])}), ac as ({exact(activity.SQL['accuracy_drop'])}), stocks as ({_STOCKS}), ti as ({_TIMING}), fq as ({_FREQUENCY}), fo as ({_FOCUS}), "
     "rs as (select report_id, max(score) as score from stocks join ret using (stock) group by 1), vs as (select report_id, max(score) as score from stocks join vol using (stock) group by 1), "
     "f as (select st.report_id, statistical_score as statistical, 0.25 * (coalesce(ti.score, 0) + coalesce(fq.score, 0) + coalesce(fo.score, 0) + coalesce(wr.score, 0)) as behavioral, case when k.report_id is not null then 0.3 * coalesce(rs.score, 0) + 0.25 * coalesce(vs.score, 0) + 0.25 * coalesce((select score from ac), 0) + 0.2 * coalesce(tr.score, 0) end as market, 0.3 * contradiction + 0.2 * source + 0.2 * consistency as semantic from st join wr on wr.report_id = st.report_id join se on se.report_id = st.report_id left join ti on ti.report_id = st.report_id left join fq on fq.report_id = st.report_id left join fo on fo.report_id = st.report_id left join rs on rs.report_id = st.report_id left join vs on vs.report_id = st.report_id left join tr on tr.report_id = st.report_id left join (select distinct report_id from stocks) k on k.report_id = st.report_id), "
-    "g as (select *, 3 + (market is not null)::int as n, (statistical + behavioral + semantic + coalesce(market, 0)) / (3 + (market is not null)::int) as score from f), h as (select *, sqrt(((statistical - score) ** 2 + (behavioral - score) ** 2 + (semantic - score) ** 2 + coalesce((market - score) ** 2, 0)) / n) as spread from g)"
+    "f12 as (select report_id, round(statistical, 12) as statistical, round(behavioral, 12) as behavioral, round(market, 12) as market, round(semantic, 12) as semantic from f), "
+    "g as (select *, 3 + (market is not null)::int as n, (statistical + behavioral + semantic + coalesce(market, 0)) / (3 + (market is not null)::int) as score from f12), h as (select *, sqrt(((statistical - score) ** 2 + (behavioral - score) ** 2 + (semantic - score) ** 2 + coalesce((market - score) ** 2, 0)) / n) as spread from g)"
 )
 
 
@@ -48,19 +64,28 @@ def families(spark, sf_dir):
     timing = behavioral.timing_anomaly(stocks.select("report_id", "ts", (F.col("stock") % 150).alias("stock")).distinct(), m.where("metric = 'error'").select(F.col("id").alias("event_id"), "ts", F.col("author").alias("stock")))
     frequency = behavioral.frequency_anomaly(docs.select("report_id", "author", "ts"), behavioral.frequency_baseline(behavioral.daily_counts(docs)))
     focus = behavioral.focus_shift(stocks.select("report_id", "stock"), lines.where(F.col("l_shipdate") < F.lit("1996-01-01").cast("timestamp")).select("stock"))
+    writing = behavioral.writing_features(docs, WORDS.sentence_end)
+    writing = behavioral.writing_anomaly(writing, behavioral.writing_baseline(writing))
     behaviour = docs.select("report_id")
-    for part, name in ((timing, "timing"), (frequency, "frequency"), (focus, "focus"), (report.writing_anomaly(spark, sf_dir), "writing")):
+    for part, name in ((timing, "timing"), (frequency, "frequency"), (focus, "focus"), (writing, "writing")):
         behaviour = behaviour.join(score(part, name), "report_id", "left")
     traded = stocks.select("report_id").distinct()
-    for part, name in ((activity.return_anomaly(spark, sf_dir), "returns"), (activity.volume_anomaly(spark, sf_dir), "volumes")):
+    prices = stash(bars(spark, sf_dir), "bars")
+    returns = stash(market.with_returns(prices, TIES).drop("volatility"), "returns")
+    base = market.baseline(returns)
+    for part, name in ((market.return_anomaly(returns, base, TIES), "returns"), (market.volume_anomaly(returns, base, TIES), "volumes")):
         of_report = stocks.join(part.select("stock", "score"), "stock").groupBy("report_id").agg(F.max("score").alias(name))
         traded = traded.join(of_report, "report_id", "left")
-    traded = traded.join(score(activity.trend_anomaly(spark, sf_dir), "trend"), "report_id", "left").withColumn("accuracy_drop", activity.accuracy_drop(spark, sf_dir).select("score").scalar())
-    meant = semantic.total(report.semantic_rules(spark, sf_dir).withColumn("deviation", F.lit(0.0)))
-    found = report.statistical_score(spark, sf_dir).select("report_id", F.col("statistical_score").alias("statistical"))
+    trend = market.trend_anomaly(market.price_trend(prices, TIES), activity.directions(spark, sf_dir))
+    dropped = market.accuracy_stats(activity._predictions(spark, sf_dir), ["at", "id"]).select("score")
+    traded = traded.join(score(trend, "trend"), "report_id", "left").withColumn("accuracy_drop", dropped.scalar())
+    meant = semantic.total(semantic.rules(docs, WORDS).withColumn("deviation", F.lit(0.0)))
+    found = report.statistical_scores(spark, sf_dir).select("report_id", F.col("statistical_score").alias("statistical"))
     found = found.join(behavioral.total(behaviour).select("report_id", F.col("behavioral_score").alias("behavioral")), "report_id")
     found = found.join(market.total(traded).select("report_id", F.col("market_score").alias("market")), "report_id", "left")
-    return found.join(meant.select("report_id", F.col("semantic_score").alias("semantic")), "report_id")
+    found = found.join(meant.select("report_id", F.col("semantic_score").alias("semantic")), "report_id")
+    # Sums taken in another order differ in their last bits, which must not decide at a border.
+    return found.select("report_id", *[F.round(f, 12).alias(f) for f in ("statistical", "behavioral", "market", "semantic")])
 
 
 @query(_FAMILIES + " select report_id, round(statistical, 6) as statistical, round(behavioral, 6) as behavioral, round(market, 6) as market, round(semantic, 6) as semantic from h")
@@ -68,11 +93,11 @@ def family_scores(spark, sf_dir):
     return rounded(families(spark, sf_dir))
 
 
-@query(_FAMILIES + f" select report_id, round(score, 10) as score, round(spread, 6) as spread, round(((statistical > 0.5)::int + (behavioral > 0.5)::int + (semantic > 0.5)::int + coalesce((market > 0.5)::int, 0)) / n, 6) as vote, {LEVEL.format('round(score, 9)')} as level, concat_ws(',', case when statistical > 0.4 then 'statistical' end, case when behavioral > 0.4 then 'behavioral' end, case when market > 0.4 then 'market' end, case when semantic > 0.4 then 'semantic' end) as key_families from h")
+@query(_FAMILIES + f" select report_id, round(score, 6) as score, round(spread, 6) as spread, round(((statistical > 0.5)::int + (behavioral > 0.5)::int + (semantic > 0.5)::int + coalesce((market > 0.5)::int, 0)) / n, 6) as vote, {LEVEL.format('round(score, 9)')} as level, concat_ws(',', case when statistical > 0.4 then 'statistical' end, case when behavioral > 0.4 then 'behavioral' end, case when market > 0.4 then 'market' end, case when semantic > 0.4 then 'semantic' end) as key_families from h")
 def fusion_families(spark, sf_dir):
-    """All four families fused; means of means of numbers of six places, so told to ten."""
+    """All four families fused."""
     found = fusion.fuse(families(spark, sf_dir)).withColumn("level", level(F.round("score", 9)))
-    return found.select("report_id", F.round("score", 10).alias("score"), F.round("spread", 6).alias("spread"), F.round("vote", 6).alias("vote"), "level", "key_families")
+    return rounded(found.select("report_id", "score", "spread", "vote", "level", "key_families"))
 
 
 @query("with l as (select l_suppkey as author, l_partkey as stock, p_brand as industry, l_shipdate::date as day from lineitem join part on p_partkey = l_partkey) select author, count(*) as n, count(distinct day) as days, count(distinct stock) as n_stocks, count(distinct industry) as n_industries, round(count(distinct stock) / count(*), 6) as diversity from l group by 1")
