@@ -190,8 +190,8 @@ def test_with_next(spark):
     rows = [(i * 7, t) for i, t in enumerate(texts)]
     docs = spark.createDataFrame([*rows, (None, "no id")], "doc_id long, text string")
     got = {r["doc_id"]: r for r in order_minhash.with_next(docs).withColumn("same", order_minhash.likeness(F.col("sig"), F.col("next_sig"))).collect()}
-    assert set(got) == {i for i, _ in rows}
-    order = sorted(rows, reverse=True)
+    assert set(got) == {None, *(i for i, _ in rows)}
+    order = [*sorted(rows, reverse=True), (None, "no id")]
     for k, (i, t) in enumerate(order):
         t, following = t or "", order[(k + 1) % len(order)][1] or ""
         half = len(t) // 2

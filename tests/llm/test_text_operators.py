@@ -149,7 +149,7 @@ def test_fit_is_plain_ftrl(spark, shards):
     """The same sample and order through plain loops gives the same weights; shards of equal counts stay apart."""
     rng = random.Random(shards)
     rows = [(i, " ".join(rng.choice(["ab", "Cd", "toxicish", "efghij", "k!l"]) for _ in range(rng.randint(0, 12)))) for i in range(60)]
-    rows += [(100, None), (101, ""), rows[5]]
+    rows += [(100, None), (101, ""), rows[5], (7, "zz"), (9, ""), *[(11, "toxicish again and again")] * 50]
     labels = [(i, int("toxicish" in (t or ""))) for i, t in rows[:60]] + [(100, 1), (5, 1), (7, None), (None, 1), (999, 1)]
     docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, toxic string")
     config = toxicity.FtrlConfig(alpha=0.5, l1=0.5, bits=16, epochs=3, shards=shards, sample=1000)
@@ -158,8 +158,10 @@ def test_fit_is_plain_ftrl(spark, shards):
     for i, y in labels:
         if i is not None and y is not None:
             known[i] = max(y, known.get(i, 0))
-    cases = {}
-    for i, t in rows:
+    cases, least = {}, {}
+    for i, t in rows:  # of the rows of an id that of the least text is a case
+        least[i] = min(t or "", least.get(i, t or ""))
+    for i, t in least.items():
         if i in known:
             h = xxhash.xxh64_intdigest(str(i).encode(), 42)
             h = h - (1 << 64) if h >= 1 << 63 else h
