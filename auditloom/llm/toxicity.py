@@ -114,26 +114,41 @@ def shard_of(hashed: int, shards: int) -> int:
     return (hashed >> 20) % shards
 
 
+def _least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the rows (id, hash, label, text) of each id that of the least text; nulls are empty."""
+    held: dict = {}
+    schema = None
+    for batch in batches:
+        schema = batch.schema
+        for key, h, y, text in zip(*[c.to_pylist() for c in batch.columns]):
+            if key not in held or (text or "") < held[key][3]:
+                held[key] = (key, h, y, text or "")
+    rows = list(held.values())
+    for lo in range(0, len(rows), 1024):
+        columns = zip(*rows[lo : lo + 1024])
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", config: FtrlConfig = FtrlConfig()) -> ToxicityModel:
     """A model from the rows of ``labels``. The labelled sample is bounded, so it is broadcast to one scan of ``docs``."""
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.max(F.col(label).cast("int")).alias("__y"))
     sample = known.withColumn("__h", F.xxhash64(F.col("__key").cast("string"))).orderBy("__h", "__key").limit(config.sample)
     rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).join(F.broadcast(sample), "__key")
-    # Of rows that repeat an id one is a case, each task having kept one: so the cases are as few as the sample.
-    rows = rows.groupBy("__key", "__h", "__y").agg(F.min(F.coalesce("__text", F.lit(""))).alias("__text")).select("__text", "__y", "__h")
+    # Of rows that repeat an id one is a case, each task sending on one: so the cases are as few as the sample.
+    rows = rows.select("__key", "__h", "__y", "__text").mapInArrow(_least, rows.select("__key", "__h", "__y", "__text").schema)
     shard = F.pmod(F.shiftright("__h", 20), F.lit(config.shards))
     bits = config.bits
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards: dict[int, list] = {}
-        for batch in batches:
-            for block in blocks(batch.column(0), 1 << 18):
+        for batch in _least(batches):
+            for block in blocks(batch.column(3), 1 << 18):
                 at, owner = features(block, bits)
                 pairs = np.unique((owner.astype(np.uint64) << np.uint64(bits)) | at)
                 cut = np.searchsorted(pairs >> np.uint64(bits), np.arange(block.hi - block.lo + 1))
                 at = (pairs & np.uint64((1 << bits) - 1)).astype(np.uint32)
                 for i in range(block.hi - block.lo):
-                    label, hashed = batch.column(1)[block.lo + i].as_py(), batch.column(2)[block.lo + i].as_py()
+                    label, hashed = batch.column(2)[block.lo + i].as_py(), batch.column(1)[block.lo + i].as_py()
                     mine = at[cut[i] : cut[i + 1]]
                     shards.setdefault(shard_of(hashed, config.shards), []).append((hashed, label, zlib.crc32(mine), mine))
         for number, cases in shards.items():
