@@ -63,10 +63,8 @@ def _java(pattern: str) -> str:
 
 def sequence_counts(runs: DataFrame, config: SegmentConfig) -> DataFrame:
     """(words, n, len): how often each sequence of up to one more than ``longest`` units occurs in ``runs`` (units)."""
-    n = F.size("units")
-    at = F.explode(F.sequence(F.lit(0), n - 1))
-    placed = runs.where(n > 0).select("units", at.alias("at"))
-    heads = placed.select(F.slice("units", F.col("at") + 1, F.lit(config.longest + 1)).alias("head"))
+    # Made in the run's own row: a row a unit with the whole run beside it would be a run's length squared.
+    heads = runs.where(F.size("units") > 0).select(F.explode(F.transform("units", lambda _, i: F.slice("units", i + 1, F.lit(config.longest + 1)))).alias("head"))
     found = heads.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("head")), lambda k: F.slice("head", F.lit(1), k))).alias("words"))
     return found.groupBy("words").agg(F.count(F.lit(1)).alias("n")).withColumn("len", F.size("words"))
 

@@ -12,7 +12,8 @@ from auditloom.plans.tables import table
 
 QUERIES, SQL = {}, {}
 
-PHRASES = SegmentConfig(run="[a-z]+(?: [a-z]+)*", unit="[a-z]+", joint=" ", longest=3)
+#: Possessive, as Java would go down a level for each word of a run otherwise.
+PHRASES = SegmentConfig(run="[a-z]++(?: [a-z]++)*+", unit="[a-z]++", joint=" ", longest=3)
 GIVEN, STOP_WORDS = ("the report", "in the year"), ("the", "of", "und", "de")
 
 _COUNTS = """with recursive texts as (select doc_id, regexp_extract_all(coalesce(text, ''), '[a-z]+(?: [a-z]+)*') as found from documents),
