@@ -117,6 +117,8 @@ def outliers(rows: DataFrame, key: str, names: list[str], trees: int = 100, samp
     path = path or new_path(spark, "forest")
     save(grow(rows, key, names, trees, sample, seed), path)
     depth = int(np.ceil(np.log2(max(sample, 2))))
-    scored = stash(score(rows.select(key, *names), load(spark, path), depth).select(key, "score"), "scores")
+    # A narrow row costs hundreds of steps, so few bytes are much work: rows are dealt to all cores.
+    cores = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    scored = stash(score(rows.select(key, *names).repartition(cores), load(spark, path), depth).select(key, "score"), "scores")
     border = percentiles(scored, "score", (1 - contamination,))[0]
     return scored.withColumn("is_outlier", F.lit(False) if border is None else F.col("score") > border)
