@@ -147,8 +147,10 @@ def resolutions(metrics: DataFrame, thresholds: DataFrame, last: int = 5, age: i
     due = fine.where("bad").select("metric", "id", (F.col("at") + age * 1_000_000).alias("time"), F.col("at").alias("alert"), F.lit(None).cast("int").alias("fine"))
     points = fine.select("metric", "id", F.col("at").alias("time"), F.lit(None).cast("long").alias("alert"), "fine").unionByName(due)
     over = Window.partitionBy("metric").orderBy("time", F.col("alert").isNotNull(), "id")
-    now = F.last("fine", ignorenulls=True).over(over)
-    later = F.min(F.when(F.col("fine") == last, F.col("time"))).over(over.rowsBetween(0, Window.unboundedFollowing))
+    back = Window.partitionBy("metric").orderBy(F.desc("time"), F.desc(F.col("alert").isNotNull()), F.desc("id"))
+    upto = (Window.unboundedPreceding, Window.currentRow)  # grows row by row; a frame to the end would be summed up anew for each
+    now = F.last("fine", ignorenulls=True).over(over.rowsBetween(*upto))
+    later = F.min(F.when(F.col("fine") == last, F.col("time"))).over(back.rowsBetween(*upto))
     found = points.withColumns({"now": now, "later": later}).where(F.col("alert").isNotNull())
     resolved = F.when(F.col("now") < last, F.col("later")).when(F.col("time") <= until.scalar(), F.col("time"))
     return found.select("metric", "id", F.timestamp_micros("alert").alias("ts"), F.timestamp_micros(resolved).alias("resolved_ts")).where("resolved_ts is not null")
