@@ -60,9 +60,13 @@ def adjust_feature_weights(weights: DataFrame, wrong: DataFrame, keep: float = 0
     """(feature, weight): scaled by 0.9 for each wrong case (feature, importance) in which it counted much, then all to
     a sum of ``total``."""
     counted = wrong.groupBy("feature").agg(F.count_if(F.col("importance") > above).alias("n"))
-    scaled = weights.join(counted, "feature", "left").withColumn("scaled", F.col("weight") * F.pow(F.lit(keep), F.coalesce("n", F.lit(0))))
+    joined = weights.join(counted, "feature", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    least = joined.where("weight > 0").agg(F.coalesce(F.min("n"), F.lit(0)).alias("least"))
+    # Only differences count once the sum is fixed, and powers of whole numbers of cases would all come down to zero.
+    scaled = joined.withColumn("least", least.scalar()).withColumn("scaled", F.col("weight") * F.pow(F.lit(keep), F.col("n") - F.col("least")))
     whole = scaled.agg(F.sum("scaled").alias("whole"))
-    return scaled.withColumn("whole", whole.scalar()).select("feature", "weight", (total * F.col("scaled") / F.col("whole")).alias("adapted"))
+    shared = F.when(F.col("whole") > 0, total * F.col("scaled") / F.col("whole")).otherwise(F.col("scaled"))
+    return scaled.withColumn("whole", whole.scalar()).select("feature", "weight", shared.alias("adapted"))
 
 
 def training_export(feedback: DataFrame, least_rating: int = 5) -> DataFrame:
