@@ -38,7 +38,7 @@ def normalised_bars(spark, sf_dir):
 @query("select c_custkey, c_name as name, c_mktsegment as segment, round(c_acctbal, 2)::varchar as balance from customer")
 def record_pivot(spark, sf_dir):
     """Key-value rows of customers as one record each."""
-    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"), F.round("c_acctbal", 2).cast("string").alias("balance"))
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"), X.number_text(F.col("c_acctbal"), 2).alias("balance"))
     return intake.one_record(c.unpivot(["c_custkey"], ["name", "segment", "balance"], "item", "value"), "c_custkey", "item", "value", ["name", "segment", "balance"])
 
 
