@@ -130,7 +130,7 @@ def history_page(spark, sf_dir):
 @query(DOCS + r" select report_id, len(words)::int as n_words, try_cast(substring(content, 1, 4) as integer) as number, case when try_cast(substring(content, 1, 4) as integer) is null then 'number' else '' end as error from d")
 def batch_steps(spark, sf_dir):
     """Named steps over every text; one that fails says so and does not stop the others."""
-    steps = {"n_words": lambda t: F.size(X.tokens(t)), "number": lambda t: F.substring(t, 1, 4).try_cast("int")}
+    steps = {"n_words": lambda t: F.size(X.tokens(t)), "number": lambda t: X.whole_number(F.substring(t, 1, 4))}
     return intake.attempted(reports(spark, sf_dir), steps).select("report_id", "n_words", "number", "error")
 
 
