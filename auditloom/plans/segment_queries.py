@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from auditloom.operators import segmentation, statistical
 from auditloom.operators.segmentation import SegmentConfig
 from auditloom.plans.report_queries import rounded
-from auditloom.plans.tables import table
+from auditloom.plans.tables import spread, table
 
 QUERIES, SQL = {}, {}
 
@@ -45,7 +45,7 @@ for _w in ("in", "the", "year", "in the", "the year"):
 
 
 def _segmented(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("report_id"), "text")
+    docs = spread(spark, f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("report_id"), "text")
     return segmentation.segment(docs, "report_id", "text", PHRASES, GIVEN, STOP_WORDS)
 
 
@@ -66,7 +66,7 @@ def _segmented_count(spark, sf_dir):
 
 def lexicon_words(spark, sf_dir):
     """The dictionary: every word and phrase with its number and weight."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(spark, f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = segmentation.lexicon(segmentation.units(docs, "doc_id", "text", PHRASES).select("units"), PHRASES)
     return found.select("word", "n", "weight")
 
