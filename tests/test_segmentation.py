@@ -110,3 +110,24 @@ def test_keywords_of_segmented_texts(spark):
         want = sorted(((-n * math.log(50 / df[w]), w) for w, n in c.items()))[:3]
         mine = sorted((r["rank"], r["word"], r["weight"]) for r in got if r["report_id"] == i)
         assert [round(x[2], 9) for x in mine] == [round(-x[0], 9) for x in want]
+
+
+def test_the_dictionary_is_whole(spark):
+    texts = spark.range(400_002).select("id", F.concat(F.lit("w"), F.col("id")).alias("text"))
+    java = SegmentConfig()._replace(run=segmentation._java(SegmentConfig().run), unit=segmentation._java(SegmentConfig().unit))
+    assert segmentation.lexicon(segmentation.units(texts, "id", "text", java).select("units")).count() == 400_002
+
+
+def test_telling_words_cut_as_all_do(spark):
+    config = SegmentConfig(cohesion=1500)
+    texts = spark.createDataFrame([*corpus(), (900, "毛利率的公司"), (901, "公司毛利"), (902, "ABC 研究")], "id long, text string")
+    java = config._replace(run=segmentation._java(config.run), unit=segmentation._java(config.unit))
+    found = segmentation.lexicon(segmentation.units(texts, "id", "text", java).select("units"), config)
+    whole, given = segmentation.dictionary(found, config, ["毛利率"]), segmentation.dictionary(segmentation.telling(found, config, ["毛利率"]), config, ["毛利率"], found.where("len = 1").agg(F.sum("n")).first()[0])
+    unit = re.compile(config.unit)
+    starts = segmentation.first_units(given, config.unit)
+    for r in texts.collect():
+        for run in re.findall(config.run, r["text"]):
+            parts = unit.findall(run)
+            assert segmentation.cut_up(parts, given, starts) == segmentation.best_path(parts, whole)
+    assert len(given.weights) < len(whole.weights)
