@@ -69,8 +69,20 @@ def named(text: Column, phrases: Sequence[str] = RISKS) -> Column:
     return F.array_compact(F.array(*[F.when(F.contains(text, F.lit(p)), F.lit(p)) for p in phrases]))
 
 
+#: A number somewhere after a name. Where no digit follows, every name would be tried up to the text's end; a match that
+#: takes the rest along and holds no number keeps this linear.
+_AFTER, _AFTER_OR_REST = r"[^0-9]*(\d+\.?\d*)", r"[^0-9]*+(?:(\d+\.?\d*)|\z)"
+
+
 def figures(text: Column, patterns: dict[str, str] = FIGURES) -> dict[str, Column]:
-    return {name: F.regexp_extract_all(text, F.lit(p), F.lit(1)) for name, p in patterns.items()}
+    """What each pattern's group captures, in order."""
+
+    def found(p: str) -> Column:
+        if not p.endswith(_AFTER):
+            return F.regexp_extract_all(text, F.lit(p), F.lit(1))
+        return F.filter(F.regexp_extract_all(text, F.lit(p.removesuffix(_AFTER) + _AFTER_OR_REST), F.lit(1)), lambda x: x != "")
+
+    return {name: found(p) for name, p in patterns.items()}
 
 
 def key_stocks(text: Column, stocks: dict[str, tuple[str, str]] = KEY_STOCKS, other: str = "未分类") -> Column:
