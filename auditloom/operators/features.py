@@ -42,8 +42,10 @@ def temporal_features(rows: DataFrame, key: str, ts: str, as_of: Column) -> Data
 
 
 def word_shares(reports: DataFrame, k: int = 10) -> DataFrame:
-    """(report_id, n_words, top_share, topk_share): shares of a report's most frequent words."""
-    counted = reports.select("report_id", F.explode(X.tokens(F.col("content"))).alias("word")).groupBy("report_id", "word").agg(F.count(F.lit(1)).alias("n"))
+    """(report_id, n_words, top_share, topk_share): shares of a report's most frequent words. Texts are dealt by report
+    before their words are counted, so that the shuffle moves them once and no words after them."""
+    words = reports.select("report_id", "content").repartition("report_id").select("report_id", F.explode(X.tokens(F.col("content"))).alias("word"))
+    counted = words.groupBy("report_id", "word").agg(F.count(F.lit(1)).alias("n"))
     ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("report_id").orderBy(F.desc("n"), "word")))
     found = ranked.groupBy("report_id").agg(F.sum("n").alias("n_words"), F.max("n").alias("top"), F.sum(F.when(F.col("rank") <= k, F.col("n"))).alias("topk"))
     return found.select("report_id", "n_words", (F.col("top") / F.col("n_words")).alias("top_share"), (F.col("topk") / F.col("n_words")).alias("topk_share"))

@@ -16,3 +16,18 @@ def test_figures_of_a_text_without_numbers_behind_names(spark):
     began = time.time()
     assert [(r["pe"], r["growth"]) for r in texts.select(*[v.alias(k) for k, v in found.items()]).collect()] == [(["12.5", "7"], []), (["3"], [])]
     assert time.time() - began < 15
+
+
+def _shuffled(df) -> list[str]:
+    """What each shuffle of a plan is by."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line.split("Exchange ")[1] for line in plan.splitlines() if " Exchange " in line]
+
+
+def test_word_shares_shuffle_texts_not_words(spark):
+    """Every word of every report used to go through the shuffle; dealt by report, its texts go once."""
+    from auditloom.operators import features
+
+    found = features.word_shares(spark.createDataFrame([(1, "aa bb aa"), (2, "cc"), (1, "bb bb"), (3, "")], "report_id long, content string"))
+    assert sorted(map(tuple, found.collect())) == [(1, 5, 0.6, 1.0), (2, 1, 1.0, 1.0)]
+    assert len(_shuffled(found)) == 1 and "word" not in _shuffled(found)[0]
