@@ -29,8 +29,9 @@ def test_word_shares_shuffle_texts_not_words(spark):
     from auditloom.operators import features
 
     found = features.word_shares(spark.createDataFrame([(1, "aa bb aa"), (2, "cc"), (1, "bb bb"), (3, "")], "report_id long, content string"))
+    by = _shuffled(found)
+    assert len(by) == 1 and "word" not in by[0]
     assert sorted(map(tuple, found.collect())) == [(1, 5, 0.6, 1.0), (2, 1, 1.0, 1.0)]
-    assert len(_shuffled(found)) == 1 and "word" not in _shuffled(found)[0]
 
 
 def test_keywords_shuffle_few_words(spark, monkeypatch):
@@ -38,6 +39,10 @@ def test_keywords_shuffle_few_words(spark, monkeypatch):
     from auditloom.operators import statistical
 
     monkeypatch.setattr(statistical, "COMMON", 1, raising=False)
+    monkeypatch.setattr(statistical, "stash", lambda df, name: df)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     found = statistical.keywords(spark.createDataFrame([(1, "aa bb aa"), (2, "aa cc"), (1, "bb"), (3, "aa")], "report_id long, content string"), 2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan
     assert sorted((r["report_id"], r["word"], r["tf"], r["rank"]) for r in found.collect()) == [(1, "aa", 2, 2), (1, "bb", 2, 1), (2, "aa", 1, 2), (2, "cc", 1, 1), (3, "aa", 1, 1)]
-    assert "BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()
