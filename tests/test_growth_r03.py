@@ -46,3 +46,28 @@ def test_keywords_shuffle_few_words(spark, monkeypatch):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "BroadcastHashJoin" in plan
     assert sorted((r["report_id"], r["word"], r["tf"], r["rank"]) for r in found.collect()) == [(1, "aa", 2, 2), (1, "bb", 2, 1), (2, "aa", 1, 2), (2, "cc", 1, 1), (3, "aa", 1, 1)]
+
+
+def test_cleaning_of_texts_without_marks_is_left_out(spark):
+    """Each step used to search every text for matches that cannot be there; the outcome is the same as that of the bare steps."""
+    from auditloom.functions import text as X
+
+    odd = ["", "a a a", "ab b b c", "xy xy xyz xy", "of of  of\nof end", "a\tb, c,,d", "<b>1</b> &lt;i&gt;x&amp;lt; &foo; <>", "no end <a", "see a@b.cd or www.x.yz 010-12345678", "qQ 1。微信。Qq。ok。QQ", "风险提示 x。y", "𝒜 b 𝒜", "z " * 40 + "k", "u v w u v w u v w u v w", "ha" * 9 + " " + "无" * 5]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "id int, t string")
+    t = F.col("t")
+    words = F.filter(F.split(t, r"\s+"), lambda w: w != "")
+    tags = F.regexp_replace(t, "<[^>]+>", "")
+    for e, c in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+        tags = F.replace(tags, F.lit(e), F.lit(c))
+    bare = {
+        "tags": (X.strip_tags(t), F.regexp_replace(F.regexp_replace(tags, "<[^>]+>", ""), "&[a-zA-Z0-9#]+;", "")),
+        "commas": (X.commas_to_spaces(t), F.translate(t, ",", " ")),
+        "adverts": (X.without_sentences(t, X.LEXICONS.advertisement), F.array_join(F.filter(F.split(t, "。"), lambda s: ~s.rlike(X.LEXICONS.advertisement)), "。")),
+        "contacts": (X.without_contacts(t), F.regexp_replace(t, X.LEXICONS.contact, "")),
+        "repeats": (X.without_repeats(t), X.distinct_sentences(F.regexp_replace(F.regexp_replace(t, r"(.)\1{3,}", "$1$1$1"), r"(\S+)(\s+\1){2,}", "$1"))),
+        "share": (X.repeats_beyond(words, 0.3), X.top_share(words) > 0.3),
+    }
+    for r in rows.select("t", *[c.alias(f"{k}{i}") for k, v in bare.items() for i, c in enumerate(v)]).collect():
+        for k in bare:
+            assert r[f"{k}0"] == r[f"{k}1"], (k, r["t"])
+    assert X._spellings("(?i)QQ|微") == ["qq", "qQ", "Qq", "QQ", "微"] and X._spellings("(?i)a.b") == X._spellings("微") == []
