@@ -38,9 +38,15 @@ def common_contrasts(samples: DataFrame, key: str) -> DataFrame:
 
 def mean_jaccard(a: Sequence[Column], b: Sequence[Column]) -> Column:
     """The mean Jaccard share over pairs of sets, of those that are not both empty; 0 if all are."""
-    parts = [F.when(F.size(F.array_union(x, y)) > 0, F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))) for x, y in zip(a, b)]
-    n = reduce(lambda p, q: p + q, [p.isNotNull().cast("int") for p in parts])
-    return F.when(n > 0, reduce(lambda p, q: p + q, [F.coalesce(p, F.lit(0.0)) for p in parts]) / n).otherwise(0.0)
+    both = lambda x, y: F.transform(F.array(F.size(F.array_union(x, y))), lambda n: F.when(n > 0, F.size(F.array_intersect(x, y)) / n))[0]
+    parts = F.array(*[both(x, y) for x, y in zip(a, b)])
+    return F.transform(F.array(parts), _known_mean)[0]
+
+
+def _known_mean(parts: Column) -> Column:
+    """The mean of an array's known entries; 0 if there are none."""
+    known = F.array_compact(parts)
+    return F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda p, q: p + q) / F.size(known)).otherwise(0.0)
 
 
 def permutation(rows: DataFrame, key: str, names: Sequence[str], model: Model, draws: Sequence[float]) -> DataFrame:
