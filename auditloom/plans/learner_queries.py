@@ -10,6 +10,7 @@ from auditloom.plans.activity_queries import _COSINE, _NEAR, _samples, _stream,
 from auditloom.plans.explain_queries import _SETS, _sets
 from auditloom.plans.report_queries import DOCS, rounded
 from auditloom.plans.tables import NEGATIVE, POSITIVE, WORDS, reports, table
+from auditloom.sources.shared import stash
 from auditloom.streaming import monitoring
 
 QUERIES, SQL = {}, {}
@@ -186,11 +187,10 @@ def fusion_with_views(spark, sf_dir):
     """Two families fused, the semantic one with each document's deviation from the five documents of its source before
     it (the tests have a plain version)."""
     r = reports(spark, sf_dir)
-    told = r.select("report_id", F.col("author").alias("key"), "ts", X.sentiment(X.tokens(F.col("content")), POSITIVE, NEGATIVE).alias("s"), semantic.view_summary(F.col("content"), POSITIVE + NEGATIVE, end=WORDS.sentence_end).alias("summary")).where("key is not null")
+    told = stash(r.select("report_id", F.col("author").alias("key"), "ts", X.sentiment(X.tokens(F.col("content")), POSITIVE, NEGATIVE).alias("s"), semantic.view_summary(F.col("content"), POSITIVE + NEGATIVE, end=WORDS.sentence_end).alias("summary")).where("key is not null"), "told")
     views = told.select("key", F.col("report_id").cast("string").alias("view_id"), F.col("ts").alias("view_ts"), F.col("summary").alias("view_summary"), F.col("s").alias("view_s"))
     near = semantic.recent_views(told.withColumn("report_id", F.col("report_id").cast("string")), views)
-    compared = near.withColumn("similarity", semantic.sequence_ratio(F.col("summary"), F.col("view_summary"))).withColumn("gap", semantic.sentiment_gap(F.col("s"), F.col("view_s")))
-    deviation = semantic.view_deviation(compared).select(F.col("report_id").cast("long").alias("report_id"), F.col("score").alias("deviation"), "n_views")
+    deviation = semantic.deviation_score(near).select(F.col("report_id").cast("long").alias("report_id"), F.col("score").alias("deviation"), "n_views")
     meant = semantic.total(semantic.rules(r, WORDS).join(deviation, "report_id", "left")).select("report_id", F.col("semantic_score").alias("semantic"), F.coalesce("deviation", F.lit(0.0)).alias("deviation"), F.coalesce("n_views", F.lit(0)).alias("n_views"))
     both = statistical_scores(spark, sf_dir).select("report_id", F.col("statistical_score").alias("statistical")).join(meant, "report_id")
     none = F.lit(None).cast("double")

@@ -71,3 +71,26 @@ def test_cleaning_of_texts_without_marks_is_left_out(spark):
         for k in bare:
             assert r[f"{k}0"] == r[f"{k}1"], (k, r["t"])
     assert X._spellings("(?i)QQ|微") == ["qq", "qQ", "Qq", "QQ", "微"] and X._spellings("(?i)a.b") == X._spellings("微") == []
+
+
+def test_views_are_compared_only_where_it_counts(spark, monkeypatch):
+    """Comparing summaries took most of the time, though it counts only for views that lie far apart in sentiment."""
+    from auditloom.operators import semantic
+
+    rows = [("a", "one two", 1.0, "never", -1.0), ("a", "one two", 1.0, "xx", -0.5), ("b", "same", 0.1, "same", 0.2), ("c", "near", 1.0, "near", -1.0)]
+    near = spark.createDataFrame(rows, "report_id string, summary string, s double, view_summary string, view_s double")
+    compared = near.withColumn("similarity", semantic.sequence_ratio(F.col("summary"), F.col("view_summary"))).withColumn("gap", semantic.sentiment_gap(F.col("s"), F.col("view_s")))
+    wanted = sorted(map(tuple, semantic.view_deviation(compared).select("report_id", "n_views", "score").collect()))
+    assert wanted[0][2] > 0 and wanted[1:] == [("b", 1, 0.0), ("c", 1, 0.0)]
+    plain = semantic.sequence_ratio
+    monkeypatch.setattr(semantic, "sequence_ratio", lambda a, b: F.when(a == "same", F.raise_error(F.lit("compared in vain")).cast("double")).otherwise(plain(a, b)))
+    assert sorted(map(tuple, semantic.deviation_score(near).collect())) == wanted
+
+
+def test_mean_jaccard_makes_each_union_once(spark):
+    from auditloom.operators import explain
+
+    found = explain.mean_jaccard([F.col("a"), F.col("b")], [F.col("c"), F.col("d")])
+    rows = spark.createDataFrame([(["x", "y"], ["p"], ["y"], []), ([], [], [], []), (["x"], [], ["x", "x"], [])], "a array<string>, b array<string>, c array<string>, d array<string>")
+    assert [r[0] for r in rows.select(found).collect()] == [0.25, 0.0, 1.0]
+    assert rows.select(found.alias("m"))._jdf.queryExecution().analyzed().toString().count("array_union") == 2
