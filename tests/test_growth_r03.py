@@ -94,3 +94,13 @@ def test_mean_jaccard_makes_each_union_once(spark):
     rows = spark.createDataFrame([(["x", "y"], ["p"], ["y"], []), ([], [], [], []), (["x"], [], ["x", "x"], [])], "a array<string>, b array<string>, c array<string>, d array<string>")
     assert [r[0] for r in rows.select(found).collect()] == [0.25, 0.0, 1.0]
     assert rows.select(found.alias("m"))._jdf.queryExecution().analyzed().toString().count("array_union") == 2
+
+
+def test_families_share_their_steps(spark, monkeypatch):
+    """Reports' stocks, writing features and last bars used to be made anew for each of their readers."""
+    from auditloom.plans import family_queries
+
+    kept, plain = [], family_queries.stash
+    monkeypatch.setattr(family_queries, "stash", lambda df, name: kept.append(name) or plain(df, name))
+    assert family_queries.families(spark, "/root/testdata/sf0.001").columns == ["report_id", "statistical", "behavioral", "market", "semantic"]
+    assert {"stocks", "writing", "returns", "base", "recent"} <= set(kept)
