@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,20 +28,35 @@ from pyspark.sql import functions as F
 
 from auditloom.llm.cutting_stock import plan
 from auditloom.llm.stash import stash
-from auditloom.llm.text_blocks import blocks
+from auditloom.llm.text_blocks import BLOCK_BYTES, blocks, span_hashes
 
 LENGTH, TAIL, END = 2048, 256, 1
-#: Words and chunks that a task remembers, and pieces that a rank's bucket holds at most on average.
-WORDS, CHUNKS, BUCKET = 300_000, 200_000, 100_000
+#: Words that a task remembers, and pieces that a rank's bucket holds at most on average.
+WORDS, BUCKET = 300_000, 100_000
 #: The fixed pattern of the public vocabulary; below ``_LATIN``, text is composed as it stands.
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _LATIN = "\u0100"
 
 
+def _kinds() -> np.ndarray:
+    """Kinds of bytes: 0 white space, 1 in letters, 2 marks, 3 digits, 4 what the plain cut leaves to the pattern."""
+    kinds = np.full(256, 4, np.uint8)
+    for b in range(33, 127):
+        kinds[b] = 1 if chr(b).isalpha() else 3 if chr(b).isdigit() else 2
+    kinds[list(b" \t\n\x0b\x0c\r")] = 0
+    kinds[list(b"'<")] = 4
+    kinds[0x80:0xC0] = kinds[0xC3] = 1
+    return kinds
+
+
+_KINDS, _SPACE = _kinds(), re.compile(rb"[ \t\n\x0b\x0c\r]")
+
+
 class ChunkEncoder:
     """Ids of texts, as little-endian 32-bit bytes, by way of white-space-separated chunks: the vocabulary
-    drops white space, so a text's ids are its chunks' ids end to end, and a chunk met again isn't encoded.
-    Chunks of Latin letters come apart into lower-case words and marks, which are remembered in turn and
+    drops white space, so a text's ids are its chunks' ids end to end.  Chunks of ASCII and of the letters from
+    U+00C0 to U+00FF come apart into lower-case words, digits and marks, a block at a time; other chunks stay
+    whole and, if of Latin letters, come apart by the pattern.  A part met again isn't encoded.  Words are
     encoded many at a time; their ids part where a token bears the vocabulary's end of word."""
 
     def __init__(self, path: str):
@@ -54,13 +70,12 @@ class ChunkEncoder:
             end = json.load(f)["model"]["end_of_word_suffix"]
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith(end)]] = True
-        self.words: dict[str, bytes] = {}
-        self.chunks: dict[bytes, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
 
     def one(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def learn(self, words: list[str]) -> None:
+    def words(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
         for lo in range(0, len(words), 1024):
             part = words[lo : lo + 1024]
             ids = self.one(" ".join(part))
@@ -68,26 +83,88 @@ class ChunkEncoder:
             if len(cuts) != len(part) + 1:
                 raise ValueError("words must end in a token that ends a word")
             raw = ids.tobytes()
-            self.words.update((w, raw[a:b]) for w, a, b in zip(part, cuts, cuts[1:]))
+            yield from zip(part, [raw[a:b] for a, b in zip(cuts, cuts[1:])])
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        if len(self.chunks) > CHUNKS:
-            self.chunks.clear()
-        if len(self.words) > WORDS:
-            self.words.clear()
+    def learn(self, plain: list[bytes], whole: list[bytes]) -> None:
+        """Words, and chunks that the plain cut leaves whole."""
+        self.known.update(zip(plain, [ids for _, ids in self.words([w.decode() for w in plain])]))
         apart: dict[bytes, list[str]] = {}
-        for chunk in set().union(*split).difference(self.chunks):
+        for chunk in whole:
             s = chunk.decode()
-            if s.isalpha() and max(s) < _LATIN:
-                apart[chunk] = [s.lower()]
-            elif max(s) < _LATIN and "<|" not in s:
+            if max(s) < _LATIN and "<|" not in s:
                 apart[chunk] = _WORDS.findall(s.lower())
             else:
-                self.chunks[chunk] = self.one(s).tobytes()
-        self.learn(list(set().union(*apart.values()).difference(self.words)))
-        self.chunks.update((c, b"".join(map(self.words.__getitem__, words))) for c, words in apart.items())
-        return [b"".join(map(self.chunks.__getitem__, chunks)) for chunks in split]
+                self.known[chunk] = self.one(s).tobytes()
+        ids_of = dict(self.words(list(set().union(*apart.values()))))
+        self.known.update((c, b"".join(map(ids_of.__getitem__, words))) for c, words in apart.items())
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text; a text beyond a block is cut at white space, so that memory is a block's."""
+        if sum(map(len, texts)) <= BLOCK_BYTES:
+            return self._together(texts)
+        return [b"".join(self._together([part])[0] for part in _parts(text)) for text in texts]
+
+    def _together(self, texts: list[bytes]) -> list[bytes]:
+        if len(self.known) > WORDS:
+            self.known.clear()
+        raw = b"".join(texts)
+        data, at = np.frombuffer(raw, np.uint8), np.cumsum([0, *map(len, texts)])
+        if not raw:
+            return [b""] * len(texts)
+        data, kind = _folded(data, at)
+        edge = np.ones(len(raw) + 1, bool)
+        edge[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == 3)
+        edge[at] = True
+        part = kind != 0
+        starts, ends = np.flatnonzero(edge[:-1] & part), np.flatnonzero(edge[1:] & part) + 1
+        if not len(starts):
+            return [b""] * len(texts)
+        _, first, of = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        where, back = np.flatnonzero(part), starts[first][of] - starts
+        same = ((ends - starts) == (ends - starts)[first][of]).all() and np.array_equal(data[where], data[where + np.repeat(back, ends - starts)])
+        if not same:  # two parts of one hash: every part counts as its own
+            first = of = np.arange(len(starts))
+        raw = data.tobytes()
+        keys = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
+        new: tuple[dict, dict] = {}, {}
+        for key, left in zip(keys, (kind[starts[first]] == 4).tolist()):
+            if key not in self.known:
+                new[left][key] = None
+        self.learn(*map(list, new))
+        ids = [self.known[k] for k in keys]
+        sizes = np.array([len(x) // 4 for x in ids])
+        begins, counts = np.cumsum(sizes) - sizes, sizes[of]
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        out = np.frombuffer(b"".join(ids), "<u4")[np.repeat(begins[of] - upto[:-1], counts) + np.arange(upto[-1])].tobytes()
+        cuts = (4 * upto[np.searchsorted(starts, at)]).tolist()
+        return [out[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
+def _parts(text: bytes) -> Iterator[bytes]:
+    lo = 0
+    while lo < len(text):
+        space = _SPACE.search(text, lo + BLOCK_BYTES)
+        hi = space.start() if space else len(text)
+        yield text[lo:hi]
+        lo = hi
+
+
+def _folded(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes, in lower case where their chunk comes apart plainly, and their kinds; a chunk that does not is all of kind 4."""
+    kind = _KINDS[data]
+    wide = np.concatenate([[False], data[:-1] == 0xC3])
+    odd = (kind == 4) | wide & ((data == 0x97) | (data == 0xB7))  # the signs of times and division
+    upper = (data >= 65) & (data <= 90) | wide & (data >= 0x80) & (data <= 0x9E)
+    if odd.any():
+        edge = np.ones(len(data) + 1, bool)
+        edge[1:-1] = (kind[1:] == 0) != (kind[:-1] == 0)
+        edge[at] = True
+        starts = np.flatnonzero(edge)  # of chunks and of what is between
+        lengths = np.diff(starts)
+        inside = np.repeat(np.logical_or.reduceat(odd, starts[:-1]), lengths)
+        kind[inside] = 4
+        upper &= ~inside
+    return data + (upper.view(np.uint8) << 5), kind
 
 
 @lru_cache(maxsize=2)

@@ -104,3 +104,43 @@ def test_families_share_their_steps(spark, monkeypatch):
     monkeypatch.setattr(family_queries, "stash", lambda df, name: kept.append(name) or plain(df, name))
     assert family_queries.families(spark, "/root/testdata/sf0.001").columns == ["report_id", "statistical", "behavioral", "market", "semantic"]
     assert {"stocks", "writing", "returns", "base", "recent"} <= set(kept)
+
+
+def test_packing_remembers_words_not_chunks():
+    """Every white-space-separated chunk used to be cut by pattern and remembered, though its words were known."""
+    import public_tokenizers
+
+    from auditloom.llm import packing
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder = packing.ChunkEncoder(path)
+    names = ["ane", "Bor", "ÉTÉ", "dun"]
+    chunks = [f"{a},{b}({c})7" for a in names for b in names for c in names]
+    assert len(set(chunks)) == 64
+    encoder.encode([" ".join(chunks).encode()])
+    assert sum(len(x) for x in vars(encoder).values() if isinstance(x, dict)) <= 8
+
+
+def test_packing_ids_of_odd_texts(monkeypatch):
+    """Parts of a block are the library's, whatever stands between them; a text beyond a block is cut at white space."""
+    import random
+
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from auditloom.llm import packing, text_blocks
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, encoder, draw = Tokenizer.from_file(path), packing.ChunkEncoder(path), random.Random(5)
+    library.no_truncation()
+    library.no_padding()
+    bits = ["a", "The", "É", "ß", "×", "÷", "ÿ", "'", "'S", "'ll", "<", "<|", "<|endoftext|>", ".", "!?", "23", "²", "ª", "\xa0", "\x85", "\x1c", "\0", "中", "ſ", "é", "😀", "İ", " ", " ", "\n"]
+    for limit in (packing.BLOCK_BYTES, 40):
+        monkeypatch.setattr(packing, "BLOCK_BYTES", limit)
+        for size in (0, 1, 5, 30) * 25:
+            texts = ["".join(draw.choice(bits) for _ in range(size)) for _ in range(3)]
+            told = [np.array(x.ids, "<u4").tobytes() for x in library.encode_batch_fast(texts, add_special_tokens=False)]
+            assert encoder.encode([t.encode() for t in texts]) == told
+    monkeypatch.setattr(packing, "span_hashes", lambda data, starts, ends: text_blocks.span_hashes(data, starts, ends) >> np.uint64(63))
+    assert encoder.encode([b"some words, some marks; and more of them."]) == [np.array(library.encode("some words, some marks; and more of them.", add_special_tokens=False).ids, "<u4").tobytes()]
