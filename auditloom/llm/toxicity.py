@@ -141,24 +141,29 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards: dict[int, list] = {}
-        for batch in _least(batches):
+        last = None
+        for batch in batches:
             for block in blocks(batch.column(3), 1 << 18):
                 at, owner = features(block, bits)
                 pairs = np.unique((owner.astype(np.uint64) << np.uint64(bits)) | at)
                 cut = np.searchsorted(pairs >> np.uint64(bits), np.arange(block.hi - block.lo + 1))
                 at = (pairs & np.uint64((1 << bits) - 1)).astype(np.uint32)
                 for i in range(block.hi - block.lo):
-                    label, hashed = batch.column(2)[block.lo + i].as_py(), batch.column(1)[block.lo + i].as_py()
-                    mine = at[cut[i] : cut[i + 1]]
-                    shards.setdefault(shard_of(hashed, config.shards), []).append((hashed, label, zlib.crc32(mine), mine))
-        for number, cases in shards.items():
+                    case, hashed, label = (batch.column(c)[block.lo + i].as_py() for c in range(3))
+                    if case != last:  # a copy, or the block's coordinates would all be kept
+                        mine = at[cut[i] : cut[i + 1]].copy()
+                        shards.setdefault(shard_of(hashed, config.shards), []).append((hashed, label, zlib.crc32(mine), mine))
+                    last = case
+        while shards:
+            number, cases = shards.popitem()
             cases.sort(key=lambda c: c[:3])
             live, weights = learn([(y, at) for _, y, _, at in cases], config)
             same = lambda x: pa.array(np.full(len(live), x, np.int64))
             yield pa.RecordBatch.from_arrays([same(number), same(len(cases)), same(sum(c[1] for c in cases)), pa.array(live), pa.array(weights)], names=["shard", "cases", "toxic", "at", "w"])
 
     # A shard lies in one task whatever the partitioner does; that each gets a task of its own only saves time.
-    dealt = rows.repartitionByRange(config.shards, shard).mapInArrow(fitted, "shard long, cases long, toxic long, at long, w double")
+    # Sorted, the least text of an id comes first, so no task holds its texts.
+    dealt = rows.repartitionByRange(config.shards, shard).sortWithinPartitions("__key", "__text").mapInArrow(fitted, "shard long, cases long, toxic long, at long, w double")
     # A shard's weights are as many as L1 leaves of a bounded sample, whatever the size of the corpus.
     found = dealt.collect()
     shards = {r["shard"]: (r["cases"], r["toxic"]) for r in found}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 
 from pyspark.sql import functions as F
@@ -144,3 +145,18 @@ def test_packing_ids_of_odd_texts(monkeypatch):
             assert encoder.encode([t.encode() for t in texts]) == told
     monkeypatch.setattr(packing, "span_hashes", lambda data, starts, ends: text_blocks.span_hashes(data, starts, ends) >> np.uint64(63))
     assert encoder.encode([b"some words, some marks; and more of them."]) == [np.array(library.encode("some words, some marks; and more of them.", add_special_tokens=False).ids, "<u4").tobytes()]
+
+
+def test_toxicity_fit_holds_no_texts(spark, monkeypatch):
+    """Fitting tasks used to hold all texts of their cases to find the least of an id; sorted, it comes first."""
+    from auditloom.llm import toxicity
+
+    rows = [(i, t) for i in range(60) for t in (f"bad words {i}" if i % 3 == 0 else f"kind words {i}", f"zz {i}")]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int")
+    seen, kind = [], type(labels)
+    plain = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, *a, **b: seen.append(self) or plain(self, *a, **b))
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), labels)
+    assert re.search(r"Sort \[.?__key\S* ASC.*__text\S* ASC", seen[-1]._jdf.queryExecution().analyzed().toString())
+    once = toxicity.fit(spark.createDataFrame(rows[::2], "doc_id long, text string"), labels)
+    assert model.bias == once.bias and model.index.tolist() == once.index.tolist() and model.weight.tolist() == once.weight.tolist()
