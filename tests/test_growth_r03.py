@@ -160,3 +160,45 @@ def test_toxicity_fit_holds_no_texts(spark, monkeypatch):
     assert re.search(r"Sort \[.?__key\S* ASC.*__text\S* ASC", seen[-1]._jdf.queryExecution().analyzed().toString())
     once = toxicity.fit(spark.createDataFrame(rows[::2], "doc_id long, text string"), labels)
     assert model.bias == once.bias and model.index.tolist() == once.index.tolist() and model.weight.tolist() == once.weight.tolist()
+
+
+def test_alerts_of_a_batch_are_held_in_few_bytes():
+    """A metric's rows of a batch and its open alerts used to be Python objects, hundreds of bytes a row."""
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    from auditloom.streaming import stateful
+
+    class State:
+        n = 0
+
+        def getValueState(self, *_):
+            return self
+
+        getListState = getValueState
+
+        def exists(self):
+            return False
+
+        def appendList(self, rows):
+            self.n += len(rows)
+
+        def update(self, value):
+            pass
+
+        def listTimers(self):
+            return []
+
+    n, state = 200_000, State()
+    frames = (pd.DataFrame({"at": np.arange(lo, lo + 10_000) * 1_000_000, "id": np.arange(lo, lo + 10_000), "bad": True}) for lo in range(0, n, 10_000))
+    alerts = stateful._Resolution(5, 300)
+    alerts.init(state)
+    tracemalloc.start()
+    try:
+        assert sum(len(x) for x in alerts.handleInputRows(("m",), frames, None)) == 0
+        assert tracemalloc.get_traced_memory()[1] < 100 * n
+    finally:
+        tracemalloc.stop()
+    assert state.n == n
