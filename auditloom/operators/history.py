@@ -17,7 +17,9 @@ def update(spark: SparkSession, path: str, rows: DataFrame, key: str, order: Seq
     be repeated.  The new state of the touched partitions is written aside before it takes the place of the old."""
     number = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int")
     newest = Window.partitionBy(key).orderBy(*[F.desc(c) for c in order])
-    last = lambda df: df.dropDuplicates([key, *order]).withColumn("__back", F.row_number().over(newest)).where(F.col("__back") <= keep).drop("__back")
+    # Ranked by key first, rows that cannot be among the last are left out before the shuffle, and those that are there
+    # twice, which have one rank, lie in one partition.
+    last = lambda df: df.withColumn("__back", F.dense_rank().over(newest)).where(F.col("__back") <= keep).drop("__back").dropDuplicates([key, *order])
     fresh_at, made_at = new_path(spark, "fresh"), new_path(spark, "history")
     fresh = stash_at(last(rows).withColumn("bucket", number), fresh_at)
     touched = sorted(r["bucket"] for r in fresh.select("bucket").distinct().collect())  # no more than there are buckets

@@ -202,3 +202,17 @@ def test_alerts_of_a_batch_are_held_in_few_bytes():
     finally:
         tracemalloc.stop()
     assert state.n == n
+
+
+def test_kept_rows_are_shuffled_once(spark, monkeypatch):
+    """All rows used to be shuffled twice, to find repeats and to rank them by key."""
+    from auditloom.operators import history
+    from auditloom.sources.shared import new_path
+
+    plans, plain = [], history.stash_at
+    monkeypatch.setattr(history, "stash_at", lambda df, path: plans.append(_shuffled(df)) or plain(df, path))
+    rows, path = spark.createDataFrame([(k, i // 2, k) for k in range(3) for i in range(12)], "k int, i int, v int"), new_path(spark, "kept")
+    for _ in range(2):
+        history.update(spark, path, rows, "k", ["i"], 4, buckets=4)
+    assert [len(x) for x in plans] == [1, 1, 1, 1]
+    assert sorted(map(tuple, history.read(spark, path, rows.schema).select("k", "i", "v").collect())) == [(k, i, k) for k in range(3) for i in range(2, 6)]
