@@ -216,3 +216,71 @@ def test_kept_rows_are_shuffled_once(spark, monkeypatch):
         history.update(spark, path, rows, "k", ["i"], 4, buckets=4)
     assert [len(x) for x in plans] == [1, 1, 1, 1]
     assert sorted(map(tuple, history.read(spark, path, rows.schema).select("k", "i", "v").collect())) == [(k, i, k) for k in range(3) for i in range(2, 6)]
+
+
+def test_bpe_walks_words_in_arrays():
+    """Every byte of a word that was not known used to take several calls of Python; now a word takes a few."""
+    import random
+    import sys
+
+    import public_tokenizers
+
+    from auditloom.llm import bpe
+
+    v, draw = bpe.Vocabulary(public_tokenizers.path("byte_bpe_50k.json")), random.Random(6)
+    first, second = ([" ".join("".join(draw.choices("abcdeiornst", k=9)) for _ in range(20_000))] for _ in range(2))
+    v.encode(first)  # tokens and pairs are told apart when they are first met
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        v.encode(second)
+    finally:
+        sys.setprofile(None)
+    assert calls < 20 * 20_000
+
+
+def test_bpe_ids_of_odd_texts(monkeypatch):
+    """Words told by classes of bytes are the library's, whatever stands beside them; a text beyond a block is cut at
+    word borders, and a span of bytes with the hash of another token does no harm."""
+    import random
+
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from auditloom.llm import bpe
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, draw = Tokenizer.from_file(path), random.Random(5)
+    bits = ["a", "The", "É", "ß", "×", "÷", "ÿ", "'", "'s", "'ll", "<", "<|", "<|endoftext|>", ".", "!?", "23", "²", "ª", "\xa0", "\x85", "\x1c", "\0", "\x7f", "中", "　", " ", "᠎", "ſ", "é", "слово", "😀", "İ", " ", " ", " ", "\n", "\r\n", "\t", "x" * 70]
+    for limit in (bpe.BLOCK_BYTES, 40):
+        monkeypatch.setattr(bpe, "BLOCK_BYTES", limit)
+        v = bpe.Vocabulary(path)
+        for size in (0, 1, 5, 30) * 25:
+            texts = ["".join(draw.choice(bits) for _ in range(size)) for _ in range(3)]
+            told = [np.array(x.ids, np.int32).tobytes() for x in library.encode_batch_fast(texts, add_special_tokens=False)]
+            assert v.encode(texts) == told
+        assert v._by_depth([b"the", b"thing"])[0].tolist() == v._one_by_one([b"the", b"thing"])[0].tolist()
+    plain, the = bpe.span_hashes, np.frombuffer(b"the", np.uint8)
+    wrong = plain(the, np.array([0]), np.array([3]))[0]
+    monkeypatch.setattr(bpe, "span_hashes", lambda data, starts, ends: np.where(ends - starts == 3, wrong, plain(data, starts, ends)))
+    words = [b"another", b"strange", b"word"]
+    assert dict(v.encode_words(words)) == {w: np.array(library.encode(w.decode(), add_special_tokens=False).ids, np.int32).tobytes() for w in words}
+
+
+def test_bpe_remembers_bounded_bytes(monkeypatch):
+    """Stretches without spaces used to be remembered by their number alone, however long they were."""
+    import public_tokenizers
+
+    from auditloom.llm import bpe
+
+    monkeypatch.setattr(bpe, "HELD", 10_000)
+    v = bpe.Vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
+    for i in range(40):
+        v.encode(["".join(f"{chr(0x4E00 + j)}'{i}" for j in range(200))])
+    assert sum(map(len, v.known)) < 20_000
