@@ -144,7 +144,8 @@ class Vocabulary:
             self.bytes_of[i] = b
         for s, i in self.special.items():
             self.bytes_of[i] = s.encode()
-        self.longest = max(map(len, self.id_of))
+        self.lengths = sorted({*map(len, self.id_of)}, reverse=True)
+        self.longest = self.lengths[0]
         self.words = regex.compile(PATTERN)
         self.splits = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.left, self.right, self.made = [-1] * size, [-1] * size, [-1] * size
@@ -329,7 +330,7 @@ class Vocabulary:
         out, counts = array("i"), []
         state: list[int] = [-1]  # the last token of every prefix of the path
         path = b""
-        id_of, bytes_of, longest, pairs, follows = self.id_of.get, self.bytes_of, self.longest, self.pairs, self.follows
+        id_of, bytes_of, lengths, pairs, follows = self.id_of.get, self.bytes_of, self.lengths, self.pairs, self.follows
         if len(pairs) > PAIRS:
             pairs.clear()
         for word in words:
@@ -337,7 +338,7 @@ class Vocabulary:
             shared = n if path[:n] == word[:n] else next(i for i in range(n) if path[i] != word[i])
             del state[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                for start in range(max(0, end - longest), end):
+                for start in [end - n for n in lengths if n <= end]:
                     token = id_of(word[start:end])
                     if token is not None:
                         pair = state[start] << 20 | token
