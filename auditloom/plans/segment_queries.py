@@ -44,20 +44,20 @@ for _w in ("in", "the", "year", "in the", "the year"):
     _WORDS = _WORDS.replace(f"w('{_w}')", f"coalesce((select weight from known where word = '{_w}'), {_unknown})")
 
 
-def _segmented(spark, sf_dir):
-    docs = spread(spark, f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("report_id"), "text")
-    return segmentation.segment(docs, "report_id", "text", PHRASES, GIVEN, STOP_WORDS)
+def _texts(spark, sf_dir):
+    return spread(spark, f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("report_id"), "text")
 
 
 def segmented_words(spark, sf_dir):
     """Every text in words and phrases, by a dictionary counted from all of them."""
     n = lambda x: F.size(x).cast("long")
-    return _segmented(spark, sf_dir).select("report_id", n(F.col("words")).alias("n_words"), n(F.filter("words", lambda w: F.contains(w, F.lit(" ")))).alias("n_phrases"), F.md5(F.array_join("words", "|").cast("binary")).alias("digest"))
+    return segmentation.segment(_texts(spark, sf_dir), "report_id", "text", PHRASES, GIVEN, STOP_WORDS).select("report_id", n(F.col("words")).alias("n_words"), n(F.filter("words", lambda w: F.contains(w, F.lit(" ")))).alias("n_phrases"), F.md5(F.array_join("words", "|").cast("binary")).alias("digest"))
 
 
 def segment_keywords(spark, sf_dir):
     """The five words or phrases of greatest tf-idf of every text."""
-    return rounded(statistical.top_words(_segmented(spark, sf_dir).select("report_id", F.explode("words").alias("word")), 5, _segmented_count(spark, sf_dir)))
+    counts = segmentation.segment_counts(_texts(spark, sf_dir), "report_id", "text", PHRASES, GIVEN, STOP_WORDS)
+    return rounded(statistical.top_counted(counts, 5, _segmented_count(spark, sf_dir)))
 
 
 def _segmented_count(spark, sf_dir):
@@ -66,9 +66,7 @@ def _segmented_count(spark, sf_dir):
 
 def lexicon_words(spark, sf_dir):
     """The dictionary: every word and phrase with its number and weight."""
-    docs = spread(spark, f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = segmentation.lexicon(segmentation.units(docs, "doc_id", "text", PHRASES).select("units"), PHRASES)
-    return found.select("word", "n", "weight")
+    return segmentation.text_lexicon(_texts(spark, sf_dir), "text", PHRASES).select("word", "n", "weight")
 
 
 QUERIES |= {f.__name__: f for f in (segmented_words, segment_keywords, lexicon_words)}
